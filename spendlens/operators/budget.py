@@ -81,13 +81,11 @@ def budget_check(
 def budget_line(checked: DataFrame) -> DataFrame:
     """The verdict as one line of text: ``day: $14.20 / $50.00 (28%) — ok``."""
 
-    def amount(usd_column: str, scale: int) -> str:
-        return f"CAST(CAST({usd_column} AS DECIMAL(24,{scale})) AS STRING)"
+    def rounded(value: str, scale: int) -> str:
+        return f"CAST(CAST({value} AS DECIMAL(24,{scale})) AS STRING)"
 
-    return checked.select(
-        F.expr(
-            f"""window || ': $' || {amount('spent', 2)} || ' / $' || {amount('budget', 2)}
-            || ' (' || {amount('pct', 0)} || '%) — '
-            || CASE WHEN over THEN 'OVER by $' || {amount('-remaining', 2)} ELSE 'ok' END AS line"""
-        )
+    return checked.selectExpr(
+        f"""window || ': $' || {rounded('spent', 2)} || ' / $' || {rounded('budget', 2)}
+        || ' (' || {rounded('pct', 0)} || '%) — '
+        || CASE WHEN over THEN 'OVER by $' || {rounded('-remaining', 2)} ELSE 'ok' END AS line"""
     )

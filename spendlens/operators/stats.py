@@ -122,3 +122,13 @@ def unpriced_models(calls: DataFrame, prices: DataFrame | RateCard) -> DataFrame
 
 def top_unpriced_models(calls: DataFrame, prices: DataFrame | RateCard, n: int = 3) -> DataFrame:
     return unpriced_models(calls, prices).limit(n)
+
+
+def with_formats(report: DataFrame) -> DataFrame:
+    """Add the texts a table of statistics shows: whole percent or ``-``, cost to 4 decimals."""
+    return report.selectExpr(
+        "*",
+        """coalesce(CAST(CAST(cache_hit_pct AS DECIMAL(24,0)) AS STRING) || '%', '-')
+            AS cache_pct""",
+        "CAST(CAST(cost_usd AS DECIMAL(24,4)) AS STRING) AS cost",
+    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spendlens.functions.money import reported_pico, usd_decimal
 from spendlens.functions.text import error_label, short_client, status_label, tokens_label
 from spendlens.operators.pricing import RateCard, price_calls, with_cost_source
 
@@ -64,7 +65,9 @@ def with_labels(listing: DataFrame) -> DataFrame:
             """CASE WHEN cache_read_tokens > 0
                THEN 'cache_read=' || CAST(cache_read_tokens AS STRING) END AS cache_label"""
         ),
-        F.expr("'$' || CAST(CAST(cost_usd AS DECIMAL(24,4)) AS STRING) AS cost_label"),
+        F.concat(
+            F.lit("$"), usd_decimal(reported_pico(F.col("cost_usd")), 4).cast("string")
+        ).alias("cost_label"),
         error_label(F.col("error_kind"), F.col("status")).alias("error_label"),
         short_client(F.col("client")).alias("client_label"),
     )
