@@ -1,8 +1,8 @@
 """Reading usage objects: one SQL expression per provider family.
 
-A usage object is a VARIANT, so "absent", "null" and "of another type" stay
-apart: ``member`` gives SQL NULL only for an absent key, and ``count_of`` takes
-whole non-negative numbers only (not ``5.0``, ``"5"``, ``-5`` or null).
+A usage object is parsed with the typed schema ``USAGE``. A count is a whole
+non-negative JSON number; ``5.0``, ``"5"``, ``-5`` and null are no counts. Keys whose
+mere presence matters are VARIANT fields: those are SQL NULL only when absent.
 """
 
 from __future__ import annotations
@@ -39,18 +39,31 @@ def usage_key_of(provider: str) -> str:
     return f"CASE {provider} {whens} END"
 
 
-def member(v: str, key: str) -> str:
-    return f"try_variant_get({v}, '$.{key}', 'variant')"
+# All keys read from a usage object, over all families.
+USAGE = """input_tokens variant, prompt_tokens bigint, output_tokens variant,
+    completion_tokens bigint, total_tokens bigint, input_tokens_details variant,
+    prompt_tokens_details struct<cached_tokens: bigint>, output_tokens_details variant,
+    completion_tokens_details struct<reasoning_tokens: bigint>, prompt_cache_hit_tokens bigint,
+    cached_tokens bigint, cost double, cost_in_usd_ticks bigint, cache_read_input_tokens bigint,
+    cache_creation_input_tokens bigint, promptTokenCount bigint, candidatesTokenCount bigint,
+    thoughtsTokenCount bigint, cachedContentTokenCount bigint"""
+
+
+def parsed(text: str) -> str:
+    return f"from_json({text}, '{USAGE}', map('allowNonNumericNumbers', 'false'))"
+
+
+def count(number: str) -> str:
+    return f"CASE WHEN {number} >= 0 THEN {number} END"
 
 
 def count_of(v: str) -> str:
-    return f"""CASE WHEN schema_of_variant({v}) = 'BIGINT' AND try_variant_get({v}, '$', 'bigint') >= 0
-        THEN try_variant_get({v}, '$', 'bigint') END"""
+    whole = f"try_variant_get({v}, '$', 'bigint')"
+    return f"CASE WHEN schema_of_variant({v}) = 'BIGINT' AND {whole} >= 0 THEN {whole} END"
 
 
-def number_of(v: str) -> str:
-    return f"""CASE WHEN schema_of_variant({v}) IN ('BIGINT', 'DOUBLE', 'FLOAT')
-        OR startswith(schema_of_variant({v}), 'DECIMAL') THEN try_variant_get({v}, '$', 'double') END"""
+def member_count(v: str, key: str) -> str:
+    return count_of(f"try_variant_get({v}, '$.{key}', 'variant')")
 
 
 def text_of(v: str) -> str:
@@ -59,58 +72,63 @@ def text_of(v: str) -> str:
         THEN nullif(try_variant_get({v}, '$', 'string'), '') END"""
 
 
-def is_object(v: str) -> str:
-    return f"coalesce(startswith(schema_of_variant({v}), 'OBJECT'), false)"
-
-
-def _struct(fields: dict[str, str]) -> str:
-    absent = {c: "CAST(NULL AS DOUBLE)" if c == "cost" else "CAST(NULL AS BIGINT)"
-              for c in [*USAGE_COLUMNS, "total_tokens"]}
+def _struct(fields: dict[str, str], columns: list[str] = [*USAGE_COLUMNS, "total_tokens"]) -> str:
+    types = {c: "DOUBLE" if c == "cost" else "BIGINT" for c in columns}
     return "named_struct(" + ", ".join(
-        f"'{c}', {fields.get(c, nothing)}" for c, nothing in absent.items()
+        f"'{c}', {fields.get(c, f'CAST(NULL AS {t})')}" for c, t in types.items()
     ) + ")"
 
 
 def openai_fields(u: str) -> str:
-    """As reported, before ``folded``. The first key present decides, even when it is null."""
+    """As reported, before ``folded``. Of two names, the one present decides, even when null."""
 
-    def first(*keys: str) -> str:
-        return f"coalesce({', '.join(member(u, k) for k in keys)})"
+    def either(first: str, of_first: str, of_second: str) -> str:
+        return f"CASE WHEN {u}.{first} IS NOT NULL THEN {of_first} ELSE {of_second} END"
+
+    def tokens(first: str, second: str) -> str:
+        return either(first, count_of(f"{u}.{first}"), count(f"{u}.{second}"))
+
+    def detail(side: str, old_side: str, key: str) -> str:
+        first = f"{side}_tokens_details"
+        return either(
+            first, member_count(f"{u}.{first}", key), count(f"{u}.{old_side}_tokens_details.{key}")
+        )
 
-    read_details = member(first("input_tokens_details", "prompt_tokens_details"), "cached_tokens")
-    reasoning = member(
-        first("output_tokens_details", "completion_tokens_details"), "reasoning_tokens"
-    )
-    ticks = f"{count_of(member(u, 'cost_in_usd_ticks'))} / {TICKS_PER_USD}D"
     return _struct(
         {
-            "input_tokens": count_of(first("input_tokens", "prompt_tokens")),
-            "output_tokens": count_of(first("output_tokens", "completion_tokens")),
-            "cache_read_input_tokens": f"""coalesce({count_of(read_details)},
-                {count_of(member(u, 'prompt_cache_hit_tokens'))},
-                {count_of(member(u, 'cached_tokens'))})""",
-            "reasoning_output_tokens": count_of(reasoning),
-            "cost": f"coalesce({number_of(member(u, 'cost'))}, {ticks})",
-            "total_tokens": count_of(member(u, "total_tokens")),
+            "input_tokens": tokens("input_tokens", "prompt_tokens"),
+            "output_tokens": tokens("output_tokens", "completion_tokens"),
+            "cache_read_input_tokens": f"""coalesce({detail('input', 'prompt', 'cached_tokens')},
+                {count(f'{u}.prompt_cache_hit_tokens')}, {count(f'{u}.cached_tokens')})""",
+            "reasoning_output_tokens": detail("output", "completion", "reasoning_tokens"),
+            "cost": f"""coalesce({u}.cost,
+                {count(f'{u}.cost_in_usd_ticks')} / {TICKS_PER_USD}D)""",
+            "total_tokens": count(f"{u}.total_tokens"),
         }
     )
 
 
 def anthropic_fields(u: str) -> str:
-    names = USAGE_COLUMNS[:4]
-    return _struct({c: count_of(member(u, c)) for c in names})
+    return _struct(
+        {
+            "input_tokens": count_of(f"{u}.input_tokens"),
+            "output_tokens": count_of(f"{u}.output_tokens"),
+            "cache_read_input_tokens": count(f"{u}.cache_read_input_tokens"),
+            "cache_creation_input_tokens": count(f"{u}.cache_creation_input_tokens"),
+        }
+    )
 
 
 def gemini_fields(u: str) -> str:
     """Thinking tokens are counted apart from the candidates, so the output is their sum."""
-    candidates = count_of(member(u, "candidatesTokenCount"))
-    thoughts = count_of(member(u, "thoughtsTokenCount"))
+    candidates = count(f"{u}.candidatesTokenCount")
+    thoughts = count(f"{u}.thoughtsTokenCount")
     return _struct(
         {
-            "input_tokens": count_of(member(u, "promptTokenCount")),
+            "input_tokens": count(f"{u}.promptTokenCount"),
             "output_tokens": f"""coalesce(try_add({candidates}, {thoughts}),
                 {candidates}, {thoughts})""",
-            "cache_read_input_tokens": count_of(member(u, "cachedContentTokenCount")),
+            "cache_read_input_tokens": count(f"{u}.cachedContentTokenCount"),
             "reasoning_output_tokens": thoughts,
         }
     )
@@ -131,6 +149,8 @@ def folded(f: str) -> str:
     return "named_struct(" + ", ".join(f"'{c}', {v}" for c, v in fields.items()) + ")"
 
 
-def last_known(array: str, field: str) -> str:
-    """The last non-null value of a field over an array of structs."""
-    return f"try_element_at(filter(transform({array}, x -> x.{field}), v -> v IS NOT NULL), -1)"
+def merged(array: str) -> str:
+    """Field by field, the last non-null value over an array of usage structs."""
+    nothing = _struct({}, USAGE_COLUMNS)
+    fields = ", ".join(f"'{c}', coalesce(x.{c}, acc.{c})" for c in USAGE_COLUMNS)
+    return f"aggregate(coalesce({array}, array()), {nothing}, (acc, x) -> named_struct({fields}))"

@@ -21,8 +21,8 @@ from spendlens.functions.usage import (
     family_of,
     fields_of,
     folded,
-    is_object,
-    last_known,
+    merged,
+    parsed,
     text_of,
 )
 from spendlens.schemas import CALL_COLUMNS, USAGE_COLUMNS
@@ -35,9 +35,10 @@ MAX_MODEL_BYTES = 254
 MAX_RAW_OBJECTS = 8
 
 # The only fields read from a response; everything else is skipped while parsing.
-DOCUMENT = """usage variant, usageMetadata variant, model variant, modelVersion variant,
-    message struct<usage: variant, model: variant>, response struct<usage: variant>,
-    x_groq struct<usage: variant>"""
+# A usage value stays text, to be stored as it is and parsed by itself.
+DOCUMENT = """usage string, usageMetadata string, model variant, modelVersion variant,
+    message struct<usage: string, model: variant>, response struct<usage: string>,
+    x_groq struct<usage: string>"""
 
 _USAGE_PATHS = ["usage", "usageMetadata", "message.usage", "response.usage", "x_groq.usage"]
 
@@ -61,13 +62,21 @@ def path_model() -> str:
         THEN nullif(regexp_extract(path, r'^.*?/models/([^:/?]*)', 1), '') END"""
 
 
-def request_model() -> str:
-    """The model named in the request, when its declared length is small enough to look."""
+def with_request_model(exchanges: DataFrame) -> DataFrame:
+    """Add the model named in the request, when its declared length is small enough to look."""
     length = "try_element_at(headers, 'content-length')"
-    sent = "from_json(request_body, 'model variant').model"
-    return rf"""CASE WHEN {length} RLIKE r'^\+?[0-9]+$'
-        AND try_cast({length} AS BIGINT) <= {MAX_REQUEST_BYTES}
-        AND schema_of_variant({sent}) = 'STRING' THEN try_variant_get({sent}, '$', 'string') END"""
+    small = rf"""{length} RLIKE r'^\+?[0-9]+$'
+        AND try_cast({length} AS BIGINT) <= {MAX_REQUEST_BYTES}"""
+    sent = exchanges.withColumn(
+        "_sent", F.expr(f"CASE WHEN {small} THEN from_json(request_body, 'model variant').model END")
+    )
+    return sent.withColumn(
+        "request_model",
+        F.expr(
+            """CASE WHEN schema_of_variant(_sent) = 'STRING'
+                THEN try_variant_get(_sent, '$', 'string') END"""
+        ),
+    ).drop("_sent")
 
 
 def with_documents(
@@ -103,40 +112,48 @@ def with_documents(
     ).drop("events")
 
 
+def _object(path: str) -> str:
+    """The usage text at ``path`` of a document, if it is an object there and not a string.
+
+    The text of an object with keys stands in the source as it is, which that of a
+    string cannot, as its quotes are escaped there. Only where the source is
+    spaced out does the type have to be looked up.
+    """
+    text = f"d.doc.{path}"
+    typed = "usage variant" if "." not in path else "{} struct<usage: variant>".format(
+        path.split(".")[0]
+    )
+    if path == "usageMetadata":
+        typed = "usageMetadata variant"
+    looked_up = f"schema_of_variant(from_json(d.data, '{typed}').{path})"
+    return f"""CASE WHEN startswith({text}, '{{') AND (contains(d.data, {text})
+        OR startswith({looked_up}, 'OBJECT')) THEN {text} END"""
+
+
 def _whole_usage() -> str:
     """The usage object of a whole body; larger ones than the limit are not read."""
-    u = f"CASE WHEN family = '{GEMINI}' THEN d.doc.usageMetadata ELSE d.doc.usage END"
-    return f"""CASE WHEN {is_object(u)} AND octet_length(to_json({u})) <= {MAX_USAGE_BYTES}
-        THEN {u} END"""
+    text = f"""CASE WHEN family = '{GEMINI}' THEN {_object('usageMetadata')}
+        ELSE {_object('usage')} END"""
+    return f"nullif(CASE WHEN octet_length(body) <= {MAX_USAGE_BYTES} OR octet_length({text}) <= {MAX_USAGE_BYTES} THEN {text} END, '')"
 
 
 def usage_objects() -> str:
     """The usage objects of ``docs`` in the order they are merged."""
     stream = f"""CASE family
         WHEN '{ANTHROPIC}' THEN array(CASE WHEN d.event_type = 'message_start'
-            THEN d.doc.message.usage ELSE d.doc.usage END)
-        WHEN '{GEMINI}' THEN array(d.doc.usageMetadata)
-        ELSE array(d.doc.usage, d.doc.response.usage, d.doc.x_groq.usage) END"""
+            THEN {_object('message.usage')} ELSE {_object('usage')} END)
+        WHEN '{GEMINI}' THEN array({_object('usageMetadata')})
+        ELSE array({_object('usage')}, {_object('response.usage')}, {_object('x_groq.usage')}) END"""
     return f"""filter(flatten(transform(docs,
         d -> CASE WHEN is_sse THEN {stream} ELSE array({_whole_usage()}) END)),
-        u -> {is_object('u')})"""
+        u -> u IS NOT NULL)"""
 
 
 def raw_objects() -> str:
-    """The usage values of ``docs`` as sent, null ones left out, as JSON texts.
-
-    Writing a VARIANT back would turn ``5.0`` into ``5``; where an object has such
-    a number its text is taken from the source instead.
-    """
-    event = ", ".join(
-        f"CASE WHEN schema_of_variant(d.doc.{p}) <> 'VOID' THEN d.doc.{p} END" for p in _USAGE_PATHS
-    )
-    source = ", ".join(f"get_json_object(d.data, '$.{p}')" for p in _USAGE_PATHS)
-    values = f"""transform(docs, d -> named_struct('data', d.data, 'value',
-        CASE WHEN is_sse THEN coalesce({event}) ELSE {_whole_usage()} END))"""
-    return f"""transform(filter({values}, d -> d.value IS NOT NULL), d -> CASE
-        WHEN schema_of_variant(d.value) LIKE '%DECIMAL(%,0)%' THEN coalesce({source})
-        ELSE to_json(d.value) END)"""
+    """The usage values of ``docs`` as sent, as JSON texts; null ones are left out."""
+    event = ", ".join(f"d.doc.{p}" for p in _USAGE_PATHS)
+    return f"""filter(transform(docs, d -> CASE WHEN is_sse THEN coalesce({event})
+        ELSE {_whole_usage()} END), r -> r IS NOT NULL)"""
 
 
 def response_model() -> str:
@@ -159,12 +176,16 @@ def with_usage(documents: DataFrame) -> DataFrame:
         f"{raw_objects()} AS raw_list",
         f"{response_model()} AS seen_model",
     ).drop("docs")
-    reported = read.withColumn(
-        "reported", F.expr(f"transform(objects, u -> {fields_of('u', 'family')})")
-    ).drop("objects")
-    final = reported.withColumn("final", F.expr(f"transform(reported, f -> {folded('f')})"))
-    merged = ", ".join(f"'{c}', {last_known('final', c)}" for c in USAGE_COLUMNS)
-    return final.withColumn("usage", F.expr(f"named_struct({merged})")).drop("reported", "final")
+    return merge_usage(read, "objects").drop("objects")
+
+
+def merge_usage(rows: DataFrame, texts: str) -> DataFrame:
+    """Add ``usage``, merged from the array of usage texts in the column ``texts``."""
+    read = rows.withColumn("_read", F.expr(f"transform({texts}, u -> {parsed('u')})"))
+    fields = read.withColumn("_fields", F.expr(f"transform(_read, u -> {fields_of('u', 'family')})"))
+    return fields.withColumn(
+        "usage", F.expr(merged(f"transform(_fields, f -> {folded('f')})"))
+    ).drop("_read", "_fields")
 
 
 def with_outcome(usage: DataFrame) -> DataFrame:
@@ -172,7 +193,7 @@ def with_outcome(usage: DataFrame) -> DataFrame:
     empty = " AND ".join(f"usage.{c} IS NULL" for c in USAGE_COLUMNS)
     failed = F.col("outcome").isin("send_failure", "upstream_error")
     left = F.col("outcome") == "client_disconnect"
-    text = redact_error(F.col("error_message"), F.col("request_url"))
+    text = F.when(failed, redact_error(F.col("error_message"), F.col("request_url")))
     return (
         usage.withColumn("_text", text)
         .withColumn(
@@ -192,7 +213,7 @@ def with_outcome(usage: DataFrame) -> DataFrame:
         )
         .withColumn(
             "error_message",
-            F.when(failed, F.col("_text")).when(left, F.lit("downstream client disconnected")),
+            F.when(left, F.lit("downstream client disconnected")).otherwise(F.col("_text")),
         )
         .drop("_text")
     )
@@ -214,11 +235,12 @@ def normalize(
     calls = exchanges.withColumn("endpoint", endpoint_of(F.col("path"))).where(
         is_inference(F.col("endpoint"))
     )
-    done = with_outcome(with_usage(with_documents(calls, max_event_bytes)))
+    read = with_usage(with_documents(with_request_model(calls), max_event_bytes))
+    done = with_outcome(read)
     sound = "(anomaly IS NULL OR anomaly = 'no_usage')"
     columns = {
         "id": "call_id",
-        "model": f"coalesce({path_model()}, {request_model()}, seen_model)",
+        "model": f"coalesce({path_model()}, request_model, seen_model)",
         "status": f"CASE WHEN NOT {_SEND_FAILURE} THEN status END",
         "latency_ms": "elapsed_ms",
         "ttft_ms": """CASE WHEN is_sse THEN array_min(transform(
@@ -236,14 +258,12 @@ def backfill(calls: DataFrame) -> DataFrame:
 
     Adds them as ``raw_<column>``; all are NULL where nothing was stored.
     """
-    parsed = calls.withColumn("_raw", F.try_parse_json("raw_usage")).withColumn(
-        "_reported",
-        F.expr(
-            f"""transform(coalesce(try_variant_get(_raw, '$', 'array<variant>'), array(_raw)),
-                u -> {fields_of('u', family_of('provider'))})"""
-        ),
+    texts = calls.selectExpr(
+        "*",
+        f"{family_of('provider')} AS family",
+        """CASE WHEN startswith(raw_usage, '[') THEN from_json(raw_usage, 'array<string>')
+            ELSE array(raw_usage) END AS _texts""",
     )
-    final = parsed.withColumn("_final", F.expr(f"transform(_reported, f -> {folded('f')})"))
-    return final.select(
-        *calls.columns, *[F.expr(f"{last_known('_final', c)} AS raw_{c}") for c in USAGE_COLUMNS]
+    return merge_usage(texts, "_texts").select(
+        *calls.columns, *[F.col(f"usage.{c}").alias(f"raw_{c}") for c in USAGE_COLUMNS]
     )
