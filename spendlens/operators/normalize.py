@@ -93,11 +93,11 @@ def with_documents(
         f"{is_json()} AS is_json",
         f"CASE WHEN {is_stream()} THEN {sse.pieces_of('body')} END AS pieces",
     )
+    seen = "sse_overflow" if "sse_overflow" in exchanges.columns else "false"
     events = split.selectExpr(
         "*",
-        f"""coalesce(octet_length(body) > {max_event_bytes}
-            AND {sse.overflows('pieces', max_event_bytes)},
-            false) AS overflow""",
+        f"""coalesce({seen} OR octet_length(body) > {max_event_bytes}
+            AND {sse.overflows('pieces', max_event_bytes)}, false) AS overflow""",
         f"""CASE WHEN is_sse THEN filter({sse.events_of(
             f"filter({sse.complete('pieces')}, p -> {sse.maybe_usage('p')})"
         )}, e -> {sse.carries_usage('e')})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spendlens.plans import analytics, capture  # noqa: F401  (they register queries)
+from spendlens.plans import analytics, capture, stores  # noqa: F401  (they register queries)
 from spendlens.plans.registry import ORACLES, QUERIES, Query
 
 
