@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -44,7 +45,12 @@ MESSAGES = T.StructType(
     ]
 )
 
-ASSEMBLED = T.StructType([*EXCHANGES.fields, T.StructField("sse_overflow", T.BooleanType())])
+# Times are passed to the processor and back as microseconds.
+_TS_US = T.StructField("ts_us", T.LongType())
+_EMITTED = T.StructType(
+    [_TS_US if f.name == "ts" else f for f in EXCHANGES]
+    + [T.StructField("sse_overflow", T.BooleanType())]
+)
 
 _DELIMITER = re.compile(rb"\r\n\r\n|\n\n")
 _MARKS = (b'"usage"', b'"usageMetadata"', b"message_start", b"message_delta")
@@ -57,7 +63,8 @@ _PROGRESS = T.StructType(
         T.StructField("first_ms", T.LongType()),
         T.StructField("last_ms", T.LongType()),
         T.StructField("timer_ms", T.LongType()),
-        EXCHANGES["ts"],
+        T.StructField("gap", T.BooleanType()),
+        _TS_US,
         *[T.StructField(f.name, f.dataType) for f in HEAD],
     ]
 )
@@ -89,21 +96,19 @@ class CallAssembler(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         state = self._load()
-        latest = None
+        arrived, latest = {}, 0
         for row in rows:
-            latest = row.ts if latest is None else max(latest, row.ts)
-            if state["ts"] is None or row.ts < state["ts"]:
-                state["ts"] = row.ts
+            latest = max(latest, row.ts_us)
+            if state["ts_us"] is None or row.ts_us < state["ts_us"]:
+                state["ts_us"] = row.ts_us
             for f in HEAD:
                 if state[f.name] is None:
                     state[f.name] = row[f.name]
             if row.seq >= state["next_seq"]:
-                self.waiting.updateValue(
-                    (row.seq,), (row.outcome, row.elapsed_ms, row.data, row.error_message)
-                )
-        while self.waiting.containsKey((state["next_seq"],)):
-            outcome, elapsed, data, error = self.waiting.getValue((state["next_seq"],))
-            self.waiting.removeKey((state["next_seq"],))
+                message = (row.outcome, row.elapsed_ms, row.data, row.error_message)
+                arrived.setdefault(row.seq, message)
+        while (message := self._next(state, arrived)) is not None:
+            outcome, elapsed, data, error = message
             state["next_seq"] += 1
             state["last_ms"] = elapsed
             if outcome != CHUNK:
@@ -111,10 +116,23 @@ class CallAssembler(StatefulProcessor):
                 self._forget(state)
                 return
             self._observe(state, bytes(data or b""), elapsed)
-        if latest is not None:
-            self._restart_timer(state, latest)
+        for seq, message in arrived.items():
+            self.waiting.updateValue((seq,), message)
+            state["gap"] = True
+        self._restart_timer(state, latest)
         self.progress.update(tuple(state[f.name] for f in _PROGRESS))
 
+    def _next(self, state: dict, arrived: dict) -> tuple | None:
+        """The next message in order: of this batch, or waiting since an earlier one."""
+        seq = state["next_seq"]
+        if seq in arrived:
+            return arrived.pop(seq)
+        if state["gap"] and self.waiting.containsKey((seq,)):
+            message = self.waiting.getValue((seq,))
+            self.waiting.removeKey((seq,))
+            return message
+        return None
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         state = self._load()
         state["timer_ms"] = None
@@ -128,7 +146,7 @@ class CallAssembler(StatefulProcessor):
         if self.progress.exists():
             return dict(zip(_PROGRESS.fieldNames(), self.progress.get()))
         return {f.name: None for f in _PROGRESS} | {
-            "next_seq": 0, "rest": b"", "overflow": False, "last_ms": 0,
+            "next_seq": 0, "rest": b"", "overflow": False, "last_ms": 0, "gap": False,
         }
 
     def _observe(self, state: dict, data: bytes, elapsed: int) -> None:
@@ -153,7 +171,7 @@ class CallAssembler(StatefulProcessor):
         first = state["first_ms"]
         values = {f.name: state[f.name] for f in HEAD} | {
             "call_id": key[0],
-            "ts": state["ts"],
+            "ts_us": state["ts_us"],
             "body": body,
             "chunks": [] if first is None else [Row(elapsed_ms=first, bytes=1)],
             "elapsed_ms": state["last_ms"],
@@ -162,12 +180,12 @@ class CallAssembler(StatefulProcessor):
             "observation_dropped": dropped,
             "sse_overflow": state["overflow"],
         }
-        return Row(**{f.name: values[f.name] for f in ASSEMBLED})
+        return Row(**{f.name: values[f.name] for f in _EMITTED})
 
     def _restart_timer(self, state: dict, latest) -> None:
         if state["timer_ms"] is not None:
             self.handle.deleteTimer(state["timer_ms"])
-        state["timer_ms"] = int(latest.timestamp() * 1000) + self.timeout_ms
+        state["timer_ms"] = latest // 1000 + self.timeout_ms
         self.handle.registerTimer(state["timer_ms"])
 
     def _forget(self, state: dict) -> None:
@@ -187,13 +205,15 @@ def assemble(
 
     Needs the RocksDB state store: ``spark.sql.streaming.stateStore.providerClass``.
     """
-    return (
+    emitted = (
         messages.withWatermark("ts", lateness)
+        .withColumn("ts_us", F.unix_micros("ts"))
         .groupBy("call_id")
         .transformWithState(
             CallAssembler(timeout_ms, max_event_bytes),
-            outputStructType=ASSEMBLED,
+            outputStructType=_EMITTED,
             outputMode="Append",
             timeMode="EventTime",
         )
     )
+    return emitted.withColumn("ts", F.timestamp_micros("ts_us")).drop("ts_us")
