@@ -41,15 +41,9 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
-def contains_any(text: Column, needles: list[str]) -> Column:
-    found = F.lit(False)
-    for needle in needles:
-        found = found | F.contains(text, F.lit(needle))
-    return found
-
-
 def is_inference(endpoint: Column) -> Column:
-    return contains_any(ascii_lower(endpoint), INFERENCE_MARKERS)
+    """Upper-case A-Z match as well; one pattern reads the path once."""
+    return endpoint.rlike("(?i)" + "|".join(INFERENCE_MARKERS))
 
 
 def endpoint_of(path: Column) -> Column:
@@ -72,7 +66,7 @@ def error_kind_of(message: Column) -> Column:
     low = F.lower(message)
     kind = F.when(message.isNull(), F.lit(None).cast("string"))
     for name, needles in ERROR_RULES:
-        kind = kind.when(contains_any(low, needles), F.lit(name))
+        kind = kind.when(low.rlike("|".join(needles)), F.lit(name))
     return kind.otherwise(F.lit("other"))
 
 

@@ -25,29 +25,28 @@ def with_previous(
     A window over ``by`` alone would send a dominating group to one task. The
     rows are windowed per group and slice of time instead, and the first row of
     a slice takes the last time of the slice before it, from a table with one
-    row per group and non-empty slice.
+    row per group and non-empty slice. Both are partitioned alike, so the rows
+    are shuffled once.
     """
-    sliced = rows.withColumn(
-        "_slice",
-        F.expr(f"CAST(floor(unix_seconds(CAST(ts AS TIMESTAMP)) / {slice_seconds}) AS BIGINT)"),
+    sliced = rows.selectExpr(
+        "*",
+        f"coalesce('=' || {by}, '') AS _group",
+        f"CAST(floor(unix_seconds(CAST(ts AS TIMESTAMP)) / {slice_seconds}) AS BIGINT) AS _slice",
     )
     edges = (
-        sliced.groupBy(by, "_slice")
+        sliced.groupBy("_group", "_slice")
         .agg(F.max("ts").alias("_last"))
         .selectExpr(
-            f"{by} AS _group",
-            "_slice AS _at",
-            f"lag(_last) OVER (PARTITION BY {by} ORDER BY _slice) AS _before",
+            "_group",
+            "_slice",
+            "lag(_last) OVER (PARTITION BY _group ORDER BY _slice) AS _before",
         )
     )
     windowed = sliced.withColumn(
-        "_within", F.expr(f"lag(ts) OVER (PARTITION BY {by}, _slice ORDER BY ts, {tie})")
+        "_within", F.expr(f"lag(ts) OVER (PARTITION BY _group, _slice ORDER BY ts, {tie})")
     )
-    joined = windowed.join(
-        edges, windowed[by].eqNullSafe(F.col("_group")) & (F.col("_slice") == F.col("_at")), "left"
-    )
-    return joined.select(
-        *[F.col(c) for c in rows.columns], F.coalesce("_within", "_before").alias("previous_ts")
+    return windowed.join(edges, ["_group", "_slice"], "left").select(
+        *[windowed[c] for c in rows.columns], F.coalesce("_within", "_before").alias("previous_ts")
     )
 
 

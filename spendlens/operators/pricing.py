@@ -99,11 +99,17 @@ class RateCard:
     cells: DataFrame
     short_cells: DataFrame | None
 
+    def unpersist(self) -> None:
+        for cells in (self.cells, self.short_cells):
+            if cells is not None:
+                cells.unpersist()
+
 
 def rate_card(prices: DataFrame | RateCard) -> RateCard:
     """Lay a price table out for joining, after counting its keys.
 
-    Build it once to price several frames, or every batch of a stream.
+    Build it once to price several frames, or every batch of a stream: the cells
+    of a table small enough to be broadcast are kept in memory.
     """
     if isinstance(prices, RateCard):
         return prices
@@ -111,13 +117,11 @@ def rate_card(prices: DataFrame | RateCard) -> RateCard:
     keys, short_keys = prices.selectExpr("count(*)", f"count_if({short_key})").first()
 
     def sized(cells: DataFrame) -> DataFrame:
-        return F.broadcast(cells) if keys <= BROADCAST_KEYS else cells
+        return F.broadcast(cells.persist()) if keys <= BROADCAST_KEYS else cells
 
-    cells = rate_cells(prices.where(f"length(model_key) >= {BUCKET_CHARS}"), BUCKET_CHARS)
-    short = None
-    if short_keys:
-        short = sized(rate_cells(prices.where(short_key), 1))
-    return RateCard(sized(cells), short)
+    short = sized(rate_cells(prices.where(short_key), 1)) if short_keys else None
+    long_key = f"length(model_key) >= {BUCKET_CHARS}"
+    return RateCard(sized(rate_cells(prices.where(long_key), BUCKET_CHARS)), short)
 
 
 def counted(column: str) -> str:

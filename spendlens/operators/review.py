@@ -257,25 +257,26 @@ def evaluation_bursts(calls: DataFrame, idle_seconds: int = 300, min_models: int
         .groupBy("src", "slice", "model")
         .agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     )
-    per_slice = slices.groupBy("src", "slice").agg(
-        F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts")
-    )
-    sessions = per_slice.selectExpr(
-        "src",
-        "slice",
-        "first_ts",
-        """timestampdiff(MICROSECOND, lag(last_ts) OVER (PARTITION BY src ORDER BY slice), first_ts)
-            AS idle""",
-    ).selectExpr(
-        "src",
-        "slice",
-        f"""sum(CASE WHEN idle <= {idle_seconds * 1_000_000} THEN 0 ELSE 1 END)
-            OVER (PARTITION BY src ORDER BY slice
-            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session""",
+    # A session is named by its first slice.
+    sessions = (
+        slices.selectExpr(
+            "*",
+            "min(first_ts) OVER (PARTITION BY src, slice) AS slice_first",
+            """max(last_ts) OVER (PARTITION BY src ORDER BY slice
+                RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before""",
+        )
+        .withColumn("idle", F.expr("timestampdiff(MICROSECOND, before, slice_first)"))
+        .withColumn(
+            "session",
+            F.expr(
+                f"""max(CASE WHEN idle <= {idle_seconds * 1_000_000} THEN NULL ELSE slice END)
+                OVER (PARTITION BY src ORDER BY slice
+                RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+            ),
+        )
     )
     return (
-        slices.join(sessions, ["src", "slice"])
-        .groupBy("src", "session", "model")
+        sessions.groupBy("src", "session", "model")
         .agg(
             F.sum("n").alias("n"),
             F.min("first_ts").alias("first_ts"),

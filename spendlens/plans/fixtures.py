@@ -268,7 +268,7 @@ def columns_sql(columns: dict[str, str], table: str, where: str = "TRUE") -> str
 
 
 def derive(table: DataFrame, columns: dict[str, str]) -> DataFrame:
-    return table.select(*[F.expr(expr).alias(name) for name, expr in columns.items()])
+    return table.selectExpr(*[f"{expr} AS {name}" for name, expr in columns.items()])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

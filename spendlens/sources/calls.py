@@ -24,10 +24,10 @@ def read_calls(spark: SparkSession, path: str, format: str = "parquet", **option
     Tables written by ``append_calls`` are partitioned by the UTC date ``dt``,
     which time bounds prune on.
     """
-    schema = T.StructType(CALLS.fields)
+    fields = list(CALLS.fields)
     if format == "parquet" and "dt" in spark.read.parquet(path).columns:
-        schema = schema.add(PARTITION)
-    return spark.read.schema(schema).options(**options).format(format).load(path)
+        fields.append(PARTITION)
+    return spark.read.schema(T.StructType(fields)).options(**options).format(format).load(path)
 
 
 def union_calls(*tables: DataFrame) -> DataFrame:
@@ -37,8 +37,8 @@ def union_calls(*tables: DataFrame) -> DataFrame:
 
 def first_per_id(batch: DataFrame, order: str = "ingest_seq") -> DataFrame:
     """One row per id, the one that came first; copies are reduced before the shuffle."""
-    columns = batch.columns
-    first = batch.groupBy("id").agg(F.min_by(F.struct(*columns), order).alias("first"))
+    arrival = F.struct(F.col(order).isNull(), F.col(order))
+    first = batch.groupBy("id").agg(F.min_by(F.struct(*batch.columns), arrival).alias("first"))
     return first.select("first.*")
 
 
