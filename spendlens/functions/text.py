@@ -53,13 +53,14 @@ def endpoint_of(path: Column) -> Column:
 def client_of(headers: Column, client_header: str) -> Column:
     """The declared client: the dedicated header when present, else the User-Agent.
 
-    A header that is present but blank gives NULL, without falling back.
-    Header names are expected in lower case.
+    A header that is present but blank, or not plain ASCII text, gives NULL without
+    falling back. Header names are expected in lower case.
     """
     declared = F.when(
         F.map_contains_key(headers, client_header), headers[client_header]
     ).otherwise(F.try_element_at(headers, F.lit("user-agent")))
-    return F.left(F.nullif(F.trim(declared), F.lit("")), F.lit(CLIENT_MAX_CHARS))
+    plain = F.when(declared.rlike(r"^[\t -~]*$"), F.btrim(declared, F.lit(" \t")))
+    return F.left(F.nullif(plain, F.lit("")), F.lit(CLIENT_MAX_CHARS))
 
 
 def error_kind_of(message: Column) -> Column:

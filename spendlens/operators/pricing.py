@@ -32,13 +32,13 @@ BUCKET_CHARS = 5
 
 _LAST_CHAR = chr(0x10FFFF)
 _MAX_TOKENS = 2**63 - 1
-_UNIT_COLUMNS = ["input_units", "output_units", "cache_read_units", "cache_creation_units"]
-_RATED_COLUMNS = ["model_key", "cache_in_input", *_UNIT_COLUMNS]
+UNIT_COLUMNS = ["input_units", "output_units", "cache_read_units", "cache_creation_units"]
+_RATED_COLUMNS = ["model_key", "cache_in_input", *UNIT_COLUMNS]
 
 
 def _band(above: str, row: str = "") -> str:
     units = ", ".join(
-        f"'{u}', CAST({row}{r} * 1000000 AS BIGINT)" for r, u in zip(RATE_COLUMNS, _UNIT_COLUMNS)
+        f"'{u}', CAST({row}{r} * 1000000 AS BIGINT)" for r, u in zip(RATE_COLUMNS, UNIT_COLUMNS)
     )
     return f"named_struct('above_tokens', CAST({above} AS BIGINT), {units})"
 
@@ -87,7 +87,7 @@ def rate_cells(prices: DataFrame, bucket_chars: int) -> DataFrame:
             "owner.cache_in_input",
             f"""inline(transform(owner.bands, (b, i) -> struct(b.above_tokens AS above_tokens,
                 coalesce(get(owner.bands, i + 1).above_tokens, {_MAX_TOKENS}) AS upto_tokens,
-                {", ".join(f"b.{u} AS {u}" for u in _UNIT_COLUMNS)})))""",
+                {", ".join(f"b.{u} AS {u}" for u in UNIT_COLUMNS)})))""",
         )
     )
 

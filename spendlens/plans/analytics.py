@@ -12,7 +12,7 @@ from spendlens.functions import text
 from spendlens.operators import budget, gaps, pricing, quality, review, stats, tail
 from spendlens.plans import fixtures
 from spendlens.plans.registry import query
-from spendlens.timebounds import from_bound, since, window_bound
+from spendlens.timebounds import bound_literal, from_bound, since, window_bound
 
 NOW = datetime(2024, 1, 31, 12, tzinfo=timezone.utc)
 IN_DATA = datetime(2024, 1, 24, 20, 30, tzinfo=timezone.utc)
@@ -102,19 +102,19 @@ def _since_query(spec: str, now: datetime, tz: str):
     return run
 
 
-def _at(*parts: int) -> datetime:
+def at_utc(*parts: int) -> datetime:
     return datetime(*parts, tzinfo=timezone.utc)
 
 
 for _key, _spec, _now, _tz, _bound in [
-    ("t1_since_instant", "2024-01-20T06:00:00Z", NOW, "UTC", _at(2024, 1, 20, 6)),
-    ("t2_since_days", "7d", NOW, ZONE, _at(2024, 1, 24, 12)),
-    ("t2_since_hours", "100h", NOW, ZONE, _at(2024, 1, 27, 8)),
-    ("t2_since_minutes", "4500m", NOW, ZONE, _at(2024, 1, 28, 9)),
-    ("t3_since_today", "Today", IN_DATA, ZONE, _at(2024, 1, 24, 8)),
-    ("t4_since_offset", "2024-01-18T10:00:00+08:00", NOW, "UTC", _at(2024, 1, 18, 2)),
-    ("t5_since_date", "2024-01-15", NOW, ZONE, _at(2024, 1, 15)),
-    ("t5_since_month", "2024-01", NOW, ZONE, _at(2024, 1, 1)),
+    ("t1_since_instant", "2024-01-20T06:00:00Z", NOW, "UTC", at_utc(2024, 1, 20, 6)),
+    ("t2_since_days", "7d", NOW, ZONE, at_utc(2024, 1, 24, 12)),
+    ("t2_since_hours", "100h", NOW, ZONE, at_utc(2024, 1, 27, 8)),
+    ("t2_since_minutes", "4500m", NOW, ZONE, at_utc(2024, 1, 28, 9)),
+    ("t3_since_today", "Today", IN_DATA, ZONE, at_utc(2024, 1, 24, 8)),
+    ("t4_since_offset", "2024-01-18T10:00:00+08:00", NOW, "UTC", at_utc(2024, 1, 18, 2)),
+    ("t5_since_date", "2024-01-15", NOW, ZONE, at_utc(2024, 1, 15)),
+    ("t5_since_month", "2024-01", NOW, ZONE, at_utc(2024, 1, 1)),
 ]:
     query(_key, _by_provider_sql(_bound))(_since_query(_spec, _now, _tz))
 
@@ -122,9 +122,9 @@ for _key, _spec, _now, _tz, _bound in [
 @query(
     "t7_calendar_windows",
     f"""WITH calls AS ({fixtures.CALLS_SQL}),
-    bounds AS (SELECT 'day' AS period, {utc(_at(2024, 1, 24, 8))} AS bound
-      UNION ALL SELECT 'week', {utc(_at(2024, 1, 22, 8))}
-      UNION ALL SELECT 'month', {utc(_at(2024, 1, 1, 8))})
+    bounds AS (SELECT 'day' AS period, {utc(at_utc(2024, 1, 24, 8))} AS bound
+      UNION ALL SELECT 'week', {utc(at_utc(2024, 1, 22, 8))}
+      UNION ALL SELECT 'month', {utc(at_utc(2024, 1, 1, 8))})
     SELECT period, count(*) AS calls, min(ts) AS first_ts
     FROM bounds JOIN calls ON ts >= bound GROUP BY period""",
 )
@@ -132,7 +132,7 @@ def calendar_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = fixtures.calls(spark, sf_dir).select("ts")
     bounds = {p: window_bound(p, IN_DATA, ZONE) for p in ("day", "week", "month")}
     recent = from_bound(calls, min(bounds.values()))
-    starts = {p: F.lit(b.replace(tzinfo=None)).cast("timestamp_ntz") for p, b in bounds.items()}
+    starts = {p: bound_literal(b, calls.schema["ts"].dataType) for p, b in bounds.items()}
     counts = recent.agg(
         *[F.count_if(F.col("ts") >= s).alias(f"{p}_calls") for p, s in starts.items()],
         *[F.min(F.when(F.col("ts") >= s, F.col("ts"))).alias(f"{p}_first") for p, s in starts.items()],
@@ -228,7 +228,7 @@ def context_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def effective_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = pricing.attach_rates(fixtures.calls(spark, sf_dir), card(spark))
-    return rated.select("id", "model_key", *pricing._UNIT_COLUMNS)
+    return rated.select("id", "model_key", *pricing.UNIT_COLUMNS)
 
 
 @query(
@@ -270,7 +270,7 @@ def call_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return priced(spark, sf_dir).select("id", pricing.usd(F.col("cost_pico")).alias("cost_usd"))
 
 
-_SOURCED_SQL = f"""sourced AS (SELECT *,
+SOURCED_SQL = f"""sourced AS (SELECT *,
     CASE WHEN cost IS NOT NULL THEN cost ELSE {usd_sql('priced_pico')} END AS cost_usd,
     CASE WHEN cost IS NOT NULL THEN 'provider' WHEN priced_pico IS NOT NULL THEN 'computed' END
       AS cost_source FROM priced)"""
@@ -278,7 +278,7 @@ _SOURCED_SQL = f"""sourced AS (SELECT *,
 
 @query(
     "p8_cost_with_source",
-    with_priced("SELECT id, cost_usd, cost_source FROM sourced", _SOURCED_SQL),
+    with_priced("SELECT id, cost_usd, cost_source FROM sourced", SOURCED_SQL),
 )
 def cost_with_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pricing.with_cost_source(priced(spark, sf_dir)).select("id", "cost_usd", "cost_source")
@@ -425,13 +425,13 @@ def _spend_sql(bound: datetime) -> str:
         count(*) - count(cost_pico) AS unpriced_calls FROM priced WHERE ts >= {utc(bound)}"""
 
 
-@query("a12_budget_spend", with_priced(_spend_sql(_at(2024, 1, 22, 8))))
+@query("a12_budget_spend", with_priced(_spend_sql(at_utc(2024, 1, 22, 8))))
 def budget_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
     bound = window_bound("week", IN_DATA, ZONE)
     return budget.spend(from_bound(fixtures.calls(spark, sf_dir), bound), card(spark))
 
 
-def _verdict_sql(bound: datetime, window: str, amount: str) -> str:
+def verdict_sql(bound: datetime, window: str, amount: str) -> str:
     return f"""SELECT '{window}' AS "window",
         strftime({utc(bound)}, '%Y-%m-%dT%H:%M:%SZ') AS since, spent,
         {amount}e0 AS budget, spent / {amount}e0 * 100.0e0 AS pct, spent >= {amount}e0 AS over,
@@ -451,11 +451,11 @@ def _check_query(spec: str):
 
 
 for _key, _spec, _bound, _window, _amount in [
-    ("a13_verdict_over", "50/month", _at(2024, 1, 1, 8), "month", "50.0"),
-    ("a13_verdict_unknown", "900000000/week", _at(2024, 1, 22, 8), "week", "900000000.0"),
-    ("a14_budget_spec", " 12.50 / 36h ", _at(2024, 1, 23, 8, 30), "36h", "12.5"),
+    ("a13_verdict_over", "50/month", at_utc(2024, 1, 1, 8), "month", "50.0"),
+    ("a13_verdict_unknown", "900000000/week", at_utc(2024, 1, 22, 8), "week", "900000000.0"),
+    ("a14_budget_spec", " 12.50 / 36h ", at_utc(2024, 1, 23, 8, 30), "36h", "12.5"),
 ]:
-    query(_key, with_priced(_verdict_sql(_bound, _window, _amount)))(_check_query(_spec))
+    query(_key, with_priced(verdict_sql(_bound, _window, _amount)))(_check_query(_spec))
 
 
 _LINE_SQL = """SELECT "window" || ': $' || CAST(CAST(spent AS DECIMAL(24,2)) AS VARCHAR)
@@ -467,8 +467,8 @@ _LINE_SQL = """SELECT "window" || ': $' || CAST(CAST(spent AS DECIMAL(24,2)) AS
 @query(
     "d5_budget_line",
     with_priced(
-        f"""{_LINE_SQL} FROM ({_verdict_sql(_at(2024, 1, 1, 8), 'month', '50.0')})
-        UNION ALL {_LINE_SQL} FROM ({_verdict_sql(_at(2024, 1, 22, 8), 'week', '900000000.0')})"""
+        f"""{_LINE_SQL} FROM ({verdict_sql(at_utc(2024, 1, 1, 8), 'month', '50.0')})
+        UNION ALL {_LINE_SQL} FROM ({verdict_sql(at_utc(2024, 1, 22, 8), 'week', '900000000.0')})"""
     ),
 )
 def budget_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -482,14 +482,14 @@ def budget_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- listing ---------------------------------------------------------------------------------
 
-_LISTED_SQL = ", ".join(f"{c} AS {name}" for c, name in tail.LISTED.items())
+LISTED_SQL = ", ".join(f"{c} AS {name}" for c, name in tail.LISTED.items())
 
 
 @query(
     "k1_tail",
     with_priced(
-        f"SELECT ingest_seq, {_LISTED_SQL} FROM sourced ORDER BY ingest_seq DESC LIMIT 20",
-        _SOURCED_SQL,
+        f"SELECT ingest_seq, {LISTED_SQL} FROM sourced ORDER BY ingest_seq DESC LIMIT 20",
+        SOURCED_SQL,
     ),
 )
 def tail_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -499,9 +499,9 @@ def tail_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "k1_tail_since",
     with_priced(
-        f"""SELECT ingest_seq, {_LISTED_SQL} FROM sourced WHERE ts >= {utc(_at(2024, 1, 29))}
+        f"""SELECT ingest_seq, {LISTED_SQL} FROM sourced WHERE ts >= {utc(at_utc(2024, 1, 29))}
         ORDER BY ingest_seq DESC LIMIT 7""",
-        _SOURCED_SQL,
+        SOURCED_SQL,
     ),
 )
 def tail_since(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -529,7 +529,7 @@ def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "d3_error_label",
-    with_priced("SELECT ingest_seq, error_label FROM labelled", f"{_SOURCED_SQL}, {_LABELS_SQL}"),
+    with_priced("SELECT ingest_seq, error_label FROM labelled", f"{SOURCED_SQL}, {_LABELS_SQL}"),
 )
 def error_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tail.with_labels(_listing(spark, sf_dir)).select("ingest_seq", "error_label")
@@ -540,7 +540,7 @@ def error_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_priced(
         """SELECT ingest_seq, status_label, tokens_label, cache_label, cost_label, client_label
         FROM labelled""",
-        f"{_SOURCED_SQL}, {_LABELS_SQL}",
+        f"{SOURCED_SQL}, {_LABELS_SQL}",
     ),
 )
 def listing_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -558,7 +558,7 @@ def listing_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         || coalesce(' ' || cost_label, '') || coalesce(' ERROR=' || error_label, '')
         || coalesce(' ANOMALY=' || anomaly, '')
         || coalesce(' client=' || client_label, '') AS line FROM labelled""",
-        f"{_SOURCED_SQL}, {_LABELS_SQL}",
+        f"{SOURCED_SQL}, {_LABELS_SQL}",
     ),
 )
 def listing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -718,7 +718,7 @@ CANDIDATES = [
           FROM restated z LEFT JOIN tiers t ON t.model_key = z.to_key
             AND CASE WHEN to_subset THEN ci ELSE ci + r + cw END > t.above_input_tokens))
         GROUP BY 1, 2, 3, 4""",
-        f"""candidates AS (SELECT * FROM (VALUES {fixtures._values(CANDIDATES)})
+        f"""candidates AS (SELECT * FROM (VALUES {fixtures.values_sql(CANDIDATES)})
           AS t(from_key, candidate, task_class)),
         target AS (SELECT candidate, arg_max(model_key, length(model_key)) AS to_key
           FROM (SELECT DISTINCT candidate FROM candidates)

@@ -251,7 +251,7 @@ _EXPECTED_SQL = f"""expected AS (SELECT call_id, provider, turn, chars,
   FROM streams)"""
 
 
-def _expected(select: str, where: str = "TRUE") -> str:
+def expected_streams(select: str, where: str = "TRUE") -> str:
     return f"WITH {STREAMS}, {_EXPECTED_SQL} SELECT {select} FROM expected WHERE {where}"
 
 
@@ -260,7 +260,7 @@ def _stream_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream_query(key: str, condition: str) -> None:
-    @query(key, _expected(", ".join(["call_id", *USAGE_COLUMNS]), condition))
+    @query(key, expected_streams(", ".join(["call_id", *USAGE_COLUMNS]), condition))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         read = norm.with_usage(
             norm.with_documents(fixtures.streams(spark, sf_dir).where(condition))
@@ -292,7 +292,7 @@ def merge_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("n15_raw_usage", _expected("call_id, raw_usage"))
+@query("n15_raw_usage", expected_streams("call_id, raw_usage"))
 def raw_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = _stream_usage(spark, sf_dir)
     return read.selectExpr("call_id", f"{norm.raw_usage()} AS raw_usage")
@@ -318,7 +318,7 @@ _PATH_MODEL_SQL = """CASE WHEN provider = 'gemini'
 _REQUEST_MODEL_SQL = """CASE WHEN content_length IN ('512', '262144') AND event_body = 0
     THEN request_body ->> '$.model' END"""
 
-_RECORDS_SQL = f"""WITH {CAPTURES},
+RECORDS_SQL = f"""WITH {CAPTURES},
   source AS (SELECT * REPLACE (CASE WHEN outcome = 'send_failure' OR observation_dropped
       THEN 'none' ELSE content_type END AS content_type),
       CASE WHEN starts_with(request_body, '{{"model":"') THEN 0 ELSE 1 END AS event_body
@@ -348,7 +348,7 @@ _RECORDS_SQL = f"""WITH {CAPTURES},
 def _record_query(key: str, columns: list[str]) -> None:
     names = ", ".join(["id", *columns])
 
-    @query(key, f"{_RECORDS_SQL} SELECT {names} FROM records")
+    @query(key, f"{RECORDS_SQL} SELECT {names} FROM records")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return norm.normalize(fixtures.captures(spark, sf_dir)).select("id", *columns)
 
@@ -458,18 +458,18 @@ def degraded(spark: SparkSession, sf_dir: str) -> DataFrame:
 _record_query("n26_missing_usage", ["anomaly"])
 
 
-@query("n27_timings", _expected("call_id AS id, ttft_ms, elapsed_ms AS latency_ms"))
+@query("n27_timings", expected_streams("call_id AS id, ttft_ms, elapsed_ms AS latency_ms"))
 def timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return norm.normalize(fixtures.streams(spark, sf_dir)).select("id", "ttft_ms", "latency_ms")
 
 
-_RECORD_COLUMNS = [c for c in norm.CALL_COLUMNS if c not in ("id", "raw_usage")]
-_record_query("n28_records", _RECORD_COLUMNS)
+RECORD_COLUMNS = [c for c in norm.CALL_COLUMNS if c not in ("id", "raw_usage")]
+_record_query("n28_records", RECORD_COLUMNS)
 
 
 @query(
     "n28_stream_records",
-    _expected(
+    expected_streams(
         f"""call_id AS id, ts, provider, model, 200 AS status, elapsed_ms AS latency_ms, ttft_ms,
         TRUE AS stream, {', '.join(TOKEN_COLUMNS)}, error_kind,
         CASE WHEN error_kind IS NOT NULL THEN 'downstream client disconnected' END AS error_message,
@@ -494,13 +494,13 @@ _STORED_COLUMNS = ", ".join(
 )
 
 
-@query("s10_backfill_streams", _expected(f"call_id AS id, {_STORED_COLUMNS}"))
+@query("s10_backfill_streams", expected_streams(f"call_id AS id, {_STORED_COLUMNS}"))
 def backfill_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     filled = norm.backfill(norm.normalize(fixtures.streams(spark, sf_dir)))
     return filled.select("id", *[f"raw_{c}" for c in USAGE_COLUMNS])
 
 
-@query("s10_backfill_bodies", f"{_RECORDS_SQL} SELECT id, {_RAW_COLUMNS} FROM records")
+@query("s10_backfill_bodies", f"{RECORDS_SQL} SELECT id, {_RAW_COLUMNS} FROM records")
 def backfill_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     filled = norm.backfill(norm.normalize(fixtures.captures(spark, sf_dir)))
     return filled.select("id", *[f"raw_{c}" for c in USAGE_COLUMNS])

@@ -334,7 +334,7 @@ def prices(spark: SparkSession) -> DataFrame:
     return parse_price_documents(spark.range(1).select(F.lit(price_document()).alias("value")))
 
 
-def _values(rows: list[tuple]) -> str:
+def values_sql(rows: list[tuple]) -> str:
     def literal(v) -> str:
         if isinstance(v, bool):
             return str(v).upper()
@@ -346,11 +346,11 @@ def _values(rows: list[tuple]) -> str:
 _RATES_SQL = """CAST(i AS DECIMAL(18,6)) AS input_per_m, CAST(o AS DECIMAL(18,6)) AS output_per_m,
   CAST(r AS DECIMAL(18,6)) AS cache_read_per_m, CAST(c AS DECIMAL(18,6)) AS cache_creation_per_m"""
 PRICES_SQL = (
-    f"SELECT model_key, {_RATES_SQL}, cache_in_input FROM (VALUES {_values(PRICE_ROWS)})"
+    f"SELECT model_key, {_RATES_SQL}, cache_in_input FROM (VALUES {values_sql(PRICE_ROWS)})"
     " AS t(model_key, i, o, r, c, cache_in_input)"
 )
 TIERS_SQL = (
-    f"SELECT model_key, above_input_tokens, {_RATES_SQL} FROM (VALUES {_values(TIER_ROWS)})"
+    f"SELECT model_key, above_input_tokens, {_RATES_SQL} FROM (VALUES {values_sql(TIER_ROWS)})"
     " AS t(model_key, above_input_tokens, i, o, r, c)"
 )
 CALLS_SQL = columns_sql(CALLS, "events")

@@ -251,7 +251,7 @@ def grouped_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "s8_listing_json",
     analytics.with_priced(
-        f"SELECT ingest_seq, {analytics._LISTED_SQL} FROM sourced", analytics._SOURCED_SQL
+        f"SELECT ingest_seq, {analytics.LISTED_SQL} FROM sourced", analytics.SOURCED_SQL
     ),
 )
 def listing_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,7 +263,7 @@ def listing_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "s9_budget_json",
     analytics.with_priced(
-        analytics._verdict_sql(analytics._at(2024, 1, 22, 8), "week", "50.0")
+        analytics.verdict_sql(analytics.at_utc(2024, 1, 22, 8), "week", "50.0")
     ),
 )
 def budget_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,7 +278,7 @@ def budget_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "h1_stream_records",
-    f"{capture._RECORDS_SQL} SELECT id, {', '.join(capture._RECORD_COLUMNS)} FROM records",
+    f"{capture.RECORDS_SQL} SELECT id, {', '.join(capture.RECORD_COLUMNS)} FROM records",
 )
 def stream_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_dir(spark, "normalize")
@@ -313,7 +313,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "h2_assembled_streams",
-    capture._expected(
+    capture.expected_streams(
         """call_id AS id, provider, model, elapsed_ms AS latency_ms, ttft_ms, input_tokens,
         output_tokens, cache_read_input_tokens, reasoning_output_tokens, cost, error_kind,
         CAST(NULL AS VARCHAR) AS anomaly, raw_usage"""

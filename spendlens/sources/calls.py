@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spendlens.operators.quality import decode_lenient, decode_strict
 from spendlens.schemas import CALL_COLUMNS, CALLS
 
 PARTITION = T.StructField("dt", T.DateType())
@@ -30,6 +31,18 @@ def read_calls(spark: SparkSession, path: str, format: str = "parquet", **option
     return spark.read.schema(T.StructType(fields)).options(**options).format(format).load(path)
 
 
+def read_export(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """Calls exported as CSV with a header, such as from a SQLite ``calls`` table.
+
+    All cells are text and decoded: a bad one fails the job when ``strict`` and
+    drops its row otherwise. Columns the export lacks are NULL.
+    """
+    raw = spark.read.option("header", True).csv(path)
+    decoded = (decode_strict if strict else decode_lenient)(raw)
+    missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in CALLS if f.name not in raw.columns]
+    return decoded.select("*", *missing).select(*CALL_COLUMNS)
+
+
 def union_calls(*tables: DataFrame) -> DataFrame:
     """Calls of tables of different age as one; columns a table lacks are NULL in its rows."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)

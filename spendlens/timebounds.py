@@ -81,7 +81,7 @@ def window_bound(period: str, now: datetime, tz: str | tzinfo = "UTC") -> dateti
 def bound_literal(bound: datetime, like: T.DataType) -> Column:
     """``bound`` in the type of the column it is compared with, so the filter reaches the scan."""
     if isinstance(like, T.TimestampNTZType):
-        return F.lit(bound.astimezone(UTC).replace(tzinfo=None)).cast("timestamp_ntz")
+        return F.lit(bound.astimezone(UTC).replace(tzinfo=None).isoformat()).cast(like)
     return F.lit(bound)
 
 

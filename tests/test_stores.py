@@ -47,6 +47,22 @@ def test_other_formats(spark, tmp_path, format):
     assert (row.id, row.input_tokens, row.cost, row.stream) == ("x", 5, 0.5, False)
 
 
+def test_exported_tables(spark, tmp_path):
+    header = "id,ts,provider,model,status,latency_ms,ttft_ms,stream,input_tokens,cost"
+    path = _write(
+        tmp_path / "calls.csv",
+        f"{header}\n"
+        "a,2026-07-20T10:00:00.123456789Z,openai,m,200,5,,1,100,0.25\n"
+        "b,2026-07-20T10:00:00Z,openai,,,5,,0,not-an-integer,\n",
+    )
+    row = store.read_export(spark, path).collect()
+    assert [r.id for r in row] == ["a"]
+    assert (row[0].stream, row[0].input_tokens, row[0].cost, row[0].peer_exe) == (True, 100, 0.25, None)
+    assert row[0].ts.microsecond == 123456
+    with pytest.raises(Exception, match="not-an-integer"):
+        store.read_export(spark, path, strict=True).collect()
+
+
 def test_time_bounds_prune_dates(spark, tmp_path):
     path = str(tmp_path / "calls")
     days = [{"ts": f"2026-07-{d:02d} 10:00:00"} for d in range(1, 11)]
