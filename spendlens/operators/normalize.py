@@ -82,7 +82,7 @@ def with_request_model(exchanges: DataFrame) -> DataFrame:
 def with_documents(
     exchanges: DataFrame, max_event_bytes: int = sse.MAX_EVENT_BYTES
 ) -> DataFrame:
-    """Add ``docs``: the parsed usage-bearing events of a stream, or the one parsed body.
+    """Add ``doc``, the parsed whole body, or ``docs``, the parsed usage-bearing events of a stream.
 
     Also ``is_sse`` and ``overflow``: whether a single event outgrew its limit.
     """
@@ -90,93 +90,106 @@ def with_documents(
         "*",
         f"{family_of('provider')} AS family",
         f"{is_stream()} AS is_sse",
-        f"{is_json()} AS is_json",
+        f"CASE WHEN {is_json()} THEN from_json(body, '{DOCUMENT}') END AS doc",
         f"CASE WHEN {is_stream()} THEN {sse.pieces_of('body')} END AS pieces",
     )
     seen = "sse_overflow" if "sse_overflow" in exchanges.columns else "false"
-    events = split.selectExpr(
+    mentions = f"filter({sse.complete('pieces')}, p -> {sse.maybe_usage('p')})"
+    return split.selectExpr(
         "*",
         f"""coalesce({seen} OR octet_length(body) > {max_event_bytes}
             AND {sse.overflows('pieces', max_event_bytes)}, false) AS overflow""",
-        f"""CASE WHEN is_sse THEN filter({sse.events_of(
-            f"filter({sse.complete('pieces')}, p -> {sse.maybe_usage('p')})"
-        )}, e -> {sse.carries_usage('e')})
-        WHEN is_json THEN array(named_struct('event_type', '', 'data', body)) END AS events""",
+        f"""transform(filter({sse.events_of(mentions)}, e -> {sse.carries_usage('e')}),
+            e -> named_struct('event_type', e.event_type, 'data', e.data,
+                'doc', from_json(e.data, '{DOCUMENT}'))) AS docs""",
     ).drop("pieces")
-    return events.withColumn(
-        "docs",
-        F.expr(
-            f"""transform(events, e -> named_struct('event_type', e.event_type, 'data', e.data,
-                'doc', from_json(e.data, '{DOCUMENT}')))"""
-        ),
-    ).drop("events")
 
 
-def _object(path: str) -> str:
+def _object(doc: str, path: str, source: str) -> str:
     """The usage text at ``path`` of a document, if it is an object there and not a string.
 
     The text of an object with keys stands in the source as it is, which that of a
     string cannot, as its quotes are escaped there. Only where the source is
     spaced out does the type have to be looked up.
     """
-    text = f"d.doc.{path}"
-    typed = "usage variant" if "." not in path else "{} struct<usage: variant>".format(
-        path.split(".")[0]
-    )
-    if path == "usageMetadata":
-        typed = "usageMetadata variant"
-    looked_up = f"schema_of_variant(from_json(d.data, '{typed}').{path})"
-    return f"""CASE WHEN startswith({text}, '{{') AND (contains(d.data, {text})
+    text = f"{doc}.{path}"
+    outer, _, inner = path.partition(".")
+    typed = f"{outer} struct<{inner}: variant>" if inner else f"{outer} variant"
+    looked_up = f"schema_of_variant(from_json({source}, '{typed}').{path})"
+    return f"""CASE WHEN startswith({text}, '{{') AND (contains({source}, {text})
         OR startswith({looked_up}, 'OBJECT')) THEN {text} END"""
 
 
-def _whole_usage() -> str:
+def body_object() -> str:
     """The usage object of a whole body; larger ones than the limit are not read."""
-    text = f"""CASE WHEN family = '{GEMINI}' THEN {_object('usageMetadata')}
-        ELSE {_object('usage')} END"""
-    return f"nullif(CASE WHEN octet_length(body) <= {MAX_USAGE_BYTES} OR octet_length({text}) <= {MAX_USAGE_BYTES} THEN {text} END, '')"
 
+    def fitting(path: str) -> str:
+        return f"CASE WHEN octet_length(doc.{path}) <= {MAX_USAGE_BYTES} THEN {_object('doc', path, 'body')} END"
+
+    return f"""CASE WHEN family = '{GEMINI}' THEN {fitting('usageMetadata')}
+        ELSE {fitting('usage')} END"""
 
-def usage_objects() -> str:
-    """The usage objects of ``docs`` in the order they are merged."""
-    stream = f"""CASE family
+
+def event_objects() -> str:
+    """The usage objects of a stream's ``docs`` in the order they are merged."""
+
+    def at(path: str) -> str:
+        return _object("d.doc", path, "d.data")
+
+    return f"""filter(flatten(transform(docs, d -> CASE family
         WHEN '{ANTHROPIC}' THEN array(CASE WHEN d.event_type = 'message_start'
-            THEN {_object('message.usage')} ELSE {_object('usage')} END)
-        WHEN '{GEMINI}' THEN array({_object('usageMetadata')})
-        ELSE array({_object('usage')}, {_object('response.usage')}, {_object('x_groq.usage')}) END"""
-    return f"""filter(flatten(transform(docs,
-        d -> CASE WHEN is_sse THEN {stream} ELSE array({_whole_usage()}) END)),
+            THEN {at('message.usage')} ELSE {at('usage')} END)
+        WHEN '{GEMINI}' THEN array({at('usageMetadata')})
+        ELSE array({at('usage')}, {at('response.usage')}, {at('x_groq.usage')}) END)),
         u -> u IS NOT NULL)"""
 
 
-def raw_objects() -> str:
-    """The usage values of ``docs`` as sent, as JSON texts; null ones are left out."""
-    event = ", ".join(f"d.doc.{p}" for p in _USAGE_PATHS)
-    return f"""filter(transform(docs, d -> CASE WHEN is_sse THEN coalesce({event})
-        ELSE {_whole_usage()} END), r -> r IS NOT NULL)"""
+def event_texts() -> str:
+    """The usage values of a stream's ``docs`` as sent, as JSON texts; null ones are left out."""
+    value = ", ".join(f"d.doc.{p}" for p in _USAGE_PATHS)
+    return f"filter(transform(docs, d -> coalesce({value})), r -> r IS NOT NULL)"
 
 
 def response_model() -> str:
     """The first model a response names; in a whole body it must also fit its limit."""
-    stream = text_of("coalesce(d.doc.model, d.doc.message.model, d.doc.modelVersion)")
+    named = text_of("coalesce(d.doc.model, d.doc.message.model, d.doc.modelVersion)")
 
     def short(v: str) -> str:
         return f"CASE WHEN octet_length({text_of(v)}) <= {MAX_MODEL_BYTES} THEN {text_of(v)} END"
 
-    whole = f"coalesce({short('d.doc.model')}, {short('d.doc.modelVersion')})"
-    return f"""try_element_at(filter(transform(docs, d -> CASE WHEN is_sse THEN {stream}
-        ELSE {whole} END), m -> m IS NOT NULL), 1)"""
+    return f"""CASE WHEN is_sse
+        THEN try_element_at(filter(transform(docs, d -> {named}), m -> m IS NOT NULL), 1)
+        ELSE coalesce({short('doc.model')}, {short('doc.modelVersion')}) END"""
 
 
 def with_usage(documents: DataFrame) -> DataFrame:
-    """Add the merged ``usage``, the ``raw_list`` of usage texts and ``seen_model``."""
-    read = documents.selectExpr(
-        "*",
-        f"{usage_objects()} AS objects",
-        f"{raw_objects()} AS raw_list",
-        f"{response_model()} AS seen_model",
-    ).drop("docs")
-    return merge_usage(read, "objects").drop("objects")
+    """Add the ``usage``, the ``raw_list`` of usage texts and ``seen_model``.
+
+    A whole body has one usage object, read by plain expressions; those of a
+    stream are merged.
+    """
+    read = (
+        documents.selectExpr(
+            "*",
+            f"{body_object()} AS object",
+            f"{event_objects()} AS objects",
+            f"{response_model()} AS seen_model",
+            f"{event_texts()} AS texts",
+        )
+        .drop("doc", "docs")
+        .selectExpr(
+            "*",
+            "CASE WHEN is_sse THEN texts ELSE filter(array(object), o -> o IS NOT NULL) END AS raw_list",
+            f"{parsed('object')} AS _body",
+        )
+        .drop("texts")
+        .withColumn("_body", F.expr(fields_of("_body", "family")))
+    )
+    return (
+        merge_usage(read, "objects")
+        .withColumn("usage", F.expr(f"CASE WHEN is_sse THEN usage ELSE {folded('_body')} END"))
+        .drop("object", "objects", "_body")
+    )
 
 
 def merge_usage(rows: DataFrame, texts: str) -> DataFrame:

@@ -115,7 +115,7 @@ def provider_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def top_level_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = norm.with_documents(_whole(fixtures.exchanges(spark, sf_dir)))
     return docs.selectExpr(
-        "call_id", f"coalesce(size({norm.usage_objects()}) = 1, false) AS has_usage"
+        "call_id", f"{norm.body_object()} IS NOT NULL AS has_usage"
     )
 
 
