@@ -62,11 +62,17 @@ def path_model() -> str:
         THEN nullif(regexp_extract(path, r'^.*?/models/([^:/?]*)', 1), '') END"""
 
 
+def _may_be_object(text: str) -> str:
+    """Cheap test before parsing: an object starts with a brace, or with white space."""
+    return f"left({text}, 1) IN ('{{', ' ', '\\n', '\\r', '\\t')"
+
+
 def with_request_model(exchanges: DataFrame) -> DataFrame:
     """Add the model named in the request, when its declared length is small enough to look."""
     length = "try_element_at(headers, 'content-length')"
     small = rf"""{length} RLIKE r'^\+?[0-9]+$'
-        AND try_cast({length} AS BIGINT) <= {MAX_REQUEST_BYTES}"""
+        AND try_cast({length} AS BIGINT) <= {MAX_REQUEST_BYTES}
+        AND {_may_be_object('request_body')}"""
     sent = exchanges.withColumn(
         "_sent", F.expr(f"CASE WHEN {small} THEN from_json(request_body, 'model variant').model END")
     )
@@ -90,7 +96,7 @@ def with_documents(
         "*",
         f"{family_of('provider')} AS family",
         f"{is_stream()} AS is_sse",
-        f"CASE WHEN {is_json()} THEN from_json(body, '{DOCUMENT}') END AS doc",
+        f"CASE WHEN {is_json()} AND {_may_be_object('body')} THEN from_json(body, '{DOCUMENT}') END AS doc",
         f"CASE WHEN {is_stream()} THEN {sse.pieces_of('body')} END AS pieces",
     )
     seen = "sse_overflow" if "sse_overflow" in exchanges.columns else "false"
@@ -99,8 +105,8 @@ def with_documents(
         "*",
         f"""coalesce({seen} OR octet_length(body) > {max_event_bytes}
             AND {sse.overflows('pieces', max_event_bytes)}, false) AS overflow""",
-        f"""transform(filter({sse.events_of(mentions)}, e -> {sse.carries_usage('e')}),
-            e -> named_struct('event_type', e.event_type, 'data', e.data,
+        f"""transform(filter({sse.events_of(mentions)}, e -> {sse.carries_usage('e')}
+            AND {_may_be_object('e.data')}), e -> named_struct('event_type', e.event_type, 'data', e.data,
                 'doc', from_json(e.data, '{DOCUMENT}'))) AS docs""",
     ).drop("pieces")
 

@@ -62,15 +62,23 @@ def new_calls(batch: DataFrame, stored: DataFrame, order: str = "ingest_seq") ->
     )
 
 
-def append_calls(batch: DataFrame, path: str, order: str = "ingest_seq") -> None:
+def append_calls(
+    batch: DataFrame, path: str, order: str = "ingest_seq", same_dates: bool = False
+) -> None:
     """Add calls to the table at ``path``; replayed calls change nothing.
 
-    Rows are rebalanced by date, which keeps the number of files per date low
-    and still splits a date that holds most of the batch.
+    The ids of the whole table are compared. With ``same_dates`` only those of the
+    dates the batch spans are read, which is enough where a replay keeps its time.
+    Rows are rebalanced by date, which keeps the number of files per date low and
+    still splits a date that holds most of the batch.
     """
     spark = batch.sparkSession
     if path_exists(spark, path):
-        fresh = new_calls(batch, read_calls(spark, path), order)
+        stored = read_calls(spark, path)
+        if same_dates:
+            days = batch.agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
+            stored = stored.where(F.col("dt").between(*map(F.lit, days)))
+        fresh = new_calls(batch, stored, order)
     else:
         fresh = first_per_id(batch, order)
     dated = fresh.select(

@@ -29,12 +29,24 @@ def drop_replays(calls: DataFrame, horizon: str = REPLAY_HORIZON) -> DataFrame:
 
 
 def store_calls(
-    calls: DataFrame, path: str, checkpoint: str, order: str = "ingest_seq", **trigger
+    calls: DataFrame,
+    path: str,
+    checkpoint: str,
+    order: str = "ingest_seq",
+    same_dates: bool = True,
+    **trigger,
 ) -> StreamingQuery:
-    """Append a stream of calls to the table at ``path``, each id once, also after a restart."""
+    """Append a stream of calls to the table at ``path``, each id once, also after a restart.
+
+    A batch is compared with the stored calls of its own dates, so its work does not
+    grow with the table; ``same_dates=False`` compares it with all of them.
+    """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        append_calls(batch, path, order)
+        batch = batch.persist()
+        if not batch.isEmpty():
+            append_calls(batch, path, order, same_dates)
+        batch.unpersist()
 
     return (
         calls.writeStream.foreachBatch(store)

@@ -31,6 +31,15 @@ def test_first_row_of_an_id_wins_and_replays_change_nothing(spark, tmp_path):
     assert {str(r.dt) for r in stored.select("dt").collect()} == {"2026-07-20", "2026-07-21"}
 
 
+def test_appends_of_the_same_dates_read_only_those(spark, tmp_path):
+    path = str(tmp_path / "calls")
+    days = frames.calls(spark, [{"ts": f"2026-07-{d:02d} 10:00:00"} for d in range(1, 5)])
+    days = days.withColumn("ingest_seq", F.lit(1))
+    store.append_calls(days, path)
+    store.append_calls(days.where("id >= '2'"), path, same_dates=True)
+    assert store.read_calls(spark, path).count() == 4
+
+
 def test_old_files_gain_the_later_columns(spark, tmp_path):
     path = str(tmp_path / "old")
     old = frames.calls(spark, [{"id": "x", "model": "m"}])
