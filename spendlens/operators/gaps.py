@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 GAP_BUCKETS = [("<30s", 30), ("30s-5m", 300), ("5-15m", 900), ("15-60m", 3600)]
 LAST_BUCKET = ">1h"
 
-SLICE_SECONDS = 300
+SLICE_SECONDS = 60
 
 
 def gap_bucket(gap: str) -> str:

@@ -43,55 +43,53 @@ def _band(above: str, row: str = "") -> str:
     return f"named_struct('above_tokens', CAST({above} AS BIGINT), {units})"
 
 
-def rate_cells(prices: DataFrame, bucket_chars: int) -> DataFrame:
-    """Disjoint cells [name_from, name_to) x (above_tokens, upto_tokens] with their rates.
+def name_ranges(keys: DataFrame, bucket_chars: int) -> DataFrame:
+    """Disjoint ranges [name_from, name_to) of model names and the key that owns each.
 
-    ``prices`` holds distinct keys of at least ``bucket_chars`` characters. Names
-    starting with a key lie between the key and the key plus the last character
-    there is; from there on they belong to the next shorter key, if any. Prefixes
-    of one name sort by length, so the greatest of them is the longest. Rates
-    become pico-USD per token.
+    Names starting with a key lie between the key and the key plus the last
+    character there is; from there on they belong to the next shorter key, if any.
+    Prefixes of one name sort by length, so the greatest of them is the longest.
     """
+    bucket = f"left(model_key, {bucket_chars}) AS bucket"
+    prefixes = keys.where(f"length(model_key) > {bucket_chars}").selectExpr(
+        "model_key AS longer",
+        f"""explode(transform(sequence({bucket_chars}, length(model_key) - 1),
+            n -> left(model_key, n))) AS model_key""",
+    )
+    shorter = prefixes.join(keys, "model_key").groupBy("longer").agg(F.max("model_key").alias("owner"))
+    starts = keys.selectExpr(bucket, "model_key AS name_from", "model_key AS owner")
+    ends = keys.join(shorter, F.expr("model_key = longer"), "left").selectExpr(
+        bucket, f"model_key || '{_LAST_CHAR}' AS name_from", "owner"
+    )
+    following = "lead(name_from) OVER (PARTITION BY bucket ORDER BY name_from) AS name_to"
+    return starts.unionByName(ends).selectExpr("*", following).where("owner IS NOT NULL")
+
+
+def context_bands(prices: DataFrame) -> DataFrame:
+    """The rates of each key per band (above_tokens, upto_tokens] of the context size."""
     bands = f"""concat(array({_band("-1")}),
         array_sort(transform(coalesce(tiers, array()), t -> {_band("t.above_input_tokens", "t.")})))"""
-    points = (
-        prices.selectExpr(
-            f"left(model_key, {bucket_chars}) AS bucket",
-            f"""struct(model_key, coalesce(cache_in_input, false) AS cache_in_input,
-                {bands} AS bands) AS rated""",
-        )
-        .groupBy("bucket")
-        .agg(F.collect_list("rated").alias("rated"))
-        .selectExpr(
-            "bucket",
-            f"""array_sort(concat(
-                transform(rated, r -> struct(r.model_key AS name, r AS owner)),
-                transform(rated, r -> struct(
-                    r.model_key || '{_LAST_CHAR}' AS name,
-                    array_max(filter(rated, s -> startswith(r.model_key, s.model_key)
-                        AND s.model_key <> r.model_key)) AS owner)))) AS points""",
-        )
-    )
-    return (
-        points.selectExpr(
-            "bucket",
-            """inline(transform(points, (p, i) -> struct(p.name AS name_from,
-                get(points, i + 1).name AS name_to, p.owner AS owner)))""",
-        )
-        .where("owner IS NOT NULL")
-        .selectExpr(
-            "bucket",
-            "name_from",
-            "name_to",
-            "owner.model_key",
-            "owner.cache_in_input",
-            f"""inline(transform(owner.bands, (b, i) -> struct(b.above_tokens AS above_tokens,
-                coalesce(get(owner.bands, i + 1).above_tokens, {_MAX_TOKENS}) AS upto_tokens,
-                {", ".join(f"b.{u} AS {u}" for u in UNIT_COLUMNS)})))""",
-        )
+    units = ", ".join(f"b.{u} AS {u}" for u in UNIT_COLUMNS)
+    return prices.selectExpr(
+        "model_key", "coalesce(cache_in_input, false) AS cache_in_input", f"{bands} AS bands"
+    ).selectExpr(
+        "model_key",
+        "cache_in_input",
+        f"""inline(transform(bands, (b, i) -> struct(b.above_tokens AS above_tokens,
+            coalesce(get(bands, i + 1).above_tokens, {_MAX_TOKENS}) AS upto_tokens, {units})))""",
     )
 
 
+def rate_cells(prices: DataFrame, bucket_chars: int) -> DataFrame:
+    """Disjoint cells [name_from, name_to) x (above_tokens, upto_tokens] with their rates.
+
+    ``prices`` holds distinct keys of at least ``bucket_chars`` characters. Rates
+    become pico-USD per token.
+    """
+    ranges = name_ranges(prices.select("model_key"), bucket_chars)
+    return ranges.withColumnRenamed("owner", "model_key").join(context_bands(prices), "model_key")
+
+
 @dataclass(frozen=True)
 class RateCard:
     """Cells ready to be joined; ``short_cells`` only where the table has short keys."""

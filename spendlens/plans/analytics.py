@@ -12,6 +12,7 @@ from spendlens.functions import text
 from spendlens.operators import budget, gaps, pricing, quality, review, stats, tail
 from spendlens.plans import fixtures
 from spendlens.plans.registry import query
+from spendlens.schemas import PRICES
 from spendlens.timebounds import bound_literal, from_bound, since, window_bound
 
 NOW = datetime(2024, 1, 31, 12, tzinfo=timezone.utc)
@@ -176,19 +177,19 @@ def rate_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rate_lookup_by_part_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested keys of several lengths, some shorter than a bucket name."""
     parts = fixtures.table(spark, sf_dir, "part")
-    rates = ", ".join(
-        f"CAST({v} AS DECIMAL(18,6)) AS {c}"
-        for c, v in zip(pricing.RATE_COLUMNS, ["length(model_key)", 0, 0, 0])
-    )
     keys = (
         parts.selectExpr("explode(array(2, 4, 7, 10, 14)) AS n", "p_type")
         .selectExpr("lower(left(p_type, n)) AS model_key")
         .distinct()
-        .selectExpr("model_key", rates.split(", CAST")[0], *[
-            "CAST" + r for r in rates.split(", CAST")[1:]
-        ], "true AS cache_in_input", "CAST(NULL AS ARRAY<STRUCT<above_input_tokens: BIGINT, "
-            "input_per_m: DECIMAL(18,6), output_per_m: DECIMAL(18,6), "
-            "cache_read_per_m: DECIMAL(18,6), cache_creation_per_m: DECIMAL(18,6)>>) AS tiers")
+        .selectExpr(
+            "model_key",
+            "CAST(length(model_key) AS DECIMAL(18,6)) AS input_per_m",
+            "CAST(0 AS DECIMAL(18,6)) AS output_per_m",
+            "CAST(0 AS DECIMAL(18,6)) AS cache_read_per_m",
+            "CAST(0 AS DECIMAL(18,6)) AS cache_creation_per_m",
+            "true AS cache_in_input",
+            f"CAST(NULL AS {PRICES['tiers'].dataType.simpleString()}) AS tiers",
+        )
     )
     calls = parts.selectExpr(
         "p_partkey", "p_type AS model", "CAST(1 AS BIGINT) AS input_tokens",
