@@ -177,8 +177,11 @@ def substitutions(
     on either side are only counted. ``days`` is the time the calls span.
     """
     card = rate_card(prices)
-    if candidates.limit(BROADCAST_CANDIDATES + 1).count() <= BROADCAST_CANDIDATES:
-        candidates = F.broadcast(candidates)
+    few = candidates.limit(BROADCAST_CANDIDATES + 1).count() <= BROADCAST_CANDIDATES
+
+    def sized(table: DataFrame) -> DataFrame:
+        return F.broadcast(table) if few else table
+
     current = attach_rates(calls, card).selectExpr(
         f"{SOURCE} AS src",
         "model_key AS from_key",
@@ -190,12 +193,12 @@ def substitutions(
         "output_tokens",
     )
     offered = current.join(
-        candidates.withColumnRenamed("model_key", "from_key"), "from_key"
+        sized(candidates.withColumnRenamed("model_key", "from_key")), "from_key"
     ).withColumn("model", F.col("candidate"))
     # The candidate's accounting decides the context, so its flag is looked up
     # before the tokens are restated and the tier is chosen.
     offered = offered.join(
-        F.broadcast(_accounting(candidates, card)), ["candidate"], "left"
+        sized(_accounting(candidates, card)), ["candidate"], "left"
     ).selectExpr(
         "src",
         "from_key",

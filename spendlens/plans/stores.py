@@ -112,7 +112,7 @@ def append_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     append_calls(calls.where(f"ts < TIMESTAMP_NTZ '{_MID}'"), folder)
     append_calls(calls, folder)
     append_calls(calls, folder)
-    stored = read_calls(spark, folder).drop("dt")
+    stored = read_calls(spark, folder).select(*CALL_COLUMNS)
     return stored.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 

@@ -35,6 +35,10 @@ CALLS = T.StructType(_BASE_CALLS + _ADDED_CALLS)
 CALL_COLUMNS = CALLS.fieldNames()
 ADDED_COLUMNS = [f.name for f in _ADDED_CALLS]
 
+# Columns a stored table has besides: the order of insertion, and the UTC date it is
+# partitioned by.
+STORED = [T.StructField("ingest_seq", T.LongType()), T.StructField("dt", T.DateType())]
+
 TOKEN_COLUMNS = [
     "input_tokens",
     "output_tokens",

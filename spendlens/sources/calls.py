@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendlens.operators.quality import decode_lenient, decode_strict
-from spendlens.schemas import CALL_COLUMNS, CALLS
-
-PARTITION = T.StructField("dt", T.DateType())
+from spendlens.schemas import CALL_COLUMNS, CALLS, STORED
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -22,12 +20,14 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def read_calls(spark: SparkSession, path: str, format: str = "parquet", **options) -> DataFrame:
     """The calls stored at ``path``; columns that old files lack are NULL.
 
-    Tables written by ``append_calls`` are partitioned by the UTC date ``dt``,
-    which time bounds prune on.
+    Tables written by ``append_calls`` also have the order of insertion,
+    ``ingest_seq``, and are partitioned by the UTC date ``dt``, which time bounds
+    prune on.
     """
     fields = list(CALLS.fields)
-    if format == "parquet" and "dt" in spark.read.parquet(path).columns:
-        fields.append(PARTITION)
+    if format == "parquet":
+        present = spark.read.parquet(path).columns
+        fields += [f for f in STORED if f.name in present]
     return spark.read.schema(T.StructType(fields)).options(**options).format(format).load(path)
 
 
@@ -67,6 +67,8 @@ def append_calls(
 ) -> None:
     """Add calls to the table at ``path``; replayed calls change nothing.
 
+    ``order`` is a number that grows with the arrival of the calls.
+
     The ids of the whole table are compared. With ``same_dates`` only those of the
     dates the batch spans are read, which is enough where a replay keeps its time.
     Rows are rebalanced by date, which keeps the number of files per date low and
@@ -83,6 +85,7 @@ def append_calls(
         fresh = first_per_id(batch, order)
     dated = fresh.select(
         *[F.col(c).cast(CALLS[c].dataType) for c in CALL_COLUMNS if c in fresh.columns],
+        F.col(order).cast("bigint").alias("ingest_seq"),
         F.to_date("ts").alias("dt"),
     )
     dated.hint("rebalance", F.col("dt")).write.mode("append").partitionBy("dt").parquet(path)

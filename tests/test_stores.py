@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spendlens.operators.normalize import normalize
+from spendlens.operators.tail import tail
 from spendlens.plans.stores import state_settings
 from spendlens.sources import calls as store
 from spendlens.sources import prices as price_source
@@ -31,6 +32,14 @@ def test_first_row_of_an_id_wins_and_replays_change_nothing(spark, tmp_path):
     assert {str(r.dt) for r in stored.select("dt").collect()} == {"2026-07-20", "2026-07-21"}
 
 
+def test_a_stored_table_keeps_the_order_of_insertion(spark, tmp_path):
+    path = str(tmp_path / "calls")
+    calls = frames.calls(spark, [{"ts": f"2026-07-{20 - d} 10:00:00"} for d in range(9)])
+    store.append_calls(calls.withColumn("ingest_seq", F.col("id").cast("bigint")), path)
+    got = tail(store.read_calls(spark, path), frames.no_prices(spark), n=3).collect()
+    assert [r.ingest_seq for r in got] == [6, 7, 8]
+
+
 def test_appends_of_the_same_dates_read_only_those(spark, tmp_path):
     path = str(tmp_path / "calls")
     days = frames.calls(spark, [{"ts": f"2026-07-{d:02d} 10:00:00"} for d in range(1, 5)])
