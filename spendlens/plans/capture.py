@@ -463,7 +463,7 @@ def timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return norm.normalize(fixtures.streams(spark, sf_dir)).select("id", "ttft_ms", "latency_ms")
 
 
-RECORD_COLUMNS = [c for c in norm.CALL_COLUMNS if c not in ("id", "raw_usage")]
+RECORD_COLUMNS = [c for c in norm.CALL_COLUMNS if c != "id"]
 _record_query("n28_records", RECORD_COLUMNS)
 
 

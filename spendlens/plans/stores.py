@@ -283,7 +283,7 @@ def budget_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_dir(spark, "normalize")
     exchanges = staged(fixtures.captures(spark, sf_dir), f"{folder}/in")
-    return drained(jobs.normalize_stream(exchanges), folder).drop("raw_usage")
+    return drained(jobs.normalize_stream(exchanges), folder)
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:

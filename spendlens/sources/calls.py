@@ -35,12 +35,14 @@ def read_export(spark: SparkSession, path: str, strict: bool = False) -> DataFra
     """Calls exported as CSV with a header, such as from a SQLite ``calls`` table.
 
     All cells are text and decoded: a bad one fails the job when ``strict`` and
-    drops its row otherwise. Columns the export lacks are NULL.
+    drops its row otherwise. Columns the export lacks are NULL. An ``ingest_seq``
+    in it, such as the rowid, is kept.
     """
     raw = spark.read.option("header", True).csv(path)
     decoded = (decode_strict if strict else decode_lenient)(raw)
     missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in CALLS if f.name not in raw.columns]
-    return decoded.select("*", *missing).select(*CALL_COLUMNS)
+    order = [F.col(c).cast("bigint") for c in ("ingest_seq",) if c in raw.columns]
+    return decoded.select("*", *missing).select(*CALL_COLUMNS, *order)
 
 
 def union_calls(*tables: DataFrame) -> DataFrame:
