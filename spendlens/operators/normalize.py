@@ -130,7 +130,8 @@ def body_object() -> str:
     """The usage object of a whole body; larger ones than the limit are not read."""
 
     def fitting(path: str) -> str:
-        return f"CASE WHEN octet_length(doc.{path}) <= {MAX_USAGE_BYTES} THEN {_object('doc', path, 'body')} END"
+        return f"""CASE WHEN octet_length(doc.{path}) <= {MAX_USAGE_BYTES}
+            THEN {_object('doc', path, 'body')} END"""
 
     return f"""CASE WHEN family = '{GEMINI}' THEN {fitting('usageMetadata')}
         ELSE {fitting('usage')} END"""
