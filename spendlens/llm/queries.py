@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.llm import language_id
+from spendlens.llm import language_id, mixing, sampled_pieces, simhash, stream_dedup
 from spendlens.llm.common import fold
 
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -31,9 +33,57 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_sampled_pieces(spark: SparkSession, sf_dir: str, model: str = PIECE_MODEL) -> DataFrame:
+    """Two segmentations of each text; ``lossless`` compares the decoded text by digest."""
+    pieces = sampled_pieces.Pieces.load(model)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64("text").alias("before"))
+    samples = sampled_pieces.encode(docs, pieces, k=2)
+    after = F.xxhash64(sampled_pieces.decoded(F.col("ids"), pieces, spark))
+    return samples.select(
+        "doc.doc_id",
+        "sample",
+        "ids",
+        F.size("ids").alias("n_pieces"),
+        "log_prob",
+        "log_inclusion",
+        "gumbel",
+        (after == F.col("doc.before")).alias("lossless"),
+    )
+
+
+def op7_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stream_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc.doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256")
+    )
+
+
+OP7_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.plan(table(spark, sf_dir, "documents"), mixing.Target(entropy=0.95, repeats=4.0))
+    return rows.select("doc.doc_id", "doc.source", "n_tokens", F.round("weight", 6).alias("weight"), "copies")
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_language_id": op1_language_id}
+    return {
+        "op1_language_id": op1_language_id,
+        "op2_sampled_pieces": op2_sampled_pieces,
+        "op7_stream_dedup": op7_stream_dedup,
+        "op8_mixing": op8_mixing,
+        "op9_simhash": op9_simhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_stream_dedup": OP7_SQL}

@@ -83,10 +83,6 @@ def with_fingerprint(docs: DataFrame, *, text: str = "text", size: int = SHINGLE
     return docs.withColumn(out, simhash(F.col(text)))
 
 
-def _bits(value: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(value).astype(np.int64)
-
-
 def trie_links(rest: np.ndarray, first: np.ndarray, second: np.ndarray | None, depth: int, budget: int):
     """Links in a batch of tries, as positions in ``rest``.
 
@@ -221,7 +217,7 @@ def _linked(leaves: DataFrame, keys: list[str], budget: int) -> DataFrame:
         two = np.r_[~new[at][1:], False]  # the next range is this pair's other side
         if "low" in keys:
             same = (batch["low"] == batch["high"]).to_numpy()[at]
-            a, b = [x for x in (trie_links(rest, node[same], None, depth, budget),)][0]
+            a, b = trie_links(rest, node[same], None, depth, budget)
             c, d = trie_links(rest, node[:-1][two[:-1]], node[1:][two[:-1]], depth, budget)
             a, b = np.r_[a, c], np.r_[b, d]
         else:
