@@ -31,6 +31,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from spendlens.llm.common import runs_of
 
@@ -434,9 +435,8 @@ def encode(
         F.col(text).alias("text"),
         F.xxhash64(F.col(key), F.lit(seed)).alias("seed"),
     )
-    schema = rows.select("doc").schema.add("sample", "int").add("ids", "array<int>")
-    for name in ("log_prob", "log_inclusion", "gumbel"):
-        schema = schema.add(name, "double")
+    result = "sample int, ids array<int>, log_prob double, log_inclusion double, gumbel double"
+    schema = StructType([rows.schema["doc"], *StructType.fromDDL(result)])
 
     def samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(shared.value)

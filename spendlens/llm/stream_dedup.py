@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from spendlens.llm.common import written
 from spendlens.streaming.workdir import work_dir
@@ -68,8 +69,8 @@ def retained_state(
         .start()
     )
     query.awaitTermination()
-    schema = groups.schema.add("batch", "int")
-    changes = spark.read.schema(schema).parquet(f"{out}/*") if _any(spark, out) else spark.createDataFrame([], schema)
+    schema = StructType([*groups.schema, StructField("batch", IntegerType())])
+    changes = spark.read.schema(schema).parquet(out) if _any(spark, out) else spark.createDataFrame([], schema)
     last = changes.groupBy("digest").agg(F.max_by(F.struct("stays", "copies"), "batch").alias("last"))
     return last.select("digest", "last.stays", "last.copies")
 
