@@ -47,3 +47,24 @@ def runs_of(texts: Iterable[str | None], limit: int) -> Iterator[tuple[int, list
         size += len(text)
     if part:
         yield start, part
+
+
+def maybe_among(df: DataFrame, key: Column, members: DataFrame, member: Column, *, out: str, bits: int = 1 << 27) -> DataFrame:
+    """Adds ``out``: False only where ``key`` is surely not among the members.
+
+    A hashed bitmap of ``bits`` bits (16 MB, whatever the number of members) is broadcast. More
+    members than bits only make it useless, never wrong. It spares a join the rows
+    that cannot match.
+    """
+
+    def place(value: Column) -> Column:
+        return F.pmod(F.xxhash64(value), F.lit(bits))
+
+    maps = members.groupBy(F.bitmap_bucket_number(place(member)).alias("_page")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place(member))).alias("_map")
+    )
+    at = F.bitmap_bit_position(place(key))
+    octet = F.conv(F.hex(F.substring("_map", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.getbit(octet, (at % 8).cast("int")) == 1, F.lit(False))
+    joined = df.join(F.broadcast(maps), F.bitmap_bucket_number(place(key)) == F.col("_page"), "left")
+    return joined.withColumn(out, found).drop("_page", "_map")

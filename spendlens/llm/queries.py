@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.llm import language_id, mixing, sampled_pieces, simhash, stream_dedup
+from spendlens.llm import language_id, mixing, sampled_pieces, simhash, stream_dedup, substring_dedup
 from spendlens.llm.common import fold
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -51,6 +51,32 @@ def op2_sampled_pieces(spark: SparkSession, sf_dir: str, model: str = PIECE_MODE
     )
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc.doc_id",
+        F.col("n_words").cast("long"),
+        F.col("n_removed").cast("long"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+OP6_SQL = r"""
+WITH w AS (SELECT doc_id, string_split_regex(text, '[\x20\x09-\x0D]+') AS raw FROM documents),
+d AS (SELECT doc_id, coalesce(list_filter(raw, lambda x: x <> ''), []) AS ws FROM w),
+g AS (SELECT doc_id, unnest(range(1, len(ws) - 33)) AS i, ws FROM d WHERE len(ws) >= 35),
+h AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS win FROM g),
+r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY win) AS n FROM h) WHERE n > 1),
+c AS (SELECT DISTINCT doc_id, i + j AS p FROM r, (SELECT unnest(range(0, 35)) AS j)),
+p AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, ws FROM d),
+k AS (SELECT p.doc_id, string_agg(p.ws[p.p], ' ' ORDER BY p.p) AS kept, count(*) AS n
+      FROM p ANTI JOIN c ON p.doc_id = c.doc_id AND p.p = c.p GROUP BY 1)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(k.n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+
 def op7_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stream_dedup.deduplicate(table(spark, sf_dir, "documents"))
     return rows.select(
@@ -79,6 +105,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_language_id": op1_language_id,
         "op2_sampled_pieces": op2_sampled_pieces,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_stream_dedup": op7_stream_dedup,
         "op8_mixing": op8_mixing,
         "op9_simhash": op9_simhash,
@@ -86,4 +113,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_stream_dedup": OP7_SQL}
+    return {"op6_substring_dedup": OP6_SQL, "op7_stream_dedup": OP7_SQL}

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from spendlens.llm.common import written
+from spendlens.llm.common import maybe_among, written
 from spendlens.streaming.workdir import work_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -93,7 +93,9 @@ def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text", max
     body = F.coalesce(F.col(f"doc.{text}"), F.lit(""))
     hits = groups.where("copies > 1").withColumn("salts", F.ceil(F.col("copies") / SALT_ROWS))
     salted = hits.select("digest", "stays", F.explode(F.sequence(F.lit(0), (F.col("salts") - 1).cast("int"))).alias("salt"))
+    # Texts of digests seen once stay where they are.
     located = store.select("digest", body.alias("body"), _locator().alias("at"))
+    located = maybe_among(located, F.col("digest"), hits, F.col("digest"), out="hit").where("hit").drop("hit")
     reference = located.join(
         salted.select(F.col("digest").alias("d"), "stays", "salt"),
         (F.col("digest") == F.col("d")) & (F.col("at") == F.col("stays.at")),
