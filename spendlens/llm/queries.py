@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.llm import language_id, mixing, sampled_pieces, simhash, stream_dedup, substring_dedup
+from spendlens.llm import chat_format, language_id, line_dedup, mixing, sampled_pieces, simhash, stream_dedup, substring_dedup
 from spendlens.llm.common import fold
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -51,6 +51,75 @@ def op2_sampled_pieces(spark: SparkSession, sf_dir: str, model: str = PIECE_MODE
     )
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and -7, whose texts are control strings; read back from the output."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    chats = chat_format.format_chats(chat_format.events_of_turns(rows.unionByName(extra)))
+    lost = F.array_join(
+        F.transform(F.filter("segments", lambda s: s.loss), lambda s: chat_format.unescape(s.text)), ""
+    )
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    read = chats.select("conv_id", chat_format.read_back(F.col("formatted")).alias("turns"), lost.alias("lost"), "formatted")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(told, 256).alias("turns_sha256"),
+        F.length("lost").cast("long").alias("loss_chars"),
+        F.sha2("lost", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def _escaped(text: str) -> str:
+    out = f"replace({text}, chr(92), chr(92) || chr(92))"
+    for mark in chat_format.CONTROLS:
+        out = f"replace({out}, '{mark}', '{mark[0]}' || chr(92) || '{mark[1:]}')"
+    return out
+
+
+OP4_SQL = f"""
+WITH r AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM r),
+a AS (SELECT conv_id, count(*) AS n_turns,
+  string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS told,
+  coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS lost,
+  sum(length({_escaped("role")}) + length({_escaped("text")}) + {len(chat_format.TURN + chat_format.TEXT + chat_format.END)}) AS n
+  FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(lost)::BIGINT AS loss_chars,
+  sha256(lost) AS loss_sha256, n::BIGINT AS formatted_chars FROM a
+"""
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc.doc_id",
+        F.col("n_lines").cast("long"),
+        F.col("n_removed").cast("long"),
+        F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+w AS (SELECT doc_id, unnest(range(1, len(ls) - {line_dedup.MIN_LINES - 2})) AS i, ls FROM d WHERE len(ls) >= {line_dedup.MIN_LINES}),
+h AS (SELECT doc_id, i, array_to_string(ls[i:i + {line_dedup.MIN_LINES - 1}], chr(10)) AS win FROM w),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS nth FROM h),
+c AS (SELECT DISTINCT doc_id, i + j AS p FROM f, (SELECT unnest(range(0, {line_dedup.MIN_LINES})) AS j) WHERE nth > 1),
+p AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS p, ls FROM d),
+k AS (SELECT p.doc_id, string_agg(p.ls[p.p], chr(10) ORDER BY p.p) AS kept, count(*) AS n
+      FROM p ANTI JOIN c ON p.doc_id = c.doc_id AND p.p = c.p GROUP BY 1)
+SELECT d.doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, (coalesce(len(ls), 0) - coalesce(k.n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return rows.select(
@@ -105,6 +174,8 @@ def queries() -> dict[str, Query]:
     return {
         "op1_language_id": op1_language_id,
         "op2_sampled_pieces": op2_sampled_pieces,
+        "op4_chat_format": op4_chat_format,
+        "op5_line_dedup": op5_line_dedup,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_stream_dedup": op7_stream_dedup,
         "op8_mixing": op8_mixing,
@@ -113,4 +184,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_substring_dedup": OP6_SQL, "op7_stream_dedup": OP7_SQL}
+    return {"op4_chat_format": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_stream_dedup": OP7_SQL}
