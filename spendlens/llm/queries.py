@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.llm import chat_format, language_id, line_dedup, mixing, sampled_pieces, simhash, stream_dedup, substring_dedup
+from spendlens.llm import (
+    ann_forest,
+    chat_format,
+    language_id,
+    line_dedup,
+    mixing,
+    sampled_pieces,
+    simhash,
+    stream_dedup,
+    substring_dedup,
+    toxicity,
+)
 from spendlens.llm.common import fold
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -51,6 +62,19 @@ def op2_sampled_pieces(spark: SparkSession, sf_dir: str, model: str = PIECE_MODE
     )
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    net = toxicity.fit(docs.where(~held_out), labels.where(~held_out))
+    scored = toxicity.score(docs.select("doc_id", "text"), net)
+    return scored.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and -7, whose texts are control strings; read back from the output."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -170,16 +194,24 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "embeddings")
+    found = ann_forest.search(items, items.where(F.col("vec_id") % 20 == 0), k=20)
+    return found.select(F.col("query_id").cast("long"), F.col("rank").cast("int"), F.col("vec_id").cast("long"), "score")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_language_id": op1_language_id,
         "op2_sampled_pieces": op2_sampled_pieces,
+        "op3_toxicity": op3_toxicity,
         "op4_chat_format": op4_chat_format,
         "op5_line_dedup": op5_line_dedup,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_stream_dedup": op7_stream_dedup,
         "op8_mixing": op8_mixing,
         "op9_simhash": op9_simhash,
+        "op10_ann_forest": op10_ann_forest,
     }
 
 
