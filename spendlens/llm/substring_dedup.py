@@ -6,8 +6,8 @@
    however common it is.
 2. Entries are dealt by hash into buckets whose number follows the size of the input. In a
    bucket equal hashes from different runs are repeats.
-3. Noted windows come together by document and merge into maximal intervals of words, which
-   are cut out.
+3. Noted windows go back to their runs, there to their documents, and merge into maximal
+   intervals of words, which are cut out.
 
 Equal windows are told apart from others by 64 bits and the bucket's number: for ``n`` windows in
 ``b`` buckets about ``n^2 / (b * 2^65)`` different pairs are mistaken, a few in a corpus of 10^13.
@@ -120,27 +120,19 @@ def _repeats(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return again, first
 
 
-def _noted(start: np.ndarray, begins: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """Ascending starts in a run, by document: its key and its own starts."""
-    owner = np.searchsorted(begins, start, side="right") - 1
-    for part in np.split(np.arange(len(start)), np.flatnonzero(np.diff(owner)) + 1):
-        if len(part):
-            doc = owner[part[0]]
-            yield int(keys["a"][doc]), int(keys["b"][doc]), (start[part] - begins[doc]).astype("<u4").tobytes()
-
-
 _KEY = np.dtype([("a", "<i8"), ("b", "<i4"), ("begin", "<u4")])
 
 
 def repeated_windows(docs: DataFrame, *, buckets: int, size: int = WINDOW) -> DataFrame:
     """``a``, ``b`` (a document's key), ``starts`` (binary): windows that also start elsewhere.
 
-    ``docs`` has ``a``, ``b`` and ``text``. A document can have several rows.
+    ``docs`` has ``a``, ``b`` and ``text``. Runs are named by a hash of their documents' keys;
+    runs of the same repeated rows share a name, and their windows.
     """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(size)
-        names = ["bucket", "hashes", "gaps", "keys"]
+        kinds = {"bucket": pa.int32(), "run": pa.int64(), "hashes": pa.binary(), "gaps": pa.binary(), "keys": pa.binary()}
         for batch in batches:
             a, b = batch["a"].to_numpy(), batch["b"].to_numpy()
             for at, part in runs_of(batch["text"].to_pylist(), RUN_CHARS):
@@ -150,37 +142,45 @@ def repeated_windows(docs: DataFrame, *, buckets: int, size: int = WINDOW) -> Da
                 keys = np.zeros(len(part), _KEY)
                 keys["a"], keys["b"], keys["begin"] = a[at : at + len(part)], b[at : at + len(part)], begins
                 # A text without words shares its begin with the next one: leave it out.
-                keys = keys[np.r_[begins[1:] != begins[:-1], True]]
+                keys = keys[np.r_[begins[1:] != begins[:-1], True]].tobytes()
+                run = xxhash.xxh64_intdigest(keys) - (1 << 63)
                 again, first = _repeats(hashes)
-                rows = []
-                if again.any():
-                    rows.append((int(spread[0] % np.uint64(buckets)), b"", _gaps(start[again]), keys.tobytes()))
+                # The run's documents travel with the repeats that are known already.
+                rows = [((run + (1 << 63)) % buckets, run, b"", _gaps(start[again]), keys)]
                 start, hashes, bucket = start[first], hashes[first], (spread[first] % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket.astype(np.uint16 if buckets < 1 << 16 else np.int64), kind="stable")
-                edge = np.searchsorted(bucket[order], np.arange(buckets + 1)) if buckets < 1 << 16 else None
-                spans = zip(range(buckets), edge[:-1], edge[1:]) if edge is not None else _spans(bucket[order])
-                for number, lo, hi in spans:
-                    if hi > lo:
-                        own = order[lo:hi]
-                        seen = np.unique(np.searchsorted(keys["begin"], start[own], side="right") - 1)
-                        rows.append((number, hashes[own].tobytes(), _gaps(start[own]), keys[seen].tobytes()))
-                columns = [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                for number, lo, hi in _spans(bucket[order]):
+                    own = order[lo:hi]
+                    rows.append((number, run, hashes[own].tobytes(), _gaps(start[own]), b""))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds.values())], list(kinds))
 
     def compared(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        again = _repeats(np.frombuffer(b"".join(group["hashes"]), "<u8"))[0]
+        at, out = 0, []
+        for run, hashes, gaps, keys in group[["run", "hashes", "gaps", "keys"]].itertuples(index=False):
+            n = len(hashes) // 8
+            if n:
+                gaps = _gaps(_values(gaps)[again[at : at + n]])
+                at += n
+            if gaps or keys:
+                out.append((run, gaps, keys))
+        return pd.DataFrame(out, columns=["run", "gaps", "keys"])
+
+    def by_document(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        keys = np.frombuffer(max(group["keys"], key=len), _KEY)
+        start = np.unique(np.concatenate([_values(g) for g in group["gaps"]]))
+        begins = keys["begin"].astype(np.int64)
+        owner = np.searchsorted(begins, start, side="right") - 1
         out = []
-        blobs = [(h, _values(g), np.frombuffer(k, _KEY)) for h, g, k in zip(group["hashes"], group["gaps"], group["keys"])]
-        hashes = np.concatenate([np.frombuffer(h, "<u8") for h, _, _ in blobs])
-        again, at = _repeats(hashes)[0], 0
-        for h, start, keys in blobs:
-            n = len(h) // 8
-            chosen = start[again[at : at + n]] if n else start
-            at += n
-            out += _noted(chosen, keys["begin"].astype(np.int64), keys)
+        for part in np.split(np.arange(len(start)), np.flatnonzero(np.diff(owner)) + 1):
+            if len(part):
+                doc = owner[part[0]]
+                out.append((int(keys["a"][doc]), int(keys["b"][doc]), (start[part] - begins[doc]).astype("<u4").tobytes()))
         return pd.DataFrame(out, columns=["a", "b", "starts"])
 
-    entries = docs.select("a", "b", "text").mapInArrow(hashed, "bucket int, hashes binary, gaps binary, keys binary")
-    return entries.groupBy("bucket").applyInPandas(compared, "a long, b int, starts binary")
+    entries = docs.select("a", "b", "text").mapInArrow(hashed, "bucket int, run long, hashes binary, gaps binary, keys binary")
+    noted = entries.groupBy("bucket").applyInPandas(compared, "run long, gaps binary, keys binary")
+    return noted.groupBy("run").applyInPandas(by_document, "a long, b int, starts binary")
 
 
 def _spans(ranked: np.ndarray) -> Iterator[tuple[int, int, int]]:
