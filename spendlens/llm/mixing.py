@@ -47,9 +47,8 @@ class Target:
 
 def words(text: Column) -> Column:
     """Number of words between ASCII white space; 0 for null."""
-    spaced = F.trim(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\f\r", "     "))
-    gaps = F.regexp_replace(spaced, " +", " ")
-    return F.when(gaps == "", 0).otherwise(F.length(gaps) - F.length(F.translate(gaps, " ", "")) + 1).cast("long")
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
+    return F.when(bare == "", 0).otherwise(F.size(F.split(bare, r"[ \t-\r]+"))).cast("long")
 
 
 def exponent(sizes: DataFrame, target: Target) -> float:
