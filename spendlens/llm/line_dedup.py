@@ -47,7 +47,9 @@ def line_ranks(lines: DataFrame) -> DataFrame:
     slices = slices.join(pages, "page").select("slice", (F.col("base") + upto(before("page", "slice"))).alias("base"))
     within = Window.partitionBy("slice").orderBy("h1", "h2").rowsBetween(Window.unboundedPreceding, -1)
     ranks = classes.withColumn("own", upto(within)).join(slices, "slice").select("h1", "h2", (F.col("base") + F.col("own")).alias("r"))
-    return lines.join(ranks, ["h1", "h2"]).select("uid", "i", "key", "r")
+    ranks, _ = written(ranks, "line-ranks")
+    likely = maybe_among(lines, F.col("h1"), ranks, F.col("h1"), out="likely").where("likely")
+    return likely.join(ranks, ["h1", "h2"]).select("uid", "i", "key", "r")
 
 
 def deeper(ranked: DataFrame, step: int) -> DataFrame:
