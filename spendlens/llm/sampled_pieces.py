@@ -29,16 +29,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from spendlens.llm.common import runs_of
 
 MARK = "▁"
-RUN_CHARS = 2_000_000
+RUN_CHARS = 1_000_000
 #: Edges of remembered units in a task; beyond, all are forgotten.
-MOST_EDGES = 5_000_000
+MOST_EDGES = 3_000_000
 POINTS = 0x110000
 
 
@@ -74,11 +74,27 @@ class Pieces:
         with np.errstate(divide="ignore"):
             return cls(texts, np.log(weight / weight.sum()), bytes_)
 
+    def spelling(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All pieces' bytes on end, and by id where its bytes begin and how many there are."""
+        parts = [(t or "").encode() for t in self.texts]
+        for octet, i in enumerate(self.bytes_.tolist()):
+            parts[i] = bytes([octet])
+        size = np.array([len(x) for x in parts], np.int64)
+        return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(size) - size, size
+
     def decode(self, ids: list[int]) -> str:
         """The text of a segmentation; ids of no piece are left out."""
-        octet = {int(i): bytes([b]) for b, i in enumerate(self.bytes_)}
-        out = b"".join(octet.get(i) or (self.texts[i] or "").encode() for i in ids)
-        return out.decode("utf-8", "replace")[1:]
+        return decode_all(np.asarray(ids, np.int64), np.array([len(ids)]), self.spelling())[0].decode("utf-8", "replace")
+
+
+def decode_all(ids: np.ndarray, sizes: np.ndarray, spelling: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[bytes]:
+    """The texts (UTF-8) of many segmentations on end, without the space before each."""
+    octets, begin, size = spelling
+    own = size[ids]
+    stop = np.cumsum(own)
+    text = octets[np.repeat(begin[ids] - stop + own, own) + np.arange(int(own.sum()))].tobytes()
+    ends = np.r_[0, stop][np.cumsum(sizes)].tolist()
+    return [text[a + 1 : b] for a, b in zip([0, *ends[:-1]], ends)]
 
 
 class Trie:
@@ -144,15 +160,19 @@ class Lattices:
     def forget(self) -> None:
         self.units: dict[str, int] = {}
         self.first = np.zeros(1, np.int64)  # by node: its first edge; a unit's last node has none
-        self._parts = {"to": np.int32, "owner": np.int32, "piece": np.int32, "p": np.float64, "log_q": np.float64, "upto": np.float64}
+        self._parts = {"to": np.int32, "piece": np.int32, "log_q": np.float64, "upto": np.float32}
         for name, kind in self._parts.items():
             setattr(self, name, np.zeros(0, kind))
 
     def span(self, edge: int) -> tuple[int, int]:
         """The edges that leave the node of ``edge``."""
-        node = int(self.owner[edge])
+        node = self.owner(edge)
         return int(self.first[node]), int(self.first[node + 1])
 
+    def owner(self, edge: int) -> int:
+        """The node that ``edge`` leaves."""
+        return int(np.searchsorted(self.first, edge, side="right")) - 1
+
     def nodes(self, units: list[str]) -> np.ndarray:
         """The first node of each unit."""
         at = np.fromiter(map(self.units.get, units, repeat(-1)), np.int64, len(units))
@@ -213,7 +233,7 @@ class Lattices:
         node, edge, p = len(self.first) - 1, len(self.to), np.exp(log_q)
         first = np.searchsorted(start, np.arange(len(chars) + 1))
         run = np.cumsum(p)
-        more = {"to": node + end, "owner": node + start, "piece": piece, "p": p, "log_q": log_q, "upto": run - np.r_[0.0, run][first[start]]}
+        more = {"to": node + end, "piece": piece, "log_q": log_q, "upto": run - np.r_[0.0, run][first[start]]}
         self.units.update(zip(new, (node + stop - sizes).tolist()))
         self.first = np.concatenate([self.first[:-1], edge + first])
         for name, kind in self._parts.items():
@@ -329,14 +349,15 @@ class Sampler:
         """By step: mass of all siblings not yet taken; below 1e-300 of the text it counts as none."""
         lat = self.lattices
         if group.mass is None:
-            reach = np.cumprod(lat.p[group.edge])
+            p = np.exp(lat.log_q[group.edge])
+            reach = np.cumprod(p)
             before = np.r_[1.0, reach[:-1]]
             group.before = before
-            group.mass = np.where(lat.p[group.edge] < 1, before - reach, 0.0)
+            group.mass = np.where(p < 1, before - reach, 0.0)
             group.mass[: group.floor] = 0.0
         for step, edges in group.gone.items():
             own = [e for e in range(*lat.span(group.edge[step])) if e not in edges and e != group.edge[step]]
-            group.mass[step] = group.before[step] * float(lat.p[own].sum()) if own else 0.0
+            group.mass[step] = group.before[step] * float(np.exp(lat.log_q[own]).sum()) if own else 0.0
         return group.mass
 
     def _descend(self, unit: np.ndarray, node: np.ndarray, place: np.ndarray, rank: int) -> Paths:
@@ -378,13 +399,13 @@ class Sampler:
             gone = group.gone.setdefault(step, set())
             lo, hi = lat.span(group.edge[step])
             others = np.array([e for e in range(lo, hi) if e not in gone and e != group.edge[step]])
-            upto = np.cumsum(lat.p[others])
+            upto = np.cumsum(np.exp(lat.log_q[others]))
             edge = int(others[min(int(np.searchsorted(upto, draw[1] * upto[-1], side="right")), len(others) - 1)])
             gone.add(edge)
             self._push(agenda[r], r, parent, group, t)
             heads.append((np.r_[group.edge[:step], edge], group.place[: step + 1], group.unit[: step + 1]))
             floor[r] = step + 1
-            here, to, last = int(lat.owner[edge]), int(lat.to[edge]), int(group.unit[step])
+            here, to, last = lat.owner(edge), int(lat.to[edge]), int(group.unit[step])
             stop = int(self.from_unit[r + 1])
             unit.append(np.arange(last, stop))
             node.append(np.concatenate(([to], self.node[last + 1 : stop])))
@@ -418,7 +439,7 @@ def _spell(pieces: Pieces, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndar
 
 
 def encode(
-    docs: DataFrame, pieces: Pieces, *, k: int = 2, key: str = "doc_id", text: str = "text", seed: int = 0
+    docs: DataFrame, pieces: Pieces, *, k: int = 2, key: str = "doc_id", text: str = "text", seed: int = 0, verify: bool = False
 ) -> DataFrame:
     """Up to ``k`` distinct segmentations of each row's whole text.
 
@@ -427,7 +448,8 @@ def encode(
     ``k`` drawn without replacement, given the threshold) and ``gumbel``. Texts with fewer than
     ``k`` segmentations give as many as there are; null counts as the empty text, which has
     one. Rows with equal keys and texts get equal samples; a null key is a key. Extra columns
-    of any name stay inside ``doc``. An empty table gives an empty table.
+    of any name stay inside ``doc``. With ``verify``, ``lossless`` says whether decoding gives
+    the text again. An empty table gives an empty table.
     """
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
     rows = docs.select(
@@ -436,10 +458,11 @@ def encode(
         F.xxhash64(F.col(key), F.lit(seed)).alias("seed"),
     )
     result = "sample int, ids array<int>, log_prob double, log_inclusion double, gumbel double"
+    result += ", lossless boolean" * verify
     schema = StructType([rows.schema["doc"], *StructType.fromDDL(result)])
 
     def samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(shared.value)
+        sampler, spelling = Sampler(shared.value), shared.value.spelling()
         for batch in batches:
             seeds = batch["seed"].to_numpy()
             for start, part in runs_of(batch["text"].to_pylist(), RUN_CHARS):
@@ -447,28 +470,32 @@ def encode(
                 row, rank, ids, log_prob, inclusion, gumbel = zip(*found)
                 flat, sizes = _spell(shared.value, np.concatenate(ids), np.array([len(i) for i in ids]))
                 lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(sizes)].astype(np.int32), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch["doc"].take(pa.array(np.array(row) + start)),
-                        pa.array(rank, pa.int32()),
-                        lists,
-                        *[pa.array(x, pa.float64()) for x in (log_prob, inclusion, gumbel)],
-                    ],
-                    ["doc", "sample", "ids", "log_prob", "log_inclusion", "gumbel"],
-                )
+                columns = {
+                    "doc": batch["doc"].take(pa.array(np.array(row) + start)),
+                    "sample": pa.array(rank, pa.int32()),
+                    "ids": lists,
+                    "log_prob": pa.array(log_prob, pa.float64()),
+                    "log_inclusion": pa.array(inclusion, pa.float64()),
+                    "gumbel": pa.array(gumbel, pa.float64()),
+                }
+                if verify:
+                    texts = [t.encode("utf-8", "surrogatepass") for t in part]
+                    back = decode_all(flat, sizes, spelling)
+                    columns["lossless"] = pa.array([texts[r] == x for r, x in zip(row, back)])
+                yield pa.RecordBatch.from_pydict(columns)
 
     return rows.mapInArrow(samples, schema)
 
 
-def decoded(ids: Column, pieces: Pieces, spark) -> Column:
+def decoded(ids: Column, pieces: Pieces, spark: SparkSession) -> Column:
     """The text of a segmentation; null for null."""
     shared = spark.sparkContext.broadcast(pieces)
 
     @F.pandas_udf("string")
     def text(batch: pd.Series) -> pd.Series:
         own: Pieces = shared.value
-        table = np.array([(t or "").encode() for t in own.texts], object)
-        table[own.bytes_] = [bytes([b]) for b in range(256)]
-        return batch.map(lambda x: None if x is None else b"".join(table[x].tolist()).decode("utf-8", "replace")[1:])
+        spelling = own.spelling()
+        one = lambda x: decode_all(np.asarray(x, np.int64), np.array([len(x)]), spelling)[0]
+        return batch.map(lambda x: None if x is None else one(x).decode("utf-8", "replace"))
 
     return text(ids)
