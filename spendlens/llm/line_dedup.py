@@ -106,7 +106,8 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     )
     spans = starts.withColumn("opens", opens).select("u", runs.alias("runs"))
     marked = maybe_among(store, F.col("uid"), spans, F.col("u"), out="marked")
-    some = marked.where("marked").join(spans, F.col("uid") == F.col("u"), "left").select("doc", "runs")
+    # The runs grow with the input: never broadcast, however few they look.
+    some = marked.where("marked").join(spans.hint("merge"), F.col("uid") == F.col("u"), "left").select("doc", "runs")
     rest = marked.where("not marked").select("doc", F.lit(None).cast(spans.schema["runs"].dataType).alias("runs"))
     # What stays: the stretches between the runs.
     own = F.col("lines")
