@@ -160,6 +160,7 @@ class Lattices:
     def forget(self) -> None:
         self.units: dict[str, int] = {}
         self.first = np.zeros(1, np.int64)  # by node: its first edge; a unit's last node has none
+        self.to_end = np.zeros(0, np.int32)  # by node: characters to the unit's last node
         self._parts = {"to": np.int32, "piece": np.int32, "log_q": np.float64, "upto": np.float32}
         for name, kind in self._parts.items():
             setattr(self, name, np.zeros(0, kind))
@@ -180,8 +181,10 @@ class Lattices:
             if len(self.to) > MOST_EDGES:
                 self.forget()
                 return self.nodes(units)
-            self._add(list(dict.fromkeys(units[i] for i in np.flatnonzero(at < 0).tolist())))
-            at = np.fromiter(map(self.units.__getitem__, units), np.int64, len(units))
+            missing = np.flatnonzero(at < 0)
+            new = [units[i] for i in missing.tolist()]
+            self._add(list(dict.fromkeys(new)))
+            at[missing] = np.fromiter(map(self.units.__getitem__, new), np.int64, len(new))
         return at
 
     def _add(self, new: list[str]) -> None:
@@ -236,6 +239,7 @@ class Lattices:
         more = {"to": node + end, "piece": piece, "log_q": log_q, "upto": run - np.r_[0.0, run][first[start]]}
         self.units.update(zip(new, (node + stop - sizes).tolist()))
         self.first = np.concatenate([self.first[:-1], edge + first])
+        self.to_end = np.concatenate([self.to_end, to_end.astype(np.int32)])
         for name, kind in self._parts.items():
             setattr(self, name, np.concatenate([getattr(self, name), more[name].astype(kind)]))
 
@@ -295,7 +299,7 @@ class Sampler:
         if not n:
             return []
         node = lat.nodes(units)
-        lengths = np.fromiter(map(len, units), np.int64, len(units)) + 1
+        lengths = lat.to_end[node].astype(np.int64)
         row = np.repeat(np.arange(n), counts)
         self.from_unit = np.r_[0, np.cumsum(counts)]
         origin = np.cumsum(lengths) - lengths
@@ -311,12 +315,22 @@ class Sampler:
         done = []
         for rank in range(1, k + 1):
             at = np.searchsorted(now.row, np.r_[rows, n]).tolist()
-            log_q = np.add.reduceat(lat.log_q[now.edge], at[:-1])
+            steps = lat.log_q[now.edge]
+            log_q = np.add.reduceat(steps, at[:-1])
+            shared = np.arange(len(steps)) - np.repeat(at[:-1], np.diff(at)) < np.repeat(floor[rows], np.diff(at))
+            kept = np.add.reduceat(np.where(shared, steps, 0.0), at[:-1])
+            # What leaves the path below its floor: all that the floor reaches, but the path.
+            own = np.add.reduceat(np.where(shared, 0.0, steps), at[:-1])
+            with np.errstate(divide="ignore"):
+                left = kept + np.log(-np.expm1(own))
+            wait = np.log(-np.log(_draw(self.seeds[rows], 4 * rank, np.zeros(len(rows)))))
+            due = np.logaddexp(time, wait - left).tolist()
             for i, r in enumerate(rows.tolist()):
                 part = slice(at[i], at[i + 1])
                 paths[r, rank] = group = Siblings(now.edge[part], now.place[part], now.unit[part], int(floor[r]), {})
                 done.append((r, rank, lat.piece[group.edge], float(log_q[i]), float(time[i])))
-                self._push(agenda[r], r, rank, group, float(time[i]))
+                if left[i] > -690:
+                    agenda[r].append((due[i], rank))
             if rank == k:
                 break
             popped = []
@@ -338,7 +352,7 @@ class Sampler:
         return out
 
     def _push(self, agenda: list, r: int, rank: int, group: Siblings, t: float) -> None:
-        """Puts what is left of a group of siblings on the agenda, with its next time."""
+        """Puts what a pop has left of a group of siblings on the agenda, with its next time."""
         left = float(self._masses(group).sum())
         if left > 0:
             again = len(group.gone) * 64 + rank
@@ -427,13 +441,14 @@ def _spell(pieces: Pieces, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndar
     odd = np.flatnonzero(flat >= n)
     if not len(odd):
         return flat, sizes
-    spelt = [pieces.bytes_[list(chr(p - n).encode("utf-8", "surrogatepass"))] for p in flat[odd].tolist()]
+    points, which = np.unique(flat[odd], return_inverse=True)
+    by_point = [pieces.bytes_[list(chr(p - n).encode("utf-8", "surrogatepass"))] for p in points.tolist()]
+    spelt = [by_point[i] for i in which.tolist()]
     many = np.ones(len(flat), np.int64)
-    many[odd] = [len(s) for s in spelt]
+    many[odd] = np.array([len(x) for x in by_point])[which]
     out = np.repeat(flat, many)
-    at = np.cumsum(many) - many
-    for i, s in zip(odd.tolist(), spelt):
-        out[at[i] : at[i] + len(s)] = s
+    at = (np.cumsum(many) - many)[odd]
+    out[np.repeat(at, many[odd]) + np.arange(int(many[odd].sum())) - np.repeat(np.cumsum(many[odd]) - many[odd], many[odd])] = np.concatenate(spelt)
     ends = np.r_[0, np.cumsum(many)][np.cumsum(sizes)]
     return out, np.diff(ends, prepend=0)
 
