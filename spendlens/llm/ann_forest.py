@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 
 SHARD_ROWS = 8_192
 BLOCK_QUERIES = 4_096
-TREES = 48
+TREES = 64
 LENGTH = 32
 #: Candidates to gather, as a share of the rows, repeats over trees included.
-SHARE = 0.5
+SHARE = 0.75
 #: Queries scored together in a task.
 CHUNK = 64
 
