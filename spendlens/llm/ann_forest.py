@@ -4,7 +4,7 @@ Rows are dealt into shards. In each shard every tree has a random sequence of hy
 a row's signs are its hash string, and the tree is the sorted array of these strings (Bawa et
 al., 2005). A query descends each tree to its longest matching prefix, a range of the array, and
 ascends all trees together, a shorter prefix at a time, until the ranges hold ``share`` of
-the shard (a row counts in each tree that has it). Those candidates are scored exactly on the
+the shard (a row counts in each tree that has it) and one of them more than ``k`` rows. Those candidates are scored exactly on the
 original vectors; the best of each shard meet by query.
 
 For inner products of vectors of different lengths, rows get one more coordinate that makes
@@ -51,8 +51,8 @@ class Forest:
         self.order = np.argsort(codes, axis=1, kind="stable")
         self.codes = np.take_along_axis(codes, self.order, 1)
 
-    def candidates(self, queries: np.ndarray, wanted: float) -> np.ndarray:
-        """Which rows each query gathers: [query, row]."""
+    def candidates(self, queries: np.ndarray, wanted: float, least: int) -> np.ndarray:
+        """Which rows each query gathers: [query, row]; ``least`` different ones, if there are."""
         trees, length = self.planes.shape[:2]
         n, asked = len(self.vectors), len(queries)
         codes = _codes(np.c_[queries, np.zeros(asked)], self.planes)
@@ -66,7 +66,8 @@ class Forest:
                 head = codes[tree, open_] >> (length - prefix) << (length - prefix)
                 low[tree, open_] = np.searchsorted(self.codes[tree], head, "left")
                 high[tree, open_] = np.searchsorted(self.codes[tree], head | ((1 << (length - prefix)) - 1), "right")
-            open_ = open_[(high[:, open_] - low[:, open_]).sum(0) < min(wanted, trees * n)]
+            held = high[:, open_] - low[:, open_]
+            open_ = open_[(held.sum(0) < min(wanted, trees * n)) | (held.max(0) < min(least, n))]
         found = np.zeros((asked, n), bool)
         for tree in range(trees):
             for q in range(asked):
@@ -116,7 +117,7 @@ def search(
         out = []
         for at in range(0, len(names), CHUNK):
             part = slice(at, at + CHUNK)
-            found = forest.candidates(points[part], share * len(ids)) & (ids[None, :] != names[part, None])
+            found = forest.candidates(points[part], share * len(ids), k + 1) & (ids[None, :] != names[part, None])
             score = np.where(found, points[part] @ vectors.T, -np.inf)
             # Rows stand by id: among equal scores a stable sort puts smaller ids first.
             best = np.argsort(-score, axis=1, kind="stable")[:, :k]
