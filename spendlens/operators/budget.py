@@ -79,7 +79,10 @@ def budget_check(
 
 
 def budget_line(checked: DataFrame) -> DataFrame:
-    """The verdict as one line of text: ``day: $14.20 / $50.00 (28%) — ok``."""
+    """The verdict as one line of text: ``day: $14.20 / $50.00 (28%) — ok``.
+
+    A verdict that calls without a price leave open reads ``unknown (143 unpriced)``.
+    """
 
     def rounded(value: str, scale: int) -> str:
         return f"CAST(CAST({value} AS DECIMAL(24,{scale})) AS STRING)"
@@ -87,5 +90,7 @@ def budget_line(checked: DataFrame) -> DataFrame:
     return checked.selectExpr(
         f"""window || ': $' || {rounded('spent', 2)} || ' / $' || {rounded('budget', 2)}
         || ' (' || {rounded('pct', 0)} || '%) — '
-        || CASE WHEN over THEN 'OVER by $' || {rounded('-remaining', 2)} ELSE 'ok' END AS line"""
+        || CASE WHEN over THEN 'OVER by $' || {rounded('-remaining', 2)}
+            WHEN status = 'unknown' THEN 'unknown (' || unpriced_calls || ' unpriced)'
+            ELSE 'ok' END AS line"""
     )

@@ -80,7 +80,7 @@ def lines(listing: DataFrame) -> DataFrame:
     return shown.select(
         *keep,
         F.expr(
-            """'[' || date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'") || '] ' || provider || ' '
+            """'[' || replace(CAST(ts AS STRING), ' ', 'T') || 'Z' || '] ' || provider || ' '
             || coalesce(model, '?') || ' ' || status_label || ' ' || CAST(latency_ms AS STRING)
             || 'ms tokens=' || tokens_label
             || coalesce(' ' || cache_label, '') || coalesce(' ' || cost_label, '')

@@ -462,7 +462,8 @@ for _key, _spec, _bound, _window, _amount in [
 _LINE_SQL = """SELECT "window" || ': $' || CAST(CAST(spent AS DECIMAL(24,2)) AS VARCHAR)
     || ' / $' || CAST(CAST(budget AS DECIMAL(24,2)) AS VARCHAR)
     || ' (' || CAST(CAST(pct AS DECIMAL(24,0)) AS VARCHAR) || '%) — ' || CASE WHEN over
-    THEN 'OVER by $' || CAST(CAST(-remaining AS DECIMAL(24,2)) AS VARCHAR) ELSE 'ok' END AS line"""
+    THEN 'OVER by $' || CAST(CAST(-remaining AS DECIMAL(24,2)) AS VARCHAR)
+    WHEN unpriced_calls > 0 THEN 'unknown (' || unpriced_calls || ' unpriced)' ELSE 'ok' END AS line"""
 
 
 @query(
@@ -553,7 +554,7 @@ def listing_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "d4_listing_lines",
     with_priced(
-        """SELECT ingest_seq, '[' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '] ' || provider || ' '
+        """SELECT ingest_seq, '[' || replace(CAST(ts AS VARCHAR), ' ', 'T') || 'Z] ' || provider || ' '
         || coalesce(model, '?') || ' ' || status_label || ' ' || CAST(latency_ms AS VARCHAR)
         || 'ms tokens=' || tokens_label || coalesce(' ' || cache_label, '')
         || coalesce(' ' || cost_label, '') || coalesce(' ERROR=' || error_label, '')

@@ -354,7 +354,7 @@ def drop_replays(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_dir(spark, "replays")
     with state_settings(spark):
         stream = staged(_replayed(spark, sf_dir), f"{folder}/in", 2)
-        kept = drained(jobs.drop_replays(stream, "60 days"), folder)
+        kept = drained(jobs.drop_replays(stream), folder)
     return kept.select("id", "provider", "input_tokens")
 
 

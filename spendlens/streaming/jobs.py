@@ -12,20 +12,20 @@ from spendlens.operators.normalize import CLIENT_HEADER, normalize
 from spendlens.operators.pricing import RateCard, price_calls
 from spendlens.sources.calls import append_calls
 
-REPLAY_HORIZON = "1 hour"
-
 
 def normalize_stream(exchanges: DataFrame, client_header: str = CLIENT_HEADER) -> DataFrame:
     """A stream of exchanges as a stream of calls. There is no state in it."""
     return normalize(exchanges, client_header)
 
 
-def drop_replays(calls: DataFrame, horizon: str = REPLAY_HORIZON) -> DataFrame:
-    """Drop copies of a call that arrive within ``horizon`` of event time.
+def drop_replays(calls: DataFrame) -> DataFrame:
+    """Drop copies of a call, however late; a first copy is kept, however late.
 
-    Keeps the state small; ``store_calls`` also recognises later copies.
+    The state holds every id (use the RocksDB state store for many of them), because any
+    watermark would also drop first copies that are behind it. ``store_calls`` does
+    without such state, by comparing with the stored table.
     """
-    return calls.withWatermark("ts", horizon).dropDuplicatesWithinWatermark(["id"])
+    return calls.dropDuplicates(["id"])
 
 
 def store_calls(
@@ -33,20 +33,22 @@ def store_calls(
     path: str,
     checkpoint: str,
     order: str = "ingest_seq",
-    same_dates: bool = True,
+    same_dates: bool = False,
     **trigger,
 ) -> StreamingQuery:
     """Append a stream of calls to the table at ``path``, each id once, also after a restart.
 
-    A batch is compared with the stored calls of its own dates, so its work does not
-    grow with the table; ``same_dates=False`` compares it with all of them.
+    A batch is compared with the ids of all stored calls. Where replays are known to keep their
+    date, ``same_dates=True`` compares it with those of its own dates only.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
-        if not batch.isEmpty():
-            append_calls(batch, path, order, same_dates)
-        batch.unpersist()
+        try:
+            if not batch.isEmpty():
+                append_calls(batch, path, order, same_dates)
+        finally:
+            batch.unpersist()
 
     return (
         calls.writeStream.foreachBatch(store)
