@@ -179,16 +179,18 @@ def links(prints: DataFrame, budget: int = BUDGET) -> DataFrame:
     ``prints`` has distinct fingerprints in column ``fp``.
     """
     depth = 16 * budget
-    roots, _ = written(_roots(prints, budget), "tries")
+    roots, path = written(_roots(prints, budget), "tries")
     sizes = roots.groupBy("forest", "root").count().where("count > 1")
     few = sizes.where(F.col("count") <= SPLIT_LEAVES).select("forest", "root")
     many = sizes.where(F.col("count") > SPLIT_LEAVES).select("forest", "root")
     whole = roots.join(few, ["forest", "root"])
     out = _linked(whole.withColumn("side", F.lit(0)), ["forest", "root"], budget)
-    if many.isEmpty():
-        return out
-    pairs = _split(roots.join(many, ["forest", "root"]), ["forest", "root"], depth, budget)
-    return out.unionByName(_linked(pairs, ["forest", "root", "low", "high"], budget))
+    if not many.isEmpty():
+        pairs = _split(roots.join(many, ["forest", "root"]), ["forest", "root"], depth, budget)
+        out = out.unionByName(_linked(pairs, ["forest", "root", "low", "high"], budget))
+    found, _ = written(out, "links")
+    remove(prints.sparkSession, path)
+    return found
 
 
 def _linked(leaves: DataFrame, keys: list[str], budget: int) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from spendlens.llm.common import maybe_among, written
+from spendlens.llm.common import maybe_among, remove, written
 from spendlens.streaming.workdir import work_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -72,7 +72,10 @@ def retained_state(
     schema = StructType([*groups.schema, StructField("batch", IntegerType())])
     changes = spark.read.schema(schema).parquet(out) if _any(spark, out) else spark.createDataFrame([], schema)
     last = changes.groupBy("digest").agg(F.max_by(F.struct("stays", "copies"), "batch").alias("last"))
-    return last.select("digest", "last.stays", "last.copies")
+    # The stream has ended: its state and the changes it wrote are no longer needed.
+    state, _ = written(last.select("digest", "last.stays", "last.copies"), "groups")
+    remove(spark, out, checkpoint)
+    return state
 
 
 def _any(spark: SparkSession, path: str) -> bool:
@@ -89,7 +92,6 @@ def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text", max
     spark = docs.sparkSession
     store, path = content_store(docs, text=text)
     groups = retained_state(spark, store, path, key=key, max_bytes=max_bytes)
-    groups, _ = written(groups, "groups")
     body = F.coalesce(F.col(f"doc.{text}"), F.lit(""))
     hits = groups.where("copies > 1").withColumn("salts", F.ceil(F.col("copies") / SALT_ROWS))
     salted = hits.select("digest", "stays", F.explode(F.sequence(F.lit(0), (F.col("salts") - 1).cast("int"))).alias("salt"))
