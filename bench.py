@@ -28,6 +28,7 @@ HEADLINES = [
     "n9_sse_events",
     "n28_records",
     "n28_stream_records",
+    "p1_rate_lookup_by_catalogue",
     "p7_call_cost",
     "s2_new_calls",
     "v3_avoidable_misses",

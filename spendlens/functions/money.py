@@ -16,8 +16,9 @@ PICO_PER_USD = 1e12
 
 
 def reported_pico(cost_usd: Column) -> Column:
-    """A provider-reported USD amount in pico-USD."""
-    return F.floor(cost_usd * F.lit(PICO_PER_USD) + F.lit(0.5)).cast("bigint")
+    """A provider-reported USD amount in pico-USD; NULL beyond 9.2 million USD, and for no number."""
+    pico = cost_usd * F.lit(PICO_PER_USD) + F.lit(0.5)
+    return F.when(F.abs(pico) < F.lit(2.0**63), F.floor(pico).cast("bigint"))
 
 
 def usd(pico: Column) -> Column:

@@ -2,14 +2,15 @@
 
 A model takes the rates of the longest price key that is a prefix of its name
 (an exact match is the longest possible one), and of the highest context tier
-its prompt exceeds. Both choices are ranges: sorted by name, every key owns the
-stretch of names that start with it less the stretches of longer keys, and every
-tier owns a stretch of context sizes. ``rate_card`` lays the price table out as
-such disjoint cells, so each call meets at most one cell and pricing is one
-join of the facts with the cells, in one pass over the facts: nothing about the
-calls is collected, de-duplicated or shuffled for it, and it works on a stream.
-Only the price table travels. Its size is checked: up to ``BROADCAST_KEYS`` keys
-it is broadcast, beyond that Spark chooses the join from its own estimates.
+its prompt exceeds. The longest prefix is found by binary search over the lengths
+that keys have (Waldvogel et al., 1997): a step looks up the name's beginning of one
+length in a hash table of markers; if it is there, longer beginnings are tried next,
+else shorter ones. A marker knows the longest key that is a prefix of it. So a call
+meets at most one row per step, by equality, whatever keys have in common, and pricing
+is a handful of hash joins in one pass over the facts: nothing about the calls is
+collected, de-duplicated or shuffled for it, and it works on a stream. Only the
+price table travels. Its size is checked: up to ``BROADCAST_BYTES`` it is broadcast,
+beyond that Spark chooses the joins from its own estimates.
 """
 
 from __future__ import annotations
@@ -23,103 +24,100 @@ from spendlens.functions.money import reported_pico, usd
 from spendlens.functions.text import ascii_lower
 from spendlens.schemas import RATE_COLUMNS
 
-BROADCAST_KEYS = 50_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
-# Names are bucketed by their first characters so that a call is compared with
-# the cells of one bucket only. Keys shorter than that are few and get
-# one-character buckets of their own.
-BUCKET_CHARS = 5
-
-_LAST_CHAR = chr(0x10FFFF)
 _MAX_TOKENS = 2**63 - 1
 UNIT_COLUMNS = ["input_units", "output_units", "cache_read_units", "cache_creation_units"]
-_RATED_COLUMNS = ["model_key", "cache_in_input", *UNIT_COLUMNS]
 
 
-def _band(above: str, row: str = "") -> str:
-    units = ", ".join(
-        f"'{u}', CAST({row}{r} * 1000000 AS BIGINT)" for r, u in zip(RATE_COLUMNS, UNIT_COLUMNS)
-    )
-    return f"named_struct('above_tokens', CAST({above} AS BIGINT), {units})"
+def _probes(lengths: list[int], at: int) -> list[int]:
+    """The lengths of the markers that lead the search to the key length at index ``at``."""
+    low, high, found = 0, len(lengths), []
+    while low < high:
+        middle = (low + high) // 2
+        if middle <= at:
+            found.append(lengths[middle])
+        if middle == at:
+            break
+        low, high = (middle + 1, high) if middle < at else (low, middle)
+    return found
 
 
-def name_ranges(keys: DataFrame, bucket_chars: int) -> DataFrame:
-    """Disjoint ranges [name_from, name_to) of model names and the key that owns each.
+def markers(keys: DataFrame, lengths: list[int]) -> DataFrame:
+    """``marker`` and ``owner``, the longest key that is a prefix of it, if any.
 
-    Names starting with a key lie between the key and the key plus the last
-    character there is; from there on they belong to the next shorter key, if any.
-    Prefixes of one name sort by length, so the greatest of them is the longest.
+    ``keys`` has distinct ``model_key`` of the ascending ``lengths``. Prefixes of one text sort by
+    length, so the greatest of them is the longest.
     """
-    bucket = f"left(model_key, {bucket_chars}) AS bucket"
-    prefixes = keys.where(f"length(model_key) > {bucket_chars}").selectExpr(
-        "model_key AS longer",
-        f"""explode(transform(sequence({bucket_chars}, length(model_key) - 1),
-            n -> left(model_key, n))) AS model_key""",
+    every = f"array({', '.join(map(str, lengths))})"
+    paths = ", ".join(f"array({', '.join(map(str, _probes(lengths, i)))})" for i in range(len(lengths)))
+    path = f"element_at(array({paths}), CAST(array_position({every}, length(model_key)) AS INT))"
+    marked = keys.selectExpr(f"explode(transform({path}, n -> left(model_key, n))) AS marker").distinct()
+    prefixes = marked.selectExpr(
+        "marker",
+        f"explode(transform(filter({every}, n -> n <= length(marker)), n -> left(marker, n))) AS model_key",
     )
-    shorter = prefixes.join(keys, "model_key").groupBy("longer").agg(F.max("model_key").alias("owner"))
-    starts = keys.selectExpr(bucket, "model_key AS name_from", "model_key AS owner")
-    ends = keys.join(shorter, F.expr("model_key = longer"), "left").selectExpr(
-        bucket, f"model_key || '{_LAST_CHAR}' AS name_from", "owner"
-    )
-    following = "lead(name_from) OVER (PARTITION BY bucket ORDER BY name_from) AS name_to"
-    return starts.unionByName(ends).selectExpr("*", following).where("owner IS NOT NULL")
+    owned = prefixes.join(keys, "model_key").groupBy("marker").agg(F.max("model_key").alias("owner"))
+    return marked.join(owned, "marker", "left")
 
 
-def context_bands(prices: DataFrame) -> DataFrame:
-    """The rates of each key per band (above_tokens, upto_tokens] of the context size."""
-    bands = f"""concat(array({_band("-1")}),
-        array_sort(transform(coalesce(tiers, array()), t -> {_band("t.above_input_tokens", "t.")})))"""
-    units = ", ".join(f"b.{u} AS {u}" for u in UNIT_COLUMNS)
-    return prices.selectExpr(
-        "model_key", "coalesce(cache_in_input, false) AS cache_in_input", f"{bands} AS bands"
-    ).selectExpr(
-        "model_key",
-        "cache_in_input",
-        f"""inline(transform(bands, (b, i) -> struct(b.above_tokens AS above_tokens,
-            coalesce(get(bands, i + 1).above_tokens, {_MAX_TOKENS}) AS upto_tokens, {units})))""",
+def _units(row: str) -> str:
+    units = ", ".join(
+        f"'{u}', CAST({row}{r} * 1000000 AS BIGINT)" for r, u in zip(RATE_COLUMNS, UNIT_COLUMNS)
     )
+    return f"named_struct({units})"
 
 
-def rate_cells(prices: DataFrame, bucket_chars: int) -> DataFrame:
-    """Disjoint cells [name_from, name_to) x (above_tokens, upto_tokens] with their rates.
+def rates_by_key(prices: DataFrame) -> DataFrame:
+    """One row per key: its accounting, the ascending context sizes its bands start above, their rates.
 
-    ``prices`` holds distinct keys of at least ``bucket_chars`` characters. Rates
-    become pico-USD per token.
+    Rates become pico-USD per token. The first band starts above -1; a tier without a threshold is none.
     """
-    ranges = name_ranges(prices.select("model_key"), bucket_chars)
-    return ranges.withColumnRenamed("owner", "model_key").join(context_bands(prices), "model_key")
+    tiers = "filter(coalesce(tiers, array()), t -> t.above_input_tokens >= 0)"
+    tier = f"named_struct('above', t.above_input_tokens, 'units', {_units('t.')})"
+    return prices.selectExpr(
+        "model_key",
+        "coalesce(cache_in_input, false) AS cache_in_input",
+        f"""concat(array(named_struct('above', CAST(-1 AS BIGINT), 'units', {_units('')})),
+            array_sort(transform({tiers}, t -> {tier}))) AS bands""",
+    ).selectExpr("model_key", "cache_in_input", "bands.above AS above", "bands.units AS units")
 
 
 @dataclass(frozen=True)
 class RateCard:
-    """Cells ready to be joined; ``short_cells`` only where the table has short keys."""
+    """A price table ready to be joined: the key lengths there are, markers, and rates by key."""
 
-    cells: DataFrame
-    short_cells: DataFrame | None
+    lengths: list[int]
+    markers: DataFrame
+    rates: DataFrame
 
     def unpersist(self) -> None:
-        for cells in (self.cells, self.short_cells):
-            if cells is not None:
-                cells.unpersist()
+        self.markers.unpersist()
+        self.rates.unpersist()
 
 
 def rate_card(prices: DataFrame | RateCard) -> RateCard:
-    """Lay a price table out for joining, after counting its keys.
+    """Lay a price table out for joining, after measuring it.
 
-    Build it once to price several frames, or every batch of a stream: the cells
-    of a table small enough to be broadcast are kept in memory.
+    Build it once to price several frames, or every batch of a stream: a table small
+    enough to be broadcast is kept in memory. Empty keys are ignored; of rows
+    with equal keys one stays.
     """
     if isinstance(prices, RateCard):
         return prices
-    short_key = f"length(model_key) BETWEEN 1 AND {BUCKET_CHARS - 1}"
-    keys, short_keys = prices.selectExpr("count(*)", f"count_if({short_key})").first()
+    keyed = prices.where("length(model_key) > 0").dropDuplicates(["model_key"])
+    lengths, key_bytes, bands = keyed.selectExpr(
+        "sort_array(collect_set(length(model_key)))",
+        "coalesce(sum(octet_length(model_key) + 64), 0)",
+        "coalesce(sum(1 + greatest(coalesce(size(tiers), 0), 0)), 0)",
+    ).first()
+    size = key_bytes * (len(lengths).bit_length() + 1) + bands * 64
 
-    def sized(cells: DataFrame) -> DataFrame:
-        return F.broadcast(cells.persist()) if keys <= BROADCAST_KEYS else cells
+    def sized(table: DataFrame) -> DataFrame:
+        return F.broadcast(table.persist()) if size <= BROADCAST_BYTES else table
 
-    short = sized(rate_cells(prices.where(short_key), 1)) if short_keys else None
-    long_key = f"length(model_key) >= {BUCKET_CHARS}"
-    return RateCard(sized(rate_cells(prices.where(long_key), BUCKET_CHARS)), short)
+    marked = markers(keyed.select("model_key"), lengths or [1])
+    return RateCard(lengths, sized(marked), sized(rates_by_key(keyed)))
 
 
 def counted(column: str) -> str:
@@ -133,7 +131,9 @@ _CREATION = counted("cache_creation_input_tokens")
 _OUTPUT = counted("output_tokens")
 
 # Prompt size the tiers look at; cache tokens are added where they are counted apart.
-CONTEXT_TOKENS = f"CASE WHEN cache_in_input THEN {_INPUT} ELSE {_INPUT} + {_READ} + {_CREATION} END"
+# A size beyond BIGINT exceeds every tier like the largest one.
+CONTEXT_TOKENS = f"""CASE WHEN cache_in_input THEN {_INPUT}
+    ELSE coalesce(try_add(try_add({_INPUT}, {_READ}), {_CREATION}), {_MAX_TOKENS}) END"""
 
 # Input tokens billed at the full rate.
 UNCACHED_INPUT = f"CASE WHEN cache_in_input THEN greatest({_INPUT} - {_READ}, 0) ELSE {_INPUT} END"
@@ -145,54 +145,67 @@ TOKENS_PICO = f"""try_add(try_add(
     try_multiply({_CREATION}, cache_creation_units), try_multiply({_OUTPUT}, output_units)))"""
 
 
-def _join_cells(calls: DataFrame, cells: DataFrame, tag: str, bucket_chars: int) -> DataFrame:
-    renamed = cells.toDF(*[f"_{tag}_{c}" for c in cells.columns])
-    context = CONTEXT_TOKENS.replace("cache_in_input", f"_{tag}_cache_in_input", 1)
-    return calls.join(
-        renamed,
-        F.expr(
-            f"""left(_name, {bucket_chars}) = _{tag}_bucket
-            AND _name >= _{tag}_name_from AND _name < _{tag}_name_to
-            AND {context} > _{tag}_above_tokens AND {context} <= _{tag}_upto_tokens"""
-        ),
-        "left",
-    )
+def _with_owner(names: DataFrame, card: RateCard) -> DataFrame:
+    """Add ``_owner``, the longest key that is a prefix of ``_name``; other columns stay."""
+    lengths = f"array({', '.join(map(str, card.lengths))})"
+    middle = "CAST((_low + _high) div 2 AS INT)"
+    kept = [f"`{c}`" for c in names.columns]
+    rows = names.selectExpr("*", "CAST(NULL AS STRING) AS _owner", "0 AS _low", f"{len(card.lengths)} AS _high")
+    for step in range(len(card.lengths).bit_length()):
+        length = f"CASE WHEN _low < _high THEN {lengths}[{middle}] END"
+        probe = f"CASE WHEN length(_name) >= {length} THEN left(_name, {length}) END"
+        marker, owner = f"_marker_{step}", f"_owner_{step}"
+        joined = rows.withColumn("_probe", F.expr(probe)).join(
+            card.markers.toDF(marker, owner), F.expr(f"_probe = {marker}"), "left"
+        )
+        rows = joined.selectExpr(
+            *kept,
+            f"CASE WHEN {marker} IS NULL THEN _owner ELSE {owner} END AS _owner",
+            f"CASE WHEN {marker} IS NULL THEN _low ELSE {middle} + 1 END AS _low",
+            f"CASE WHEN {marker} IS NULL THEN {middle} ELSE _high END AS _high",
+        )
+    return rows.drop("_low", "_high")
 
 
 def attach_rates(calls: DataFrame, prices: DataFrame | RateCard) -> DataFrame:
     """Add ``model_key``, ``cache_in_input`` and the effective rates per token to each call.
 
-    All added columns are NULL for a call whose model no price key matches.
+    All added columns are NULL for a call whose model no price key matches. Each call gives one row.
     """
     card = rate_card(prices)
-    joined = calls.withColumn("_name", ascii_lower(F.col("model")))
-    joined = _join_cells(joined, card.cells, "cell", BUCKET_CHARS)
-    added = [f"_cell_{c} AS {c}" for c in _RATED_COLUMNS]
-    if card.short_cells is not None:
-        joined = _join_cells(joined, card.short_cells, "short", 1)
-        added = [
-            f"CASE WHEN _cell_model_key IS NOT NULL THEN _cell_{c} ELSE _short_{c} END AS {c}"
-            for c in _RATED_COLUMNS
-        ]
-    return joined.selectExpr(*[f"`{c}`" for c in calls.columns], *added)
+    owned = _with_owner(calls.withColumn("_name", ascii_lower(F.col("model"))), card)
+    rates = card.rates.toDF(*[f"_rate_{c}" for c in card.rates.columns])
+    joined = owned.join(rates, F.expr("_owner = _rate_model_key"), "left")
+    context = CONTEXT_TOKENS.replace("cache_in_input", "_rate_cache_in_input", 1)
+    # How many bands start below the context: where it comes to stand among their starts.
+    band = f"""CASE WHEN size(_rate_above) > 1
+        THEN CAST(array_position(sort_array(array_append(_rate_above, {context})), {context}) AS INT) - 2
+        ELSE 0 END"""
+    return joined.withColumn("_band", F.expr(f"get(_rate_units, {band})")).selectExpr(
+        *[f"`{c}`" for c in calls.columns],
+        "_rate_model_key AS model_key",
+        "_rate_cache_in_input AS cache_in_input",
+        *[f"_band.{c} AS {c}" for c in UNIT_COLUMNS],
+    )
 
 
 def price_calls(calls: DataFrame, prices: DataFrame | RateCard) -> DataFrame:
     """Add rates and two prices in pico-USD, each NULL where it is unknown.
 
     ``priced_pico``: the tokens at table rates, whatever the provider reported.
-    ``cost_pico``: reported cost, else table price, else NULL when the call has
-    tokens, else zero.
+    ``cost_pico``: reported cost (NULL where it is too large for pico-USD), else table
+    price, else NULL when the call has tokens, else zero.
     """
     return (
         attach_rates(calls, prices)
         .withColumn("priced_pico", F.expr(TOKENS_PICO))
         .withColumn(
             "cost_pico",
-            F.coalesce(
-                reported_pico(F.col("cost")),
-                F.col("priced_pico"),
-                F.expr(f"CASE WHEN {_INPUT} = 0 AND {_OUTPUT} = 0 THEN CAST(0 AS BIGINT) END"),
+            F.when(F.col("cost").isNotNull(), reported_pico(F.col("cost"))).otherwise(
+                F.coalesce(
+                    F.col("priced_pico"),
+                    F.expr(f"CASE WHEN {_INPUT} = 0 AND {_OUTPUT} = 0 THEN CAST(0 AS BIGINT) END"),
+                )
             ),
         )
     )

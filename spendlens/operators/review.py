@@ -56,17 +56,17 @@ def cache_decay(calls: DataFrame, prices: DataFrame | RateCard) -> DataFrame:
     cached tokens.
     """
     gaps = attach_rates(idle_gaps(calls), prices)
-    prompt = f"""input_tokens + CASE WHEN NOT cache_in_input THEN {_READ} + {_CREATION}
-        ELSE 0 END"""
+    prompt = f"""CASE WHEN NOT cache_in_input THEN try_add(try_add(input_tokens, {_READ}), {_CREATION})
+        ELSE input_tokens END"""
     return (
         gaps.groupBy(F.col("gap_bucket").alias("bucket"))
         .agg(
             F.count("*").alias("n"),
             F.expr(
-                "round(100.0D * sum(cache_read_input_tokens) / sum(input_tokens), 1) AS hit_pct"
+                "round(100.0D * try_sum(cache_read_input_tokens) / try_sum(input_tokens), 1) AS hit_pct"
             ),
             F.expr(
-                f"round(100.0D * sum(cache_read_input_tokens) / sum({prompt}), 1) AS prompt_hit_pct"
+                f"round(100.0D * try_sum(cache_read_input_tokens) / try_sum({prompt}), 1) AS prompt_hit_pct"
             ),
             F.min("gap_s").alias("min_gap_s"),
         )
@@ -87,16 +87,16 @@ def uncached_by_accounting(calls: DataFrame, prices: DataFrame | RateCard) -> Da
         f"""CASE WHEN NOT cache_in_input THEN {counted('input_tokens')}
             ELSE greatest({counted('input_tokens')} - {_READ}, 0) END AS uncached""",
         f"{_READ} AS cache_read",
-        f"""{counted('input_tokens')} + CASE WHEN NOT cache_in_input
-            THEN {_READ} + {_CREATION} ELSE 0 END AS prompt""",
+        f"""CASE WHEN NOT cache_in_input THEN try_add(try_add({counted('input_tokens')}, {_READ}), {_CREATION})
+            ELSE {counted('input_tokens')} END AS prompt""",
     )
     return (
         rated.groupBy("provider", "accounting")
         .agg(
             F.count("*").alias("calls"),
-            F.sum("uncached").alias("uncached_tokens"),
-            F.sum("cache_read").alias("cache_read_tokens"),
-            F.sum("prompt").alias("prompt_tokens"),
+            F.try_sum("uncached").alias("uncached_tokens"),
+            F.try_sum("cache_read").alias("cache_read_tokens"),
+            F.try_sum("prompt").alias("prompt_tokens"),
         )
         .orderBy("provider", "accounting")
     )
@@ -207,7 +207,7 @@ def substitutions(
         "model",
         "current_pico",
         """CASE WHEN to_subset AND NOT from_subset
-                THEN from_input + cache_read_input_tokens + from_creation
+                THEN coalesce(try_add(try_add(from_input, cache_read_input_tokens), from_creation), 9223372036854775807)
             WHEN NOT to_subset AND from_subset
                 THEN greatest(from_input - cache_read_input_tokens, 0)
             ELSE from_input END AS input_tokens""",

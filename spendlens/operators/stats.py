@@ -23,8 +23,9 @@ IS_ERROR = "(error_kind IS NOT NULL OR coalesce(status, 0) >= 400)"
 
 # Prompt tokens the cache reads are compared with. A model without a price counts
 # as one whose cache reads are part of its input.
-CACHE_DENOMINATOR = """coalesce(input_tokens, 0) + CASE WHEN coalesce(cache_in_input, true) THEN 0
-    ELSE coalesce(cache_read_input_tokens, 0) + coalesce(cache_creation_input_tokens, 0) END"""
+CACHE_DENOMINATOR = """CASE WHEN coalesce(cache_in_input, true) THEN coalesce(input_tokens, 0)
+    ELSE try_add(try_add(coalesce(input_tokens, 0), coalesce(cache_read_input_tokens, 0)),
+        coalesce(cache_creation_input_tokens, 0)) END"""
 
 
 def cache_pct(read: str, denominator: str) -> str:
@@ -79,7 +80,8 @@ def grouped_stats(
     and saves the histogram.
     """
     measures = _measures(price_calls(calls, prices), by)
-    sums = [f"sum({c}) AS {c}" for c in _SUMMED]
+    # A total beyond BIGINT is unknown.
+    sums = [f"try_sum({c}) AS {c}" for c in _SUMMED]
     counts = [
         "count(*) AS calls",
         "count_if(is_error) AS errors",

@@ -68,6 +68,31 @@ def test_cost_states(spark):
     assert [rows[str(i)].cost_source for i in range(5)] == ["provider", None, None, None, "computed"]
 
 
+def test_huge_counts_and_costs_leave_prices_unknown(spark):
+    from spendlens.operators.stats import grouped_stats
+
+    huge = {"model": "claude-sonnet-4-5"} | usage(9 * 10**18, 0, 9 * 10**18, 9 * 10**18)
+    calls = frames.calls(spark, [huge, huge, {"model": "gpt-4o", "cost": 1e7}, {"model": "gpt-4o", "cost": 0.5}])
+    got = {r.id: r.cost_pico for r in pricing.price_calls(calls, frames.prices(spark)).collect()}
+    assert got == {"0": None, "1": None, "2": None, "3": 500_000_000_000}
+    row = grouped_stats(calls, frames.prices(spark)).first()
+    assert (row.calls, row.unpriced_calls, row.input_tokens, row.cost_usd) == (4, 3, None, 0.5)
+
+
+def test_each_call_stays_one_row_whatever_the_tiers(spark):
+    tier = lambda above, rate: (above, rate, rate, 0, 0)
+    prices = spark.createDataFrame(
+        [("m", 1, 1, 0, 0, True, [tier(None, 7), tier(10, 2), tier(10, 3), tier(5, 9)])] * 2
+        + [("", 8, 8, 0, 0, True, None)],
+        "model_key string, input_per_m int, output_per_m int, cache_read_per_m int, cache_creation_per_m int,"
+        " cache_in_input boolean, tiers array<struct<above_input_tokens bigint, input_per_m int, output_per_m int,"
+        " cache_read_per_m int, cache_creation_per_m int>>",
+    )
+    calls = frames.calls(spark, [{"model": "m-x", "input_tokens": n} for n in (1, 5, 6, 10, 11)])
+    got = pricing.attach_rates(calls, prices).orderBy("id").collect()
+    assert [r.input_units for r in got] == [1_000_000, 1_000_000, 9_000_000, 9_000_000, 3_000_000]
+
+
 def brute_force(model, keys):
     hits = [k for k in keys if model.startswith(k)]
     return max(hits, key=len) if hits else None
@@ -76,7 +101,7 @@ def brute_force(model, keys):
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_longest_prefix_against_brute_force(spark, monkeypatch, broadcast):
     if not broadcast:
-        monkeypatch.setattr(pricing, "BROADCAST_KEYS", 0)
+        monkeypatch.setattr(pricing, "BROADCAST_BYTES", -1)
     draw = random.Random(7)
     alphabet = "ab-é"
     keys = sorted({"".join(draw.choices(alphabet, k=draw.randint(1, 9))) for _ in range(300)})
