@@ -73,15 +73,19 @@ _WAITING = T.StructType([MESSAGES[n] for n in ("outcome", "elapsed_ms", "data",
 
 def take_events(rest: bytes, chunk: bytes) -> tuple[list[bytes], bytes]:
     """Complete events of what was left over plus a new chunk, and what is left over now."""
-    *events, rest = _DELIMITER.split(rest + chunk)
+    # The old part holds no whole delimiter, so only its last three bytes can begin one.
+    old, seam = rest[:-3], rest[-3:]
+    first, *others = _DELIMITER.split(seam + chunk)
+    *events, rest = [old + first, *others]
     return events, rest
 
 
 class CallAssembler(StatefulProcessor):
     """Keyed by call. Messages may arrive out of order; a gap waits for the missing one.
 
-    A call without a terminal message ``timeout_ms`` of event time after its last
-    one is emitted with ``observation_dropped``.
+    A call without a terminal message ``timeout_ms`` after its last one came is emitted
+    with ``observation_dropped``, once later messages come. Times are those of arrival, so
+    no message is too late by its own time.
     """
 
     def __init__(self, timeout_ms: int, max_event_bytes: int = MAX_EVENT_BYTES) -> None:
@@ -98,7 +102,7 @@ class CallAssembler(StatefulProcessor):
         state = self._load()
         arrived, latest = {}, 0
         for row in rows:
-            latest = max(latest, row.ts_us)
+            latest = max(latest, row.arrived_us)
             if state["ts_us"] is None or row.ts_us < state["ts_us"]:
                 state["ts_us"] = row.ts_us
             for f in HEAD:
@@ -119,7 +123,7 @@ class CallAssembler(StatefulProcessor):
         for seq, message in arrived.items():
             self.waiting.updateValue((seq,), message)
             state["gap"] = True
-        self._restart_timer(state, latest)
+        self._restart_timer(state, latest // 1000)
         self.progress.update(tuple(state[f.name] for f in _PROGRESS))
 
     def _next(self, state: dict, arrived: dict) -> tuple | None:
@@ -182,10 +186,10 @@ class CallAssembler(StatefulProcessor):
         }
         return Row(**{f.name: values[f.name] for f in _EMITTED})
 
-    def _restart_timer(self, state: dict, latest) -> None:
+    def _restart_timer(self, state: dict, now_ms: int) -> None:
         if state["timer_ms"] is not None:
             self.handle.deleteTimer(state["timer_ms"])
-        state["timer_ms"] = latest // 1000 + self.timeout_ms
+        state["timer_ms"] = now_ms + self.timeout_ms
         self.handle.registerTimer(state["timer_ms"])
 
     def _forget(self, state: dict) -> None:
@@ -197,16 +201,21 @@ class CallAssembler(StatefulProcessor):
 
 def assemble(
     messages: DataFrame,
-    lateness: str = "10 minutes",
+    clock_skew: str = "1 minute",
     timeout_ms: int = 15 * 60 * 1000,
     max_event_bytes: int = MAX_EVENT_BYTES,
 ) -> DataFrame:
     """A stream of messages as a stream of exchanges, one per ended call.
 
+    The watermark follows the times of the batches, which rows of a batch cannot be behind;
+    ``clock_skew`` is how far the driver's clock may go back, as after a restart elsewhere.
+
     Needs the RocksDB state store: ``spark.sql.streaming.stateStore.providerClass``.
     """
     emitted = (
-        messages.withWatermark("ts", lateness)
+        messages.withColumn("arrived", F.current_timestamp())
+        .withWatermark("arrived", clock_skew)
+        .withColumn("arrived_us", F.unix_micros("arrived"))
         .withColumn("ts_us", F.unix_micros("ts"))
         .groupBy("call_id")
         .transformWithState(
