@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spendlens.operators import stats, tail
 from spendlens.operators.budget import budget_check
+from spendlens.operators.pricing import attach_rates
 from spendlens.plans import analytics, capture, fixtures
 from spendlens.plans.registry import query
 from spendlens.schemas import ADDED_COLUMNS, CALL_COLUMNS
@@ -134,12 +135,19 @@ def schema_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- price files -----------------------------------------------------------------------------
 
-# One price text per part: an upper-case key, and fields that some rows leave out.
+# One price text per part: an upper-case key, and fields that some rows leave out. Texts of sizes 3
+# to 8 are malformed: tiers without threshold or rate, no numbers, no JSON, no output rate.
+_MALFORMED = "(3, 4, 5, 6, 7, 8)"
 _PRICE_FILES = {
     "source": "CAST(p_partkey AS STRING)",
     "modified": """CASE WHEN p_size < 25 THEN TIMESTAMP '2024-01-01 13:00:00'
         ELSE TIMESTAMP '2024-01-20 11:30:00' END""",
-    "value": """CASE WHEN p_size = 7 THEN 'not json' WHEN p_size = 8 THEN '{"x":{"input_per_m":1}}'
+    "value": """CASE
+        WHEN p_size = 3 THEN '{"x":{"input_per_m":1,"output_per_m":2,"tiers":[{"input_per_m":1,"output_per_m":2}]}}'
+        WHEN p_size = 4 THEN '{"x":{"input_per_m":1,"output_per_m":2,"tiers":[{"above_input_tokens":5,"output_per_m":2}]}}'
+        WHEN p_size = 5 THEN '{"x":{"input_per_m":"NaN","output_per_m":2}}'
+        WHEN p_size = 6 THEN '{"x":{"input_per_m":1,"output_per_m":true}}'
+        WHEN p_size = 7 THEN 'not json' WHEN p_size = 8 THEN '{"x":{"input_per_m":1}}'
         ELSE '{"Model-' || CAST(p_partkey AS STRING) || '":{"input_per_m":' || CAST(p_size AS STRING)
         || ',"output_per_m":' || CAST(p_size * 4 AS STRING)
         || CASE WHEN p_size < 20 THEN ',"cache_read_per_m":0.25,"cache_in_input":true' ELSE '' END
@@ -171,9 +179,9 @@ _LOADED_SQL = f"""WITH files AS ({_PRICE_FILES_SQL})
       CAST(CASE WHEN p_size < 20 THEN 0.25 ELSE 0 END {_D} AS cache_read_per_m,
       CAST(0 {_D} AS cache_creation_per_m, p_size < 20 AS cache_in_input,
       CASE WHEN p_size < 10 THEN '200000/9.000000/18.000000/0.000000/0.000000' ELSE '' END AS tiers
-    FROM files WHERE p_size NOT IN (7, 8)
+    FROM files WHERE p_size NOT IN {_MALFORMED}
     UNION ALL SELECT 'other-' || source, CAST(0.5 {_D}, CAST(1.5 {_D}, CAST(0 {_D}, CAST(0 {_D},
-      FALSE, '' FROM files WHERE p_size NOT IN (7, 8)"""
+      FALSE, '' FROM files WHERE p_size NOT IN {_MALFORMED}"""
 
 
 @query("s4_load_prices", _LOADED_SQL)
@@ -223,10 +231,34 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(price_source.prices_from_catalogue(texts))
 
 
+_NUMBER = "CAST(p_partkey AS VARCHAR)"
+
+
+@query(
+    "p1_rate_lookup_by_catalogue",
+    f"""WITH keys AS (SELECT 'm-' || {_NUMBER} AS model_key FROM part
+      UNION ALL SELECT 'claude-' || {_NUMBER} FROM part)
+    SELECT p_partkey, max_by(model_key, length(model_key)) AS model_key
+    FROM part LEFT JOIN keys ON starts_with('m-' || {_NUMBER} || CAST(p_size AS VARCHAR), model_key)
+    GROUP BY p_partkey""",
+)
+def rate_lookup_by_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two keys for each part, with two beginnings; most names meet several nested keys."""
+    parts = fixtures.table(spark, sf_dir, "part")
+    texts = fixtures.derive(parts, {"value": _CATALOGUE_SQL_TEXT})
+    calls = parts.selectExpr(
+        "p_partkey", "'M-' || CAST(p_partkey AS STRING) || CAST(p_size AS STRING) AS model",
+        "CAST(1 AS BIGINT) AS input_tokens", "CAST(0 AS BIGINT) AS cache_read_input_tokens",
+        "CAST(0 AS BIGINT) AS cache_creation_input_tokens",
+    )
+    rated = attach_rates(calls, price_source.prices_from_catalogue(texts))
+    return rated.select("p_partkey", "model_key")
+
+
 @query(
     "s6_price_summary",
     f"""WITH files AS ({_PRICE_FILES_SQL}) SELECT source,
-      CASE WHEN p_size NOT IN (7, 8) THEN 2 END AS models,
+      CASE WHEN p_size NOT IN {_MALFORMED} THEN 2 END AS models,
       CAST(CASE WHEN p_size < 25 THEN 29 ELSE 11 END AS BIGINT) AS age_days FROM files""",
 )
 def price_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,7 +335,8 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
             2, 'chunk', second_ms + 1, encode(substring(body, b + 1), 'UTF-8'),
             3, outcome, elapsed_ms, CAST(NULL AS BINARY)) AS (seq, outcome, elapsed_ms, data)""",
     ).selectExpr(
-        "call_id", "TIMESTAMP '2024-02-01 00:00:00' AS ts", "seq", "outcome", "elapsed_ms", "data",
+        "call_id", # Days apart, and the last messages to come are the oldest by their own time.
+        "timestampadd(DAY, pmod(hash(call_id), 20) - 10 * seq, TIMESTAMP '2024-02-01 00:00:00') AS ts", "seq", "outcome", "elapsed_ms", "data",
         "CAST(NULL AS STRING) AS error_message", "provider", "path",
         "map('user-agent', 'agent/1') AS headers", "CAST(NULL AS STRING) AS request_body",
         "CAST(NULL AS STRING) AS request_url", "200 AS status", "content_type",

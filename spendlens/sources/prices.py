@@ -21,6 +21,16 @@ _RATES_JSON = (
 )
 
 
+# Without it, NaN and Infinity would be read as numbers.
+_STRICT = {"allowNonNumericNumbers": "false"}
+
+# A model needs both plain rates; a tier needs them and its threshold.
+_COMPLETE = """coalesce(forall(map_values(models),
+    r -> r.input_per_m IS NOT NULL AND r.output_per_m IS NOT NULL
+        AND forall(coalesce(r.tiers, array()), t -> coalesce(t.above_input_tokens >= 0, false)
+            AND t.input_per_m IS NOT NULL AND t.output_per_m IS NOT NULL)), false)"""
+
+
 def _rate(value: str) -> str:
     return f"CAST(coalesce({value}, 0) AS DECIMAL(18,6))"
 
@@ -30,16 +40,16 @@ def parse_price_documents(documents: DataFrame) -> DataFrame:
 
     Keys are lower-cased (ASCII). Absent cache rates are zero, an absent
     accounting flag is false, absent tiers are none. A text that is not JSON, or
-    in which a model lacks its input or output rate, yields no rows. Where two
-    spellings of a key meet, the alphabetically last spelling stays.
+    in which a model lacks its input or output rate, or a tier one of these or its
+    threshold, yields no rows. Where two spellings of a key meet, the alphabetically
+    last spelling stays.
     """
     tier = ", ".join(f"{_rate(f't.{c}')} AS {c}" for c in RATE_COLUMNS)
     rows = (
-        documents.select(F.from_json("value", f"map<string, struct<{_RATES_JSON}>>").alias("models"))
-        .where(
-            """forall(map_values(models),
-                r -> r.input_per_m IS NOT NULL AND r.output_per_m IS NOT NULL)"""
+        documents.select(
+            F.from_json("value", f"map<string, struct<{_RATES_JSON}>>", _STRICT).alias("models")
         )
+        .where(_COMPLETE)
         .select(F.explode("models").alias("spelling", "r"))
         .select(
             ascii_lower(F.col("spelling")).alias("model_key"),
@@ -109,7 +119,7 @@ def prices_from_catalogue(documents: DataFrame) -> DataFrame:
     listed = (
         documents.select(
             F.explode(
-                F.from_json("value", CATALOGUE, {"allowNonNumericNumbers": "false"})
+                F.from_json("value", CATALOGUE, _STRICT)
             ).alias("provider_id", "provider")
         )
         .select("provider_id", F.explode("provider.models").alias("model_id", "model"))
@@ -158,15 +168,11 @@ def price_summary(documents: DataFrame, now: datetime) -> DataFrame:
 
     ``documents`` has ``source``, ``modified`` and the text ``value``.
     """
-    models = F.from_json("value", f"map<string, struct<{_RATES_JSON}>>")
+    models = F.from_json("value", f"map<string, struct<{_RATES_JSON}>>", _STRICT)
     rows = documents.select("source", "modified", models.alias("models"))
     return rows.select(
         "source",
-        F.expr(
-            """CASE WHEN forall(map_values(models),
-                r -> r.input_per_m IS NOT NULL AND r.output_per_m IS NOT NULL)
-                THEN CAST(size(models) AS BIGINT) END AS models"""
-        ),
+        F.expr(f"CASE WHEN {_COMPLETE} THEN CAST(size(models) AS BIGINT) END AS models"),
         F.floor(
             (F.lit(now.timestamp()).cast("bigint") - F.unix_seconds(F.col("modified").cast("timestamp")))
             / F.lit(86_400)

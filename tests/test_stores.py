@@ -101,7 +101,14 @@ def _write(path, text):
 
 def test_prices_missing_or_malformed_are_none(spark, tmp_path):
     assert price_source.read_prices(spark, str(tmp_path / "nothing.json")).count() == 0
-    for i, text in enumerate(["{not json", "[]", '{"m": {"input_per_m": 1}}', ""]):
+    base = '{"m": {"input_per_m": 1, "output_per_m": %s, "tiers": [%s]}}'
+    malformed = [
+        "{not json", "[]", '{"m": {"input_per_m": 1}}', "", base % ("NaN", ""), base % ('"NaN"', ""),
+        base % (2, '{"input_per_m": 1, "output_per_m": 2}'),
+        base % (2, '{"above_input_tokens": 5, "output_per_m": 2}'),
+        base % (2, '{"above_input_tokens": 5, "input_per_m": 1}'),
+    ]
+    for i, text in enumerate(malformed):
         path = _write(tmp_path / f"{i}.json", text)
         assert price_source.read_prices(spark, path).count() == 0, text
 
@@ -174,11 +181,14 @@ def test_assembly(spark):
             _message(2, "client_disconnect", call="json", content="application/json"),
             _message(1, data=b"x\n\n" + usage, call="big"), _message(2, "finish", call="big"),
         ],
-        # Much later calls move the watermark past the open call's timer.
+        # Later batches find the open call's timer expired; a call much older by its own time is kept.
         [_message(0, "finish", call="other", second=3000)],
-        [_message(0, "finish", call="another", second=3100)],
+        [_message(0, data=usage, call="old", ts="2026-06-01 10:00:00")],
+        [_message(1, "finish", call="old", ts="2026-06-01 10:00:01")],
     ]
-    got = _assemble(spark, batches, timeout_ms=60_000, lateness="1 minute", max_event_bytes=200)
+    got = _assemble(spark, batches, timeout_ms=1, clock_skew="0 seconds", max_event_bytes=200)
+    assert got.keys() == {"late", "json", "open", "big", "other", "old"}
+    assert got["old"].input_tokens == 12
     late, whole, left, big = (got[k] for k in ("late", "json", "open", "big"))
     assert (late.model, late.input_tokens, late.ttft_ms, late.latency_ms) == ("mé", 12, 10, 30)
     assert (whole.model, whole.input_tokens, whole.error_kind) == ("é", 3, "client_disconnect")
