@@ -24,7 +24,6 @@ ERROR_RULES = [
     ("upstream_connect", ["connect", "refused", "unreachable", "no route", "dns"]),
 ]
 
-CLIENT_MAX_CHARS = 128
 KEY_MAX_CHARS = 48
 CLIENT_SHOWN_CHARS = 40
 
@@ -50,7 +49,7 @@ def endpoint_of(path: Column) -> Column:
     return F.substring_index(path, "?", 1)
 
 
-def client_of(headers: Column, client_header: str) -> Column:
+def client_of(headers: Column, client_header: str, max_chars: int | None = None) -> Column:
     """The declared client: the dedicated header when present, else the User-Agent.
 
     A header that is present but blank, or not plain ASCII text, gives NULL without
@@ -60,7 +59,8 @@ def client_of(headers: Column, client_header: str) -> Column:
         F.map_contains_key(headers, client_header), headers[client_header]
     ).otherwise(F.try_element_at(headers, F.lit("user-agent")))
     plain = F.when(declared.rlike(r"^[\t -~]*$"), F.btrim(declared, F.lit(" \t")))
-    return F.left(F.nullif(plain, F.lit("")), F.lit(CLIENT_MAX_CHARS))
+    named = F.nullif(plain, F.lit(""))
+    return named if max_chars is None else F.left(named, F.lit(max_chars))
 
 
 def error_kind_of(message: Column) -> Column:

@@ -10,6 +10,8 @@ dropped before any body is read, and of a body only the few fields of
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +31,28 @@ from spendlens.schemas import CALL_COLUMNS, USAGE_COLUMNS
 
 CLIENT_HEADER = "x-client-name"
 
-MAX_REQUEST_BYTES = 256 * 1024
-MAX_USAGE_BYTES = 64 * 1024
-MAX_MODEL_BYTES = 254
-MAX_RAW_OBJECTS = 8
+
+@dataclass(frozen=True)
+class Limits:
+    """What is not read because of its size; None, the default, reads everything."""
+
+    request_bytes: int | None = None  # requests whose declared length is larger name no model
+    usage_bytes: int | None = None  # usage objects of whole bodies
+    model_bytes: int | None = None  # models in whole bodies
+    raw_objects: int | None = None  # usage objects kept in ``raw_usage``, the first ones
+    event_bytes: int | None = None  # a stream with a larger event has no usage
+    client_chars: int | None = None  # client names are cut
+
+
+NO_LIMITS = Limits()
+
+# The limits of a live capture, which guard the memory of one process.
+LIVE_LIMITS = Limits(256 * 1024, 64 * 1024, 254, 8, sse.MAX_EVENT_BYTES, 128)
+
+
+def _within(size: str, limit: int | None) -> str:
+    return "true" if limit is None else f"{size} <= {limit}"
+
 
 # The only fields read from a response; everything else is skipped while parsing.
 # A usage value stays text, to be stored as it is and parsed by itself.
@@ -67,12 +87,13 @@ def _may_be_object(text: str) -> str:
     return f"left({text}, 1) IN ('{{', ' ', '\\n', '\\r', '\\t')"
 
 
-def with_request_model(exchanges: DataFrame) -> DataFrame:
-    """Add the model named in the request, when its declared length is small enough to look."""
-    length = "try_element_at(headers, 'content-length')"
-    small = rf"""{length} RLIKE r'^\+?[0-9]+$'
-        AND try_cast({length} AS BIGINT) <= {MAX_REQUEST_BYTES}
-        AND {_may_be_object('request_body')}"""
+def with_request_model(exchanges: DataFrame, limits: Limits = NO_LIMITS) -> DataFrame:
+    """Add the model named in the request; under a limit, when its declared length keeps to it."""
+    small = _may_be_object("request_body")
+    if limits.request_bytes is not None:
+        length = "try_element_at(headers, 'content-length')"
+        small += rf""" AND {length} RLIKE r'^\+?[0-9]+$'
+            AND try_cast({length} AS BIGINT) <= {limits.request_bytes}"""
     sent = exchanges.withColumn(
         "_sent", F.expr(f"CASE WHEN {small} THEN from_json(request_body, 'model variant').model END")
     )
@@ -85,9 +106,7 @@ def with_request_model(exchanges: DataFrame) -> DataFrame:
     ).drop("_sent")
 
 
-def with_documents(
-    exchanges: DataFrame, max_event_bytes: int = sse.MAX_EVENT_BYTES
-) -> DataFrame:
+def with_documents(exchanges: DataFrame, limits: Limits = NO_LIMITS) -> DataFrame:
     """Add ``doc``, the parsed whole body, or ``docs``, the parsed usage-bearing events of a stream.
 
     Also ``is_sse`` and ``overflow``: whether a single event outgrew its limit.
@@ -99,12 +118,17 @@ def with_documents(
         f"CASE WHEN {is_json()} AND {_may_be_object('body')} THEN from_json(body, '{DOCUMENT}') END AS doc",
         f"CASE WHEN {is_stream()} THEN {sse.pieces_of('body')} END AS pieces",
     )
+    outgrown = (
+        "false"
+        if limits.event_bytes is None
+        else f"""octet_length(body) > {limits.event_bytes}
+            AND {sse.overflows('pieces', limits.event_bytes)}"""
+    )
     seen = "sse_overflow" if "sse_overflow" in exchanges.columns else "false"
     mentions = f"filter({sse.complete('pieces')}, p -> {sse.maybe_usage('p')})"
     return split.selectExpr(
         "*",
-        f"""coalesce({seen} OR octet_length(body) > {max_event_bytes}
-            AND {sse.overflows('pieces', max_event_bytes)}, false) AS overflow""",
+        f"coalesce({seen} OR {outgrown}, false) AS overflow",
         f"""transform(filter({sse.events_of(mentions)}, e -> {sse.carries_usage('e')}
             AND {_may_be_object('e.data')}), e -> named_struct('event_type', e.event_type, 'data', e.data,
                 'doc', from_json(e.data, '{DOCUMENT}'))) AS docs""",
@@ -126,11 +150,11 @@ def _object(doc: str, path: str, source: str) -> str:
         OR startswith({looked_up}, 'OBJECT')) THEN {text} END"""
 
 
-def body_object() -> str:
+def body_object(limits: Limits = NO_LIMITS) -> str:
     """The usage object of a whole body; larger ones than the limit are not read."""
 
     def fitting(path: str) -> str:
-        return f"""CASE WHEN octet_length(doc.{path}) <= {MAX_USAGE_BYTES}
+        return f"""CASE WHEN {_within(f'octet_length(doc.{path})', limits.usage_bytes)}
             THEN {_object('doc', path, 'body')} END"""
 
     return f"""CASE WHEN family = '{GEMINI}' THEN {fitting('usageMetadata')}
@@ -157,19 +181,20 @@ def event_texts() -> str:
     return f"filter(transform(docs, d -> coalesce({value})), r -> r IS NOT NULL)"
 
 
-def response_model() -> str:
+def response_model(limits: Limits = NO_LIMITS) -> str:
     """The first model a response names; in a whole body it must also fit its limit."""
     named = text_of("coalesce(d.doc.model, d.doc.message.model, d.doc.modelVersion)")
 
     def short(v: str) -> str:
-        return f"CASE WHEN octet_length({text_of(v)}) <= {MAX_MODEL_BYTES} THEN {text_of(v)} END"
+        fits = _within(f"octet_length({text_of(v)})", limits.model_bytes)
+        return f"CASE WHEN {fits} THEN {text_of(v)} END"
 
     return f"""CASE WHEN is_sse
         THEN try_element_at(filter(transform(docs, d -> {named}), m -> m IS NOT NULL), 1)
         ELSE coalesce({short('doc.model')}, {short('doc.modelVersion')}) END"""
 
 
-def with_usage(documents: DataFrame) -> DataFrame:
+def with_usage(documents: DataFrame, limits: Limits = NO_LIMITS) -> DataFrame:
     """Add the ``usage``, the ``raw_list`` of usage texts and ``seen_model``.
 
     A whole body has one usage object, read by plain expressions; those of a
@@ -178,9 +203,9 @@ def with_usage(documents: DataFrame) -> DataFrame:
     read = (
         documents.selectExpr(
             "*",
-            f"{body_object()} AS object",
+            f"{body_object(limits)} AS object",
             f"{event_objects()} AS objects",
-            f"{response_model()} AS seen_model",
+            f"{response_model(limits)} AS seen_model",
             f"{event_texts()} AS texts",
         )
         .drop("doc", "docs")
@@ -239,9 +264,9 @@ def with_outcome(usage: DataFrame) -> DataFrame:
     )
 
 
-def raw_usage() -> str:
+def raw_usage(limits: Limits = NO_LIMITS) -> str:
     """One usage text as it is, several as a JSON array."""
-    kept = f"slice(raw_list, 1, {MAX_RAW_OBJECTS})"
+    kept = "raw_list" if limits.raw_objects is None else f"slice(raw_list, 1, {limits.raw_objects})"
     return f"""CASE WHEN size(raw_list) = 1 THEN raw_list[0]
         WHEN size(raw_list) > 1 THEN '[' || array_join({kept}, ',') || ']' END"""
 
@@ -249,13 +274,13 @@ def raw_usage() -> str:
 def normalize(
     exchanges: DataFrame,
     client_header: str = CLIENT_HEADER,
-    max_event_bytes: int = sse.MAX_EVENT_BYTES,
+    limits: Limits = NO_LIMITS,
 ) -> DataFrame:
     """Rows of the calls table for the inference calls among ``exchanges``."""
     calls = exchanges.withColumn("endpoint", endpoint_of(F.col("path"))).where(
         is_inference(F.col("endpoint"))
     )
-    read = with_usage(with_documents(with_request_model(calls), max_event_bytes))
+    read = with_usage(with_documents(with_request_model(calls, limits), limits), limits)
     done = with_outcome(read)
     sound = "(anomaly IS NULL OR anomaly = 'no_usage')"
     columns = {
@@ -266,9 +291,9 @@ def normalize(
         "ttft_ms": """CASE WHEN is_sse THEN array_min(transform(
             filter(chunks, c -> c.bytes > 0), c -> c.elapsed_ms)) END""",
         "stream": "is_sse",
-        "raw_usage": f"CASE WHEN {sound} THEN {raw_usage()} END",
+        "raw_usage": f"CASE WHEN {sound} THEN {raw_usage(limits)} END",
     } | {c: f"CASE WHEN {sound} THEN usage.{c} END" for c in USAGE_COLUMNS}
-    return done.withColumn("client", client_of(F.col("headers"), client_header)).select(
+    return done.withColumn("client", client_of(F.col("headers"), client_header, limits.client_chars)).select(
         *[F.expr(columns.get(c, c)).alias(c) for c in CALL_COLUMNS]
     )
 

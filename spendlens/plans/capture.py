@@ -115,7 +115,7 @@ def provider_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def top_level_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = norm.with_documents(_whole(fixtures.exchanges(spark, sf_dir)))
     return docs.selectExpr(
-        "call_id", f"{norm.body_object()} IS NOT NULL AS has_usage"
+        "call_id", f"{norm.body_object(norm.LIVE_LIMITS)} IS NOT NULL AS has_usage"
     )
 
 
@@ -295,7 +295,7 @@ def merge_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("n15_raw_usage", expected_streams("call_id, raw_usage"))
 def raw_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = _stream_usage(spark, sf_dir)
-    return read.selectExpr("call_id", f"{norm.raw_usage()} AS raw_usage")
+    return read.selectExpr("call_id", f"{norm.raw_usage(norm.LIVE_LIMITS)} AS raw_usage")
 
 
 # --- whole records ---------------------------------------------------------------------------
@@ -350,7 +350,8 @@ def _record_query(key: str, columns: list[str]) -> None:
 
     @query(key, f"{RECORDS_SQL} SELECT {names} FROM records")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return norm.normalize(fixtures.captures(spark, sf_dir)).select("id", *columns)
+        records = norm.normalize(fixtures.captures(spark, sf_dir), limits=norm.LIVE_LIMITS)
+        return records.select("id", *columns)
 
 
 _record_query("n16_model_resolution", ["provider", "model"])
@@ -363,7 +364,7 @@ _record_query("n16_model_resolution", ["provider", "model"])
       AS request_model FROM captures""",
 )
 def request_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sent = norm.with_request_model(fixtures.captures(spark, sf_dir))
+    sent = norm.with_request_model(fixtures.captures(spark, sf_dir), norm.LIVE_LIMITS)
     return sent.select("call_id", "request_model")
 
 
@@ -377,7 +378,7 @@ def request_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def oversized_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     bare = _bare_captures(spark, sf_dir).where("provider = 'anthropic'")
-    read = norm.with_usage(norm.with_documents(_whole(bare)))
+    read = norm.with_usage(norm.with_documents(_whole(bare)), norm.LIVE_LIMITS)
     return read.selectExpr("call_id", "seen_model AS model", "usage.input_tokens")
 
 
@@ -410,7 +411,7 @@ def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("n21_client", f"WITH {CAPTURES} SELECT call_id, {_CLIENT_SQL} AS client FROM captures")
 def clients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    client = text.client_of(F.col("headers"), norm.CLIENT_HEADER).alias("client")
+    client = text.client_of(F.col("headers"), norm.CLIENT_HEADER, norm.LIVE_LIMITS.client_chars).alias("client")
     return fixtures.captures(spark, sf_dir).select("call_id", client)
 
 
@@ -451,7 +452,7 @@ _record_query("n24_outcome_errors", ["status", "error_kind", "error_message"])
 )
 def degraded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An event limit of 150 bytes, which some of the streams outgrow."""
-    records = norm.normalize(fixtures.streams(spark, sf_dir), max_event_bytes=150)
+    records = norm.normalize(fixtures.streams(spark, sf_dir), limits=norm.Limits(event_bytes=150))
     return records.select("id", "anomaly", "input_tokens", "raw_usage")
 
 
@@ -502,7 +503,8 @@ def backfill_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("s10_backfill_bodies", f"{RECORDS_SQL} SELECT id, {_RAW_COLUMNS} FROM records")
 def backfill_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    filled = norm.backfill(norm.normalize(fixtures.captures(spark, sf_dir)))
+    records = norm.normalize(fixtures.captures(spark, sf_dir), limits=norm.LIVE_LIMITS)
+    filled = norm.backfill(records)
     return filled.select("id", *[f"raw_{c}" for c in USAGE_COLUMNS])
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spendlens.operators import stats, tail
 from spendlens.operators.budget import budget_check
+from spendlens.operators.normalize import LIVE_LIMITS
 from spendlens.operators.pricing import attach_rates
 from spendlens.plans import analytics, capture, fixtures
 from spendlens.plans.registry import query
@@ -315,7 +316,7 @@ def budget_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_dir(spark, "normalize")
     exchanges = staged(fixtures.captures(spark, sf_dir), f"{folder}/in")
-    return drained(jobs.normalize_stream(exchanges), folder)
+    return drained(jobs.normalize_stream(exchanges, limits=LIVE_LIMITS), folder)
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from spendlens.functions.sse import MAX_EVENT_BYTES
 from spendlens.schemas import EXCHANGES
 
 CHUNK = "chunk"
@@ -88,7 +87,7 @@ class CallAssembler(StatefulProcessor):
     no message is too late by its own time.
     """
 
-    def __init__(self, timeout_ms: int, max_event_bytes: int = MAX_EVENT_BYTES) -> None:
+    def __init__(self, timeout_ms: int, max_event_bytes: int | None = None) -> None:
         self.timeout_ms = timeout_ms
         self.max_event_bytes = max_event_bytes
 
@@ -162,7 +161,8 @@ class CallAssembler(StatefulProcessor):
             self.kept.appendValue((data.decode("latin-1"),))
             return
         events, state["rest"] = take_events(bytes(state["rest"]), data)
-        if max(map(len, [*events, state["rest"]])) > self.max_event_bytes:
+        longest = max(map(len, [*events, state["rest"]]))
+        if self.max_event_bytes is not None and longest > self.max_event_bytes:
             state["overflow"], state["rest"] = True, b""
         for event in events:
             if any(mark in event for mark in _MARKS):
@@ -203,7 +203,7 @@ def assemble(
     messages: DataFrame,
     clock_skew: str = "1 minute",
     timeout_ms: int = 15 * 60 * 1000,
-    max_event_bytes: int = MAX_EVENT_BYTES,
+    max_event_bytes: int | None = None,
 ) -> DataFrame:
     """A stream of messages as a stream of exchanges, one per ended call.
 

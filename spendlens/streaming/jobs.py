@@ -8,14 +8,16 @@ from pyspark.sql.streaming import StreamingQuery
 
 from spendlens.functions.money import join_parts, micro_part, rest_part, usd
 from spendlens.operators.budget import verdict
-from spendlens.operators.normalize import CLIENT_HEADER, normalize
+from spendlens.operators.normalize import CLIENT_HEADER, NO_LIMITS, Limits, normalize
 from spendlens.operators.pricing import RateCard, price_calls
 from spendlens.sources.calls import append_calls
 
 
-def normalize_stream(exchanges: DataFrame, client_header: str = CLIENT_HEADER) -> DataFrame:
+def normalize_stream(
+    exchanges: DataFrame, client_header: str = CLIENT_HEADER, limits: Limits = NO_LIMITS
+) -> DataFrame:
     """A stream of exchanges as a stream of calls. There is no state in it."""
-    return normalize(exchanges, client_header)
+    return normalize(exchanges, client_header, limits)
 
 
 def drop_replays(calls: DataFrame) -> DataFrame:
