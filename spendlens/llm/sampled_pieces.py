@@ -36,9 +36,9 @@ from pyspark.sql.types import StructType
 from spendlens.llm.common import runs_of
 
 MARK = "▁"
-RUN_CHARS = 1_000_000
+RUN_CHARS = 250_000
 #: Edges of remembered units in a task; beyond, all are forgotten.
-MOST_EDGES = 3_000_000
+MOST_EDGES = 2_000_000
 POINTS = 0x110000
 
 
