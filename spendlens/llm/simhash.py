@@ -294,10 +294,14 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 
 def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that are the smallest key of their component, columns unchanged.
-
-    Where repeated rows share that key and fingerprint, all of them stay.
+    """One row of each component, columns unchanged: the one with the smallest key (a null key
+    after all others), then fingerprint, then row number. Neither null nor repeated keys keep more.
     """
-    ids = near_duplicates(docs, key=key, text=text)
-    stay = ids.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_stays")).distinct()
-    return docs.join(stay, F.col(key).eqNullSafe(F.col("_stays")), "left_semi")
+    store, _ = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "rows")
+    found = near_duplicates(store.select("row", F.col(f"doc.{text}").alias("text")), key="row", text="text")
+    value = F.col(f"doc.{key}")
+    keyed = store.select(F.col("row").alias("r"), value.isNull().alias("last"), value.alias("key"))
+    placed = found.join(keyed, F.col("row") == F.col("r"))
+    best = placed.groupBy("component_id").agg(F.min(F.struct("last", "key", "fingerprint", "row")).alias("best"))
+    stay = best.select(F.col("best.row").alias("_stays"))
+    return store.join(stay, F.col("row") == F.col("_stays"), "left_semi").select("doc.*")

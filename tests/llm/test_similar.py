@@ -7,7 +7,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from spendlens.llm import similar_sets
+from spendlens.llm import similar_sets, simhash
 
 DOCS = "doc_id long, text string"
 
@@ -60,3 +60,10 @@ def test_pipeline_drops_texts_of_similarity_08(spark):
     assert len(brute_kept(texts, 5, 0.8)) == 2
     kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(list(enumerate(texts)), DOCS), "")
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2]
+
+
+@pytest.mark.parametrize("one_of_each", [simhash.one_of_each, similar_sets.one_of_each])
+def test_one_row_of_each_component_whatever_the_keys(spark, one_of_each):
+    rows = [(None, "a b"), (None, "A b"), (None, "c d"), (3, "C d"), (7, "C  d"), (7, "e f"), (7, "E f"), (None, "g h")]
+    kept = one_of_each(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"].lower()) for r in kept) == [(0, "a b"), (0, "g h"), (3, "c d"), (7, "e f")]
