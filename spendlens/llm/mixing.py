@@ -3,18 +3,22 @@
 A source's weight is its share of all tokens to the power of an exponent, normalised. The
 exponent is bisected until the weights have the target entropy, or, where that would repeat
 some source too often, until the most repeated one just meets the limit. Both are monotone
-in the exponent. Each round of the bisection evaluates a grid (four halvings at once) by one
+in the exponent. The upper bound is doubled until the entropy falls below the target. It never
+does where the largest sources are equal and so many that they alone exceed it (equal shares, for one):
+then the exponent is 1, with a warning. Each round of the bisection evaluates a grid (four halvings at once) by one
 aggregation over the table of sources, which never leaves Spark.
 
 A source's budget is its weight times the token budget. It is realised by permutations of
 the source, one for each epoch: whole epochs first, then the rows of the next permutation in
 order, as long as their tokens fit. A permutation is an order by hash, cut into blocks;
-only the block in which the budget ends is summed row by row.
+only the block in which the budget ends is summed row by row. Each copy comes with its epoch, block
+and place: a source is emitted in the order of epoch and place.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -27,7 +31,8 @@ from spendlens.llm.common import written
 BLOCK_BITS = 16
 GRID = 16
 ROUNDS = 11
-MOST_EXPONENT = 4.0
+#: Doublings of the upper bound of the exponent; beyond it shares differ by rounding only.
+DOUBLINGS = 60
 
 
 @dataclass(frozen=True)
@@ -54,25 +59,27 @@ def words(text: Column) -> Column:
 def exponent(sizes: DataFrame, target: Target) -> float:
     """Of ``sizes`` (tokens by source, in column ``tokens``)."""
     sizes = sizes.where("tokens > 0")
-    total, n, least = sizes.agg(F.sum("tokens"), F.count("*"), F.min("tokens")).first()
+    total, n, least, most = sizes.agg(F.sum("tokens"), F.count("*"), F.min("tokens"), F.max("tokens")).first()
     if not n or n == 1:
         return 1.0
+    ties = sizes.where(F.col("tokens") == most).count()
     budget = float(target.budget if target.budget is not None else total)
-    share = F.col("tokens") / F.lit(float(total))
-    smallest = least / total
+    # Relative to the largest source, so that no exponent makes all of them zero.
+    share = F.log(F.col("tokens") / F.lit(float(most)))
 
-    def measures(points: list[float]) -> list[tuple[float, float]]:
-        sums = [x for p in points for x in (F.sum(F.pow(share, p)), F.sum(F.pow(share, p) * F.log(share)))]
+    def measures(points: list[float]) -> list[tuple[float, float, float]]:
+        """Entropy and how often the smallest and the largest source are seen."""
+        sums = [x for p in points for x in (F.sum(F.exp(share * p)), F.sum(F.exp(share * p) * share))]
         row = sizes.agg(*[s.alias(str(i)) for i, s in enumerate(sums)]).first()
         out = []
         for i, p in enumerate(points):
             z, s = row[2 * i], row[2 * i + 1]
-            out.append((math.log(z) - p * s / z, smallest**p / z * budget / least))
+            out.append((math.log(z) - p * s / z, (least / most) ** p / z * budget / least, budget / z / most))
         return out
 
     wanted = target.entropy * math.log(n)
 
-    def bisect(low: float, high: float, flat: Callable[[tuple[float, float]], bool]) -> float:
+    def bisect(low: float, high: float, flat: Callable[[tuple[float, float, float]], bool]) -> float:
         """The smallest exponent that is not too flat."""
         for _ in range(ROUNDS):
             points = [low + (high - low) * i / GRID for i in range(1, GRID)]
@@ -82,7 +89,25 @@ def exponent(sizes: DataFrame, target: Target) -> float:
             low, high = max(below, default=low), min(above, default=high)
         return high
 
-    by_entropy = bisect(0.0, MOST_EXPONENT, lambda m: m[0] > wanted)
+    def above(entropy: float) -> bool:
+        return entropy > wanted
+
+    high = None
+    if math.log(ties) < wanted:
+        for start in range(0, DOUBLINGS, GRID):
+            points = [2.0**i for i in range(start, start + GRID)]
+            high = next((p for p, m in zip(points, measures(points)) if not above(m[0])), None)
+            if high:
+                break
+    if high is None:
+        warnings.warn(f"no exponent brings the entropy down to {target.entropy}: {ties} sources are equally large", stacklevel=2)
+        by_entropy = 1.0
+    else:
+        by_entropy = bisect(0.0, high, lambda m: above(m[0]))
+    if by_entropy > 1.0 and budget / total >= target.repeats:
+        by_entropy = 1.0
+    if by_entropy > 1.0 and measures([by_entropy])[0][2] > target.repeats:
+        by_entropy = bisect(1.0, by_entropy, lambda m: m[2] <= target.repeats)
     by_repeats = 1.0 if budget / total >= target.repeats else bisect(0.0, 1.0, lambda m: m[1] > target.repeats)
     if measures([0.0])[0][1] <= target.repeats:
         by_repeats = 0.0
@@ -92,9 +117,9 @@ def exponent(sizes: DataFrame, target: Target) -> float:
 def weights(sizes: DataFrame, target: Target) -> DataFrame:
     """``sizes`` with ``weight``, ``quota`` (tokens), ``epochs`` (whole ones) and ``rest`` (tokens)."""
     power = exponent(sizes, target)
-    total = sizes.agg(F.sum("tokens")).first()[0] or 0
-    budget = float(target.budget if target.budget is not None else total)
-    share = F.col("tokens") / F.lit(float(total or 1))
+    total, most = sizes.agg(F.sum("tokens"), F.max("tokens")).first()
+    budget = float(target.budget if target.budget is not None else total or 0)
+    share = F.col("tokens") / F.lit(float(most or 1))
     raw = sizes.withColumn("raw", F.when(F.col("tokens") > 0, F.pow(share, power)).otherwise(0.0))
     norm = raw.agg(F.sum("raw")).first()[0] or 1.0
     return (
@@ -111,9 +136,9 @@ def _place(key: Column, epoch: Column, seed: int) -> Column:
 
 
 def plan(docs: DataFrame, target: Target, *, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0) -> DataFrame:
-    """``docs`` as struct ``doc`` with ``n_tokens``, ``weight`` (of its source) and ``copies``.
+    """``docs`` as struct ``doc`` with ``n_tokens``, ``weight`` (of its source), ``copies`` and ``places``.
 
-    All rows come back, those with no copy too. A null source is a source of its own; null
+    ``places`` holds ``epoch`` (from 0), ``block`` and ``place`` of each copy. All rows come back, those with no copy too. A null source is a source of its own; null
     and empty texts have no tokens. A source without any token is emitted once. Rows with
     equal key and text (repeated rows) share a place in a permutation and are taken or left
     together. An empty table gives an empty table.
@@ -128,7 +153,14 @@ def plan(docs: DataFrame, target: Target, *, key: str = "doc_id", text: str = "t
     named = cuts.withColumnRenamed("source", "s")
     joined = rows.join(named, F.col(f"doc.{source}").eqNullSafe(F.col("s")))
     more = F.coalesce(_place(F.col("key"), F.col("epochs"), seed) <= F.col("cut"), F.lit(False))
-    return joined.select("doc", "n_tokens", "weight", "quota", "epochs", (F.col("epochs") + more.cast("long")).alias("copies"))
+    copies = F.col("epochs") + more.cast("long")
+    epochs = F.when(copies > 0, F.sequence(F.lit(0).cast("long"), copies - 1)).otherwise(F.array().cast("array<bigint>"))
+
+    def placed(epoch: Column) -> Column:
+        place = _place(F.col("key"), epoch, seed)
+        return F.struct(epoch.alias("epoch"), F.shiftright(place, 64 - BLOCK_BITS).alias("block"), place.alias("place"))
+
+    return joined.select("doc", "n_tokens", "weight", "quota", "epochs", copies.alias("copies"), F.transform(epochs, placed).alias("places"))
 
 
 def _cuts(slim: DataFrame, quotas: DataFrame, seed: int) -> DataFrame:
@@ -159,5 +191,10 @@ def _cuts(slim: DataFrame, quotas: DataFrame, seed: int) -> DataFrame:
 
 def mix(docs: DataFrame, target: Target, *, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0) -> DataFrame:
     """The rows of ``docs`` as often as the mixture has them, columns unchanged."""
-    planned = plan(docs, target, key=key, text=text, source=source, seed=seed).where("copies > 0")
-    return planned.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
+    return emitted(docs, target, key=key, text=text, source=source, seed=seed).select("doc.*")
+
+
+def emitted(docs: DataFrame, target: Target, *, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0) -> DataFrame:
+    """A row for each copy: struct ``doc`` with ``epoch``, ``block`` and ``place``; a source's order is by epoch and place."""
+    planned = plan(docs, target, key=key, text=text, source=source, seed=seed)
+    return planned.select("doc", F.explode("places").alias("at")).select("doc", "at.*")

@@ -177,7 +177,7 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.plan(table(spark, sf_dir, "documents"), mixing.Target(entropy=0.95, repeats=4.0))
-    return rows.select("doc.doc_id", "doc.source", "n_tokens", F.round("weight", 6).alias("weight"), "copies")
+    return rows.select("doc.doc_id", "doc.source", "n_tokens", F.round("weight", 6).alias("weight"), "copies", "places")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
