@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendlens.llm import language_id, mixing, sampled_pieces, similar_sets, stream_dedup
+from spendlens.llm import language_id, mixing, sampled_pieces, simhash, stream_dedup
 from spendlens.llm.common import written
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -26,8 +26,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows connected by a similarity of 0.8 or more in five-word shingles the one with the smallest doc_id stays."""
-    return similar_sets.one_of_each(docs, size=5, similarity=0.8)
+    """Of rows whose fingerprints are connected by at most 2 differing bits the one with the smallest doc_id stays."""
+    return simhash.one_of_each(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
