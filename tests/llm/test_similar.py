@@ -1,69 +1,23 @@
-"""Near-duplicates by set similarity against brute force."""
+"""One row of each group of near-duplicates."""
 
 from __future__ import annotations
 
-import random
-
-import pytest
-
 import corpus_pipeline
-from spendlens.llm import similar_sets, simhash
+from spendlens.llm import simhash
 
 DOCS = "doc_id long, text string"
 
 
-def word_sets(text, size):
-    words = (text or "").lower().encode().split()
-    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} or {tuple(words)}
-
-
-def brute_kept(texts, size, similarity):
-    sets, root = [word_sets(t, size) for t in texts], list(range(len(texts)))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i, a in enumerate(sets):
-        for j in range(i):
-            if len(a & sets[j]) >= similarity * len(a | sets[j]):
-                x, y = find(i), find(j)
-                root[max(x, y)] = min(x, y)
-    return {i for i in range(len(texts)) if find(i) == i}
-
-
-@pytest.mark.parametrize("common", [3, 10**9])
-def test_all_similar_texts_are_linked(spark, monkeypatch, common):
-    rng = random.Random(11)
-    monkeypatch.setattr(similar_sets, "COMMON_ROWS", common)
-    monkeypatch.setattr(similar_sets, "SAMPLE", 2)
-    license_line = " ".join(f"l{i}" for i in range(40))
-    texts = [None, "", " \n", "a b", "A  b", "a b c d e", "a b c d e f"]
-    for _ in range(12):
-        words = [rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randrange(40)) for _ in range(rng.randint(8, 90))]
-        for _ in range(rng.randint(1, 9)):
-            copy = list(words)
-            for _ in range(rng.randint(0, 4)):
-                copy[rng.randrange(len(copy))] = "x" + str(rng.randrange(1000))
-            texts.append(" ".join(copy) + (" " + license_line if rng.random() < 0.4 else ""))
-    rng.shuffle(texts)
-    docs = spark.createDataFrame(list(enumerate(texts)), DOCS).repartition(3)
-    got = {r["doc_id"] for r in similar_sets.one_of_each(docs).collect()}
-    assert got == brute_kept(texts, 5, 0.8)
-    assert similar_sets.one_of_each(docs.limit(0)).count() == 0
-
-
-def test_pipeline_drops_texts_of_similarity_08(spark):
-    words = [f"w{i}" for i in range(120)]
-    texts = [" ".join(words[:at] + ["odd"] + words[at + 1 :]) for at in (30, 60)] + ["quite another text with words of its own"]
-    assert len(brute_kept(texts, 5, 0.8)) == 2
+def test_pipeline_links_by_fingerprints(spark):
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(words), " ".join(words[:-1]), "quite another text with words of its own"]
+    a, b = (simhash.fingerprint(t) for t in texts[:2])
+    assert (a ^ b).bit_count() <= 2
     kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(list(enumerate(texts)), DOCS), "")
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2]
 
 
-@pytest.mark.parametrize("one_of_each", [simhash.one_of_each, similar_sets.one_of_each])
-def test_one_row_of_each_component_whatever_the_keys(spark, one_of_each):
+def test_one_row_of_each_component_whatever_the_keys(spark):
     rows = [(None, "a b"), (None, "A b"), (None, "c d"), (3, "C d"), (7, "C  d"), (7, "e f"), (7, "E f"), (None, "g h")]
-    kept = one_of_each(spark.createDataFrame(rows, DOCS)).collect()
+    kept = simhash.one_of_each(spark.createDataFrame(rows, DOCS)).collect()
     assert sorted((r["doc_id"] or 0, r["text"].lower()) for r in kept) == [(0, "a b"), (0, "g h"), (3, "c d"), (7, "e f")]
