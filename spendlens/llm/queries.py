@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from spendlens.llm import (
     ann_forest,
     chat_format,
+    compression_bands,
     language_id,
+    lexical,
     line_dedup,
     mixing,
     sampled_pieces,
@@ -191,6 +193,37 @@ def op10_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("query_id").cast("long"), F.col("rank").cast("int"), F.col("vec_id").cast("long"), "score")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.build(table(spark, sf_dir, "documents"))
+    return lexical.search(index, table(spark, sf_dir, "benchmark"), k=10)
+
+
+OP11_SQL = r"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM c GROUP BY ALL),
+s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM n),
+m AS (SELECT doc_id, 25 + ((75 * n * docs) // words) AS m FROM n, s),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+      FROM c, s GROUP BY term, docs),
+q AS (SELECT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+g AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+      FROM q JOIN w USING (term) JOIN c USING (term) JOIN m USING (doc_id) GROUP BY ALL),
+r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank
+      FROM g WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
+def op12_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = compression_bands.with_quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "quality.*")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_language_id": op1_language_id,
@@ -203,8 +236,10 @@ def queries() -> dict[str, Query]:
         "op8_mixing": op8_mixing,
         "op9_simhash": op9_simhash,
         "op10_ann_forest": op10_ann_forest,
+        "op11_lexical_search": op11_lexical_search,
+        "op12_compression_bands": op12_compression_bands,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_stream_dedup": OP7_SQL}
+    return {"op4_chat_format": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_stream_dedup": OP7_SQL, "op11_lexical_search": OP11_SQL}
