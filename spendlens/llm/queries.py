@@ -11,6 +11,7 @@ from spendlens.llm import (
     ann_forest,
     chat_format,
     compression_bands,
+    hard_negatives,
     language_id,
     lexical,
     line_dedup,
@@ -224,6 +225,35 @@ def op12_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "quality.*")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "embeddings").withColumn(
+        "label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    )
+    return hard_negatives.mine(items, F.col("id") % 50 == 0)
+
+
+OP13_SQL = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), FALSE))) = len(embedding)),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label = e.label AS same, e.vec_id AS other,
+    list_dot_product(a.q, e.q)::BIGINT AS score
+  FROM e AS a JOIN e ON a.vec_id % 50 = 0 AND a.vec_id <> e.vec_id AND len(a.q) = len(e.q)),
+p AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id,
+  row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)::INTEGER AS rank,
+  other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_language_id": op1_language_id,
@@ -238,8 +268,16 @@ def queries() -> dict[str, Query]:
         "op10_ann_forest": op10_ann_forest,
         "op11_lexical_search": op11_lexical_search,
         "op12_compression_bands": op12_compression_bands,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_stream_dedup": OP7_SQL, "op11_lexical_search": OP11_SQL}
+    return {
+        "op4_chat_format": OP4_SQL,
+        "op5_line_dedup": OP5_SQL,
+        "op6_substring_dedup": OP6_SQL,
+        "op7_stream_dedup": OP7_SQL,
+        "op11_lexical_search": OP11_SQL,
+        "op13_hard_negatives": OP13_SQL,
+    }
