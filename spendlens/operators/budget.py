@@ -29,6 +29,17 @@ def parse_budget(spec: str) -> tuple[float, str]:
     return budget, period
 
 
+def period_hours(period: str) -> int:
+    """The length of a rolling period (``36h``, ``7d``, ``day``, ``week``) in hours of elapsed time."""
+    named = {"day": 24, "week": 168}
+    if period in named:
+        return named[period]
+    count, unit = period[:-1], period[-1:]
+    if unit not in ("h", "d") or not count.isdigit() or int(count) < 1:
+        raise ValueError(f"a rolling period is given in hours or days, not {period!r}")
+    return int(count) * (24 if unit == "d" else 1)
+
+
 def spend(calls: DataFrame, prices: DataFrame | RateCard) -> DataFrame:
     """One row: known spend in USD, and the number of calls whose cost is unknown."""
     return price_calls(calls, prices).agg(

@@ -2,21 +2,21 @@
 
 A model takes the rates of the longest price key that is a prefix of its name
 (an exact match is the longest possible one), and of the highest context tier
-its prompt exceeds. The longest prefix is found by binary search over the lengths
-that keys have (Waldvogel et al., 1997): a step looks up the name's beginning of one
-length in a hash table of markers; if it is there, longer beginnings are tried next,
-else shorter ones. A marker knows the longest key that is a prefix of it. So a call
-meets at most one row per step, by equality, whatever keys have in common, and pricing
-is a handful of hash joins in one pass over the facts: nothing about the calls is
-collected, de-duplicated or shuffled for it, and it works on a stream. Only the
-price table travels. Its size is checked: up to ``BROADCAST_BYTES`` it is broadcast,
-beyond that Spark chooses the joins from its own estimates.
+its prompt exceeds. Calls name few models, so the search is done once for each name
+and not for each call: the distinct names (one pruned column, partially aggregated)
+meet the keys by equality, a probe for each length that keys have, and become a
+dictionary from a name to its rates, a row per tier. The calls then meet the dictionary in one
+hash join and are neither shuffled nor de-duplicated for it. The dictionary is measured:
+up to ``MOST_MODELS`` rows and ``BROADCAST_BYTES`` it is broadcast, beyond that Spark
+chooses the join from its own sizes. On a stream, price each micro-batch: its own names
+make its dictionary.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,42 +25,12 @@ from spendlens.functions.text import ascii_lower
 from spendlens.schemas import RATE_COLUMNS
 
 BROADCAST_BYTES = 64 * 1024 * 1024
+MOST_MODELS = 200_000
 
 _MAX_TOKENS = 2**63 - 1
 UNIT_COLUMNS = ["input_units", "output_units", "cache_read_units", "cache_creation_units"]
 
 
-def _probes(lengths: list[int], at: int) -> list[int]:
-    """The lengths of the markers that lead the search to the key length at index ``at``."""
-    low, high, found = 0, len(lengths), []
-    while low < high:
-        middle = (low + high) // 2
-        if middle <= at:
-            found.append(lengths[middle])
-        if middle == at:
-            break
-        low, high = (middle + 1, high) if middle < at else (low, middle)
-    return found
-
-
-def markers(keys: DataFrame, lengths: list[int]) -> DataFrame:
-    """``marker`` and ``owner``, the longest key that is a prefix of it, if any.
-
-    ``keys`` has distinct ``model_key`` of the ascending ``lengths``. Prefixes of one text sort by
-    length, so the greatest of them is the longest.
-    """
-    every = f"array({', '.join(map(str, lengths))})"
-    paths = ", ".join(f"array({', '.join(map(str, _probes(lengths, i)))})" for i in range(len(lengths)))
-    path = f"element_at(array({paths}), CAST(array_position({every}, length(model_key)) AS INT))"
-    marked = keys.selectExpr(f"explode(transform({path}, n -> left(model_key, n))) AS marker").distinct()
-    prefixes = marked.selectExpr(
-        "marker",
-        f"explode(transform(filter({every}, n -> n <= length(marker)), n -> left(marker, n))) AS model_key",
-    )
-    owned = prefixes.join(keys, "model_key").groupBy("marker").agg(F.max("model_key").alias("owner"))
-    return marked.join(owned, "marker", "left")
-
-
 def _units(row: str) -> str:
     units = ", ".join(
         f"'{u}', CAST({row}{r} * 1000000 AS BIGINT)" for r, u in zip(RATE_COLUMNS, UNIT_COLUMNS)
@@ -69,55 +39,89 @@ def _units(row: str) -> str:
 
 
 def rates_by_key(prices: DataFrame) -> DataFrame:
-    """One row per key: its accounting, the ascending context sizes its bands start above, their rates.
+    """One row per key and band: the context sizes it holds for, and its rates.
 
-    Rates become pico-USD per token. The first band starts above -1; a tier without a threshold is none.
+    Rates become pico-USD per token. A band is for contexts above ``above`` and up to ``upto``; the
+    first starts above -1, the last has no end. A tier without a threshold is none.
     """
     tiers = "filter(coalesce(tiers, array()), t -> t.above_input_tokens >= 0)"
     tier = f"named_struct('above', t.above_input_tokens, 'units', {_units('t.')})"
-    return prices.selectExpr(
+    banded = prices.selectExpr(
         "model_key",
         "coalesce(cache_in_input, false) AS cache_in_input",
         f"""concat(array(named_struct('above', CAST(-1 AS BIGINT), 'units', {_units('')})),
             array_sort(transform({tiers}, t -> {tier}))) AS bands""",
-    ).selectExpr("model_key", "cache_in_input", "bands.above AS above", "bands.units AS units")
+    )
+    return banded.selectExpr("*", "posexplode(bands) AS (nth, band)").selectExpr(
+        "model_key",
+        "cache_in_input",
+        "band.above AS above",
+        "get(bands, nth + 1).above AS upto",
+        *[f"band.units.{u} AS {u}" for u in UNIT_COLUMNS],
+    )
+
+
+@dataclass(frozen=True)
+class Held:
+    """A table, and its rows in memory where it is small."""
+
+    frame: DataFrame
+    rows: pa.Table | None
+
+    @classmethod
+    def of(cls, table: DataFrame) -> Held:
+        rows = table.limit(MOST_MODELS + 1).toArrow()
+        if rows.num_rows > MOST_MODELS or rows.nbytes > BROADCAST_BYTES:
+            return cls(table, None)
+        return cls(table.sparkSession.createDataFrame(rows, table.schema), rows)
+
+    def sized(self, frame: DataFrame) -> DataFrame:
+        """``frame``, made of this table, to be broadcast where the table is small."""
+        return frame if self.rows is None else F.broadcast(frame)
+
+    def distinct(self, column: str) -> list:
+        """The values of a column that has few of them, ascending."""
+        if self.rows is not None:
+            return sorted(set(self.rows[column].to_pylist()) - {None})
+        found = self.frame.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column)
+        return [r[0] for r in found.collect()]
 
 
 @dataclass(frozen=True)
 class RateCard:
-    """A price table ready to be joined: the key lengths there are, markers, and rates by key."""
+    """A price table ready to be looked up: the key lengths there are, and rates by key and band."""
 
     lengths: list[int]
-    markers: DataFrame
-    rates: DataFrame
-
-    def unpersist(self) -> None:
-        self.markers.unpersist()
-        self.rates.unpersist()
+    rates: Held
 
 
 def rate_card(prices: DataFrame | RateCard) -> RateCard:
-    """Lay a price table out for joining, after measuring it.
+    """Lay a price table out for look-ups, after measuring it.
 
-    Build it once to price several frames, or every batch of a stream: a table small
-    enough to be broadcast is kept in memory. Empty keys are ignored; of rows
-    with equal keys one stays.
+    Build it once to price several frames, or every batch of a stream: a small table is then
+    not read again. Empty keys are ignored; of rows with equal keys one stays.
     """
     if isinstance(prices, RateCard):
         return prices
     keyed = prices.where("length(model_key) > 0").dropDuplicates(["model_key"])
-    lengths, key_bytes, bands = keyed.selectExpr(
-        "sort_array(collect_set(length(model_key)))",
-        "coalesce(sum(octet_length(model_key) + 64), 0)",
-        "coalesce(sum(1 + greatest(coalesce(size(tiers), 0), 0)), 0)",
-    ).first()
-    size = key_bytes * (len(lengths).bit_length() + 1) + bands * 64
+    rates = Held.of(rates_by_key(keyed).withColumn("key_length", F.length("model_key")))
+    return RateCard(rates.distinct("key_length"), Held(rates.frame.drop("key_length"), rates.rows))
+
 
-    def sized(table: DataFrame) -> DataFrame:
-        return F.broadcast(table.persist()) if size <= BROADCAST_BYTES else table
+def model_rates(models: DataFrame, card: RateCard) -> Held:
+    """The dictionary: rates by ``model``, a row per band.
 
-    marked = markers(keyed.select("model_key"), lengths or [1])
-    return RateCard(lengths, sized(marked), sized(rates_by_key(keyed)))
+    ``models`` has one column, the distinct names. Names that no key is a prefix of are left out.
+    Prefixes of one text sort by length, so the greatest of them is the longest.
+    """
+    lengths = f"array({', '.join(map(str, card.lengths or [0]))})"
+    probes = models.where("model IS NOT NULL").withColumn("name", ascii_lower(F.col("model"))).selectExpr(
+        "model",
+        f"explode(transform(filter({lengths}, n -> n <= length(name)), n -> left(name, n))) AS model_key",
+    )
+    keys = card.rates.frame.where("above = -1").select("model_key")
+    owned = probes.join(card.rates.sized(keys), "model_key").groupBy("model").agg(F.max("model_key").alias("model_key"))
+    return Held.of(owned.join(card.rates.sized(card.rates.frame), "model_key"))
 
 
 def counted(column: str) -> str:
@@ -145,47 +149,21 @@ TOKENS_PICO = f"""try_add(try_add(
     try_multiply({_CREATION}, cache_creation_units), try_multiply({_OUTPUT}, output_units)))"""
 
 
-def _with_owner(names: DataFrame, card: RateCard) -> DataFrame:
-    """Add ``_owner``, the longest key that is a prefix of ``_name``; other columns stay."""
-    lengths = f"array({', '.join(map(str, card.lengths))})"
-    middle = "CAST((_low + _high) div 2 AS INT)"
-    kept = [f"`{c}`" for c in names.columns]
-    rows = names.selectExpr("*", "CAST(NULL AS STRING) AS _owner", "0 AS _low", f"{len(card.lengths)} AS _high")
-    for step in range(len(card.lengths).bit_length()):
-        length = f"CASE WHEN _low < _high THEN {lengths}[{middle}] END"
-        probe = f"CASE WHEN length(_name) >= {length} THEN left(_name, {length}) END"
-        marker, owner = f"_marker_{step}", f"_owner_{step}"
-        joined = rows.withColumn("_probe", F.expr(probe)).join(
-            card.markers.toDF(marker, owner), F.expr(f"_probe = {marker}"), "left"
-        )
-        rows = joined.selectExpr(
-            *kept,
-            f"CASE WHEN {marker} IS NULL THEN _owner ELSE {owner} END AS _owner",
-            f"CASE WHEN {marker} IS NULL THEN _low ELSE {middle} + 1 END AS _low",
-            f"CASE WHEN {marker} IS NULL THEN {middle} ELSE _high END AS _high",
-        )
-    return rows.drop("_low", "_high")
-
-
 def attach_rates(calls: DataFrame, prices: DataFrame | RateCard) -> DataFrame:
     """Add ``model_key``, ``cache_in_input`` and the effective rates per token to each call.
 
     All added columns are NULL for a call whose model no price key matches. Each call gives one row.
+    The names of the models are read at once, the calls when the result is.
     """
-    card = rate_card(prices)
-    owned = _with_owner(calls.withColumn("_name", ascii_lower(F.col("model"))), card)
-    rates = card.rates.toDF(*[f"_rate_{c}" for c in card.rates.columns])
-    joined = owned.join(rates, F.expr("_owner = _rate_model_key"), "left")
+    rates = model_rates(calls.select("model").distinct(), rate_card(prices))
+    named = rates.sized(rates.frame.toDF(*[f"_rate_{c}" for c in rates.frame.columns]))
     context = CONTEXT_TOKENS.replace("cache_in_input", "_rate_cache_in_input", 1)
-    # How many bands start below the context: where it comes to stand among their starts.
-    band = f"""CASE WHEN size(_rate_above) > 1
-        THEN CAST(array_position(sort_array(array_append(_rate_above, {context})), {context}) AS INT) - 2
-        ELSE 0 END"""
-    return joined.withColumn("_band", F.expr(f"get(_rate_units, {band})")).selectExpr(
+    match = "model = _rate_model"
+    if rates.rows is None or rates.distinct("upto"):
+        match += f" AND {context} > _rate_above AND {context} <= coalesce(_rate_upto, {_MAX_TOKENS})"
+    return calls.join(named, F.expr(match), "left").selectExpr(
         *[f"`{c}`" for c in calls.columns],
-        "_rate_model_key AS model_key",
-        "_rate_cache_in_input AS cache_in_input",
-        *[f"_band.{c} AS {c}" for c in UNIT_COLUMNS],
+        *[f"_rate_{c} AS {c}" for c in ("model_key", "cache_in_input", *UNIT_COLUMNS)],
     )
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.functions.money import pico_total, reported_pico, usd
+from spendlens.functions.money import join_parts, micro_part, pico_total, reported_pico, rest_part, usd
 from spendlens.operators.gaps import idle_gaps
 from spendlens.operators.pricing import (
     TOKENS_PICO,
@@ -15,13 +15,19 @@ from spendlens.operators.pricing import (
     RateCard,
     attach_rates,
     counted,
+    model_rates,
     price_calls,
     rate_card,
 )
 
 SOURCE = "coalesce(client, peer_exe, 'unknown')"
-BROADCAST_CANDIDATES = 50_000
+#: Tokens of a call above which its price at other rates may be too large to be known.
+OUTSIZE = 2**30
+BLOCK_SLICES = 1_024
 
+_MOST = 2**63 - 1
+_INPUT = counted("input_tokens")
+_OUTPUT = counted("output_tokens")
 _READ = counted("cache_read_input_tokens")
 _CREATION = counted("cache_creation_input_tokens")
 
@@ -31,6 +37,11 @@ def _known_total(pico: Column) -> Column:
     return F.when(F.count(pico) > 0, usd(pico_total(pico)))
 
 
+def _total(column: str) -> str:
+    """SQL of a sum that is zero over nothing, and unknown beyond BIGINT."""
+    return f"CASE WHEN count({column}) = 0 THEN 0 ELSE try_sum({column}) END"
+
+
 def spend_by_source_and_model(calls: DataFrame) -> DataFrame:
     """Paid cost and tokens per source and model; reported costs only, largest first."""
     return (
@@ -39,10 +50,11 @@ def spend_by_source_and_model(calls: DataFrame) -> DataFrame:
         .agg(
             F.count("*").alias("n"),
             _known_total(reported_pico(F.col("cost"))).alias("spent"),
-            F.sum("input_tokens").alias("inp"),
-            F.sum("cache_read_input_tokens").alias("hit"),
-            F.sum("output_tokens").alias("out"),
-            F.sum("reasoning_output_tokens").alias("think"),
+            # A total beyond BIGINT is unknown.
+            F.try_sum("input_tokens").alias("inp"),
+            F.try_sum("cache_read_input_tokens").alias("hit"),
+            F.try_sum("output_tokens").alias("out"),
+            F.try_sum("reasoning_output_tokens").alias("think"),
         )
         .orderBy(F.desc_nulls_last("spent"), "src", "model")
     )
@@ -135,7 +147,7 @@ def avoidable_misses(calls: DataFrame, prices: DataFrame | RateCard) -> DataFram
         .agg(
             F.count("*").alias("calls"),
             F.expr("count(*) - count(miss_pico) AS unpriced_calls"),
-            F.expr("coalesce(sum(uncached), 0) AS uncached_tokens"),
+            F.expr(f"{_total('uncached')} AS uncached_tokens"),
             usd(pico_total(F.col("miss_pico"))).alias("avoidable_usd"),
             F.min("gap_s").alias("min_gap_s"),
         )
@@ -149,9 +161,9 @@ def uncached_reasoners(calls: DataFrame, min_share: float = 0.5) -> DataFrame:
         calls.groupBy("model")
         .agg(
             F.count("*").alias("calls"),
-            F.expr("coalesce(sum(cache_read_input_tokens), 0) AS cache_read_tokens"),
-            F.sum("output_tokens").alias("output_tokens"),
-            F.sum("reasoning_output_tokens").alias("reasoning_tokens"),
+            F.expr(f"{_total('cache_read_input_tokens')} AS cache_read_tokens"),
+            F.try_sum("output_tokens").alias("output_tokens"),
+            F.try_sum("reasoning_output_tokens").alias("reasoning_tokens"),
         )
         .withColumn(
             "reasoning_share",
@@ -165,89 +177,120 @@ def uncached_reasoners(calls: DataFrame, min_share: float = 0.5) -> DataFrame:
     )
 
 
+# A call's tokens as each way of counting the cache sees them (subset: reads are part of the input).
+_RESTATED = {
+    "subset_input": f"""CASE WHEN cache_in_input THEN {_INPUT}
+        ELSE coalesce(try_add(try_add({_INPUT}, {_READ}), {_CREATION}), {_MOST}) END""",
+    "subset_creation": f"CASE WHEN cache_in_input THEN {_CREATION} ELSE 0 END",
+    "apart_input": f"CASE WHEN cache_in_input THEN greatest({_INPUT} - {_READ}, 0) ELSE {_INPUT} END",
+    "creation": _CREATION,
+    "cache_read": _READ,
+    "output": _OUTPUT,
+}
+_COUNTS = ["subset_uncached", "subset_creation", "apart_input", "creation", "cache_read", "output"]
+
+
 def substitutions(
     calls: DataFrame, prices: DataFrame | RateCard, candidates: DataFrame, days: float
 ) -> DataFrame:
     """Estimated saving per 30 days of moving each source's model to a candidate.
 
     ``candidates`` has rows (model_key, candidate, task_class): models of the
-    same class of work, keyed by price key. Every call is priced at the
-    candidate's rates on its own, since tiers depend on the call; its tokens are
-    restated in the candidate's way of counting the cache. Calls without a price
-    on either side are only counted. ``days`` is the time the calls span.
+    same class of work, keyed by price key. A call's price at a candidate's rates is linear in its
+    tokens, restated in the candidate's way of counting the cache, within the
+    tier its context falls in. So the calls are summed first, per source, key and band of
+    contexts between any two tiers of the candidates, for both ways of counting; each
+    candidate then meets the sums. Calls without a price on either side are only counted; a
+    call with a count above ``OUTSIZE`` keeps a group of its own, since its price may be too
+    large to be known. ``days`` is the time the calls span.
     """
     card = rate_card(prices)
-    few = candidates.limit(BROADCAST_CANDIDATES + 1).count() <= BROADCAST_CANDIDATES
-
-    def sized(table: DataFrame) -> DataFrame:
-        return F.broadcast(table) if few else table
-
-    current = attach_rates(calls, card).selectExpr(
-        f"{SOURCE} AS src",
-        "model_key AS from_key",
-        "cache_in_input AS from_subset",
-        f"{TOKENS_PICO} AS current_pico",
-        f"{counted('input_tokens')} AS from_input",
-        f"{_READ} AS cache_read_input_tokens",
-        f"{_CREATION} AS from_creation",
-        "output_tokens",
+    offers = candidates.select(F.col("model_key").alias("from_key"), "candidate", "task_class")
+    rates = model_rates(offers.select(F.col("candidate").alias("model")).distinct(), card)
+    tiers = [t for t in rates.distinct("above") if t >= 0]
+
+    def band(context: str) -> str:
+        """SQL of the largest context with the same tiers as ``context``."""
+        starts = " ".join(f"WHEN {context} <= {t} THEN {t}" for t in tiers)
+        return f"CAST(CASE {starts} ELSE {_MOST} END AS BIGINT)" if tiers else f"CAST({_MOST} AS BIGINT)"
+
+    counted_calls = (
+        attach_rates(calls, card)
+        .where("model_key IS NOT NULL")
+        .selectExpr(
+            f"{SOURCE} AS src", "model_key AS from_key", f"{TOKENS_PICO} AS current_pico",
+            *[f"{e} AS {c}" for c, e in _RESTATED.items()],
+        )
+        .selectExpr(
+            "*",
+            "greatest(subset_input - cache_read, 0) AS subset_uncached",
+            f"coalesce(try_add(try_add(apart_input, cache_read), creation), {_MOST}) AS apart_context",
+        )
+    )
+    outsize = " OR ".join(f"{c} > {OUTSIZE}" for c in ("subset_input", *_COUNTS))
+    keyed = counted_calls.selectExpr(
+        "src", "from_key", "current_pico", *_COUNTS,
+        f"{band('subset_input')} AS subset_band", f"{band('apart_context')} AS apart_band",
+        f"CASE WHEN {outsize} THEN struct({', '.join(_COUNTS)}, current_pico) END AS alone",
     )
-    offered = current.join(
-        sized(candidates.withColumnRenamed("model_key", "from_key")), "from_key"
-    ).withColumn("model", F.col("candidate"))
-    # The candidate's accounting decides the context, so its flag is looked up
-    # before the tokens are restated and the tier is chosen.
-    offered = offered.join(
-        sized(_accounting(candidates, card)), ["candidate"], "left"
-    ).selectExpr(
-        "src",
-        "from_key",
-        "candidate",
-        "task_class",
-        "model",
-        "current_pico",
-        """CASE WHEN to_subset AND NOT from_subset
-                THEN coalesce(try_add(try_add(from_input, cache_read_input_tokens), from_creation), 9223372036854775807)
-            WHEN NOT to_subset AND from_subset
-                THEN greatest(from_input - cache_read_input_tokens, 0)
-            ELSE from_input END AS input_tokens""",
-        "cache_read_input_tokens",
-        """CASE WHEN to_subset AND NOT from_subset THEN 0
-            ELSE from_creation END AS cache_creation_input_tokens""",
-        "output_tokens",
+    sums = keyed.groupBy("src", "from_key", "subset_band", "apart_band", "alone").agg(
+        F.count("*").alias("calls"),
+        F.count("current_pico").alias("current_calls"),
+        F.sum(micro_part(F.col("current_pico"))).alias("micro"),
+        F.sum(rest_part(F.col("current_pico"))).alias("rest"),
+        # Calls that keep a group of their own have one value, which is not summed.
+        *[F.expr(f"sum(CASE WHEN alone IS NULL THEN {c} END) AS {c}") for c in _COUNTS],
     )
-    moved = attach_rates(offered, card).withColumn("candidate_pico", F.expr(TOKENS_PICO))
-    both = "current_pico IS NOT NULL AND candidate_pico IS NOT NULL"
-    saving = F.expr(f"CASE WHEN {both} THEN current_pico - candidate_pico END")
+    named = rates.sized(rates.frame.toDF(*[f"to_{c}" for c in rates.frame.columns]))
+    tier = """candidate = to_model
+        AND CASE WHEN to_cache_in_input THEN subset_band ELSE apart_band END > to_above
+        AND (to_upto IS NULL OR CASE WHEN to_cache_in_input THEN subset_band ELSE apart_band END <= to_upto)"""
+    offered = sums.join(offers, "from_key").join(named, F.expr(tier), "left")
+
+    def parts(prefix: str) -> list[tuple[str, str]]:
+        return [
+            (f"CASE WHEN to_cache_in_input THEN {prefix}subset_uncached ELSE {prefix}apart_input END", "to_input_units"),
+            (f"{prefix}cache_read", "to_cache_read_units"),
+            (f"CASE WHEN to_cache_in_input THEN {prefix}subset_creation ELSE {prefix}creation END", "to_cache_creation_units"),
+            (f"{prefix}output", "to_output_units"),
+        ]
+
+    wide = "CAST({} AS DECIMAL(19,0))".format
+    together = " + ".join(f"{wide(tokens)} * {wide(units)}" for tokens, units in parts(""))
+    one, *others = [f"try_multiply({tokens}, {units})" for tokens, units in parts("alone.")]
+    for other in others:
+        one = f"try_add({one}, {other})"
+    priced = offered.withColumn(
+        "to_pico",
+        F.expr(
+            f"""CASE WHEN alone IS NULL THEN CAST({together} AS DECIMAL(38,0))
+                ELSE CAST({one} AS DECIMAL(38,0)) * CAST(calls AS DECIMAL(19,0)) END"""
+        ),
+    ).withColumn("both", F.expr("to_pico IS NOT NULL AND current_calls = calls"))
+    current = join_parts(F.sum(F.when(F.col("both"), F.col("micro"))), F.sum(F.when(F.col("both"), F.col("rest"))))
+    moved = F.coalesce(F.sum(F.when(F.col("both"), F.col("to_pico"))), F.lit(0)).cast("decimal(38,0)")
     return (
-        moved.groupBy("src", F.col("from_key").alias("model_key"), "candidate", "task_class")
+        priced.groupBy("src", F.col("from_key").alias("model_key"), "candidate", "task_class")
         .agg(
-            F.count("*").alias("calls"),
-            F.expr(f"count(*) - count_if({both}) AS unpriced_calls"),
-            usd(pico_total(F.expr(f"CASE WHEN {both} THEN current_pico END"))).alias("current_usd"),
-            usd(pico_total(F.expr(f"CASE WHEN {both} THEN candidate_pico END"))).alias(
-                "candidate_usd"
-            ),
-            (usd(pico_total(saving)) * F.lit(30.0) / F.lit(float(days))).alias("saving_30d_usd"),
+            F.sum("calls").alias("calls"),
+            F.expr("sum(CASE WHEN both THEN 0 ELSE calls END) AS unpriced_calls"),
+            usd(current).alias("current_usd"),
+            usd(moved).alias("candidate_usd"),
+            (usd(current - moved) * F.lit(30.0) / F.lit(float(days))).alias("saving_30d_usd"),
         )
         .orderBy(F.desc("saving_30d_usd"), "src", "model_key", "candidate")
     )
 
 
-def _accounting(candidates: DataFrame, card: RateCard) -> DataFrame:
-    names = candidates.select("candidate").distinct().withColumn("model", F.col("candidate"))
-    for column in ("input_tokens", "cache_read_input_tokens", "cache_creation_input_tokens"):
-        names = names.withColumn(column, F.lit(0).cast("bigint"))
-    return attach_rates(names, card).select("candidate", F.col("cache_in_input").alias("to_subset"))
-
-
 def evaluation_bursts(calls: DataFrame, idle_seconds: int = 300, min_models: int = 3) -> DataFrame:
     """Sessions of one client that call several models equally often: one-off evaluations.
 
     A session ends where the client is idle for more than ``idle_seconds``.
     Calls are first counted per client, model and slice of time no longer than
-    that, and no session ends inside a slice, so what is ordered per client is
-    one row per slice, however many calls a client makes.
+    that, and no session ends inside a slice. Sessions are then found in two levels: within
+    blocks of ``BLOCK_SLICES`` slices, and over the edges of the blocks (times of the first
+    and last call, last start of a session), one row per client and block. So a
+    client that makes most of the calls is spread over its blocks.
     """
     slices = (
         calls.selectExpr(
@@ -259,24 +302,43 @@ def evaluation_bursts(calls: DataFrame, idle_seconds: int = 300, min_models: int
         )
         .groupBy("src", "slice", "model")
         .agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+        .withColumn("block", F.expr(f"floor(slice / {BLOCK_SLICES})"))
     )
-    # A session is named by its first slice.
-    sessions = (
-        slices.selectExpr(
-            "*",
-            "min(first_ts) OVER (PARTITION BY src, slice) AS slice_first",
-            """max(last_ts) OVER (PARTITION BY src ORDER BY slice
-                RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before""",
+
+    limit = idle_seconds * 1_000_000
+    within = "PARTITION BY src, block ORDER BY slice RANGE BETWEEN UNBOUNDED PRECEDING AND"
+    spaced = slices.selectExpr(
+        "*",
+        "min(first_ts) OVER (PARTITION BY src, block, slice) AS slice_first",
+        f"max(last_ts) OVER ({within} 1 PRECEDING) AS before",
+    ).withColumn(
+        "start", F.expr(f"CASE WHEN timestampdiff(MICROSECOND, before, slice_first) > {limit} THEN slice END")
+    )
+    # A session is named by its first slice. A block opens with the session that reaches into it, or a new one.
+    edges = (
+        spaced.groupBy("src", "block")
+        .agg(
+            F.min("slice").alias("first_slice"),
+            F.min("first_ts").alias("first_ts"),
+            F.max("last_ts").alias("last_ts"),
+            F.max("start").alias("last_start"),
         )
-        .withColumn("idle", F.expr("timestampdiff(MICROSECOND, before, slice_first)"))
+        .withColumn("before", F.expr("lag(last_ts) OVER (PARTITION BY src ORDER BY block)"))
         .withColumn(
-            "session",
+            "opens",
             F.expr(
-                f"""max(CASE WHEN idle <= {idle_seconds * 1_000_000} THEN NULL ELSE slice END)
-                OVER (PARTITION BY src ORDER BY slice
-                RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+                f"CASE WHEN timestampdiff(MICROSECOND, before, first_ts) <= {limit} THEN NULL ELSE first_slice END"
             ),
         )
+        .selectExpr(
+            "src",
+            "block",
+            """coalesce(opens, max(coalesce(last_start, opens)) OVER (PARTITION BY src ORDER BY block
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS opening""",
+        )
+    )
+    sessions = spaced.join(edges, ["src", "block"]).withColumn(
+        "session", F.expr(f"coalesce(max(start) OVER ({within} CURRENT ROW), opening)")
     )
     return (
         sessions.groupBy("src", "session", "model")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlens.operators import stats, tail
-from spendlens.operators.budget import budget_check
+from spendlens.operators.budget import budget_check, parse_budget, period_hours
 from spendlens.operators.normalize import LIVE_LIMITS
 from spendlens.operators.pricing import attach_rates
 from spendlens.plans import analytics, capture, fixtures
@@ -19,7 +19,7 @@ from spendlens.schemas import ADDED_COLUMNS, CALL_COLUMNS
 from spendlens.sources import prices as price_source
 from spendlens.sources.calls import append_calls, new_calls, read_calls, union_calls
 from spendlens.sources.output import TIME_FORMATS, json_lines
-from spendlens.streaming import assembly, jobs
+from spendlens.streaming import assembly, jobs, spend_log
 from spendlens.streaming.workdir import work_dir
 
 _MID = "2024-01-16 00:00:00"
@@ -397,30 +397,19 @@ _RUNNING_SQL = f"""SELECT strftime(ts, '%Y-%m-%d') AS day, provider, count(*) AS
     {analytics.usd_sql('coalesce(sum(cost_pico), 0)')} AS spent FROM priced GROUP BY 1, 2"""
 
 
-def _running(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last state of the running spend, written by every batch over the one before."""
+def _kept(spark: SparkSession, sf_dir: str, period: str) -> DataFrame:
+    """The state of the spend log after a stream of several batches."""
     folder = work_dir(spark, "spend")
-    with state_settings(spark):
-        calls = fixtures.calls(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-        running = jobs.running_spend(staged(calls, f"{folder}/in"), analytics.card(spark))
-
-        def publish(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{folder}/state")
-
-        (
-            running.writeStream.outputMode("complete")
-            .foreachBatch(publish)
-            .option("checkpointLocation", f"{folder}/checkpoint")
-            .trigger(availableNow=True)
-            .start()
-            .awaitTermination()
-        )
-    return spark.read.schema(running.schema).parquet(f"{folder}/state")
+    calls = fixtures.calls(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = staged(calls, f"{folder}/in")
+    spend_log.keep_spend(stream, analytics.card(spark), f"{folder}/log", f"{folder}/checkpoint", period).awaitTermination()
+    return spend_log.read_spend(spark, f"{folder}/log")
 
 
 @query("h4_running_spend", analytics.with_priced(_RUNNING_SQL))
 def running_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _running(spark, sf_dir)
+    spend = _kept(spark, sf_dir, "day").withColumn("day", F.date_format("period", "yyyy-MM-dd"))
+    return spend.select("day", "provider", "calls", "unpriced_calls", "spent")
 
 
 @query(
@@ -433,4 +422,28 @@ def running_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def budget_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.budget_by_day(_running(spark, sf_dir), 5.0)
+    return spend_log.budget_by_day(_kept(spark, sf_dir, "day"), 5.0)
+
+
+@query(
+    "h4_rolling_budget",
+    analytics.with_priced(
+        f"""SELECT hour, provider, calls, unpriced_calls, spent, 3.0e0 AS budget,
+          spent / 3.0e0 * 100.0e0 AS pct, spent >= 3.0e0 AS over, 3.0e0 - spent AS remaining,
+          CASE WHEN spent >= 3.0e0 THEN 'over' WHEN unpriced_calls > 0 THEN 'unknown' ELSE 'ok' END
+            AS status
+        FROM (SELECT hour, provider, CAST(sum(n) OVER span AS BIGINT) AS calls,
+            CAST(sum(no_price) OVER span AS BIGINT) AS unpriced_calls,
+            {analytics.usd_sql('sum(total) OVER span')} AS spent
+          FROM (SELECT date_trunc('hour', ts) AS hour, provider, count(*) AS n,
+              count(*) - count(cost_pico) AS no_price, coalesce(sum(cost_pico), 0) AS total
+            FROM priced GROUP BY 1, 2)
+          WINDOW span AS (PARTITION BY provider ORDER BY hour
+            RANGE BETWEEN INTERVAL 167 HOURS PRECEDING AND CURRENT ROW))"""
+    ),
+)
+def rolling_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A budget of seven days, judged at every hour of the stream."""
+    amount, period = parse_budget("3/7d")
+    rolling = spend_log.rolling_budget(_kept(spark, sf_dir, "hour"), amount, period_hours(period))
+    return rolling.withColumn("hour", F.col("hour").cast("timestamp_ntz"))

@@ -1,15 +1,11 @@
-"""Streaming jobs: normalisation, replay-safe storing and running spend."""
+"""Streaming jobs: normalisation and replay-safe storing."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from spendlens.functions.money import join_parts, micro_part, rest_part, usd
-from spendlens.operators.budget import verdict
 from spendlens.operators.normalize import CLIENT_HEADER, NO_LIMITS, Limits, normalize
-from spendlens.operators.pricing import RateCard, price_calls
 from spendlens.sources.calls import append_calls
 
 
@@ -58,38 +54,3 @@ def store_calls(
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
-
-
-def running_spend(calls: DataFrame, prices: DataFrame | RateCard) -> DataFrame:
-    """Known spend and calls of unknown cost per UTC day and provider, kept up to date.
-
-    State is one row per day and provider. For a stream pass a ``RateCard``, so
-    that the price table is laid out once.
-    """
-    priced = price_calls(calls, prices).select(
-        "ts",
-        "provider",
-        micro_part(F.col("cost_pico")).alias("micro"),
-        rest_part(F.col("cost_pico")).alias("rest"),
-    )
-    return (
-        priced.groupBy(F.window("ts", "1 day").alias("day"), "provider")
-        .agg(
-            F.count("*").alias("calls"),
-            F.expr("count(*) - count(micro) AS unpriced_calls"),
-            F.sum("micro").alias("micro"),
-            F.sum("rest").alias("rest"),
-        )
-        .select(
-            F.date_format("day.start", "yyyy-MM-dd").alias("day"),
-            "provider",
-            "calls",
-            "unpriced_calls",
-            usd(join_parts(F.col("micro"), F.col("rest"))).alias("spent"),
-        )
-    )
-
-
-def budget_by_day(spend: DataFrame, budget: float) -> DataFrame:
-    """The verdict of each day and provider of ``running_spend`` on a daily budget."""
-    return verdict(spend, budget)
