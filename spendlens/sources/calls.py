@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from spendlens.operators.quality import decode_lenient, decode_strict
 from spendlens.schemas import CALL_COLUMNS, CALLS, STORED
+from spendlens.sources.id_index import stored_ids
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -71,20 +72,21 @@ def append_calls(
 
     ``order`` is a number that grows with the arrival of the calls.
 
-    The ids of the whole table are compared. With ``same_dates`` only those of the
-    dates the batch spans are read, which is enough where a replay keeps its time.
+    The ids of the whole table are compared, by an index beside it of which only the
+    buckets that the batch's ids fall in are read. With ``same_dates`` the ids of the dates the
+    batch spans are read instead, which is enough where a replay keeps its time.
     Rows are rebalanced by date, which keeps the number of files per date low and
     still splits a date that holds most of the batch.
     """
     spark = batch.sparkSession
-    if path_exists(spark, path):
-        stored = read_calls(spark, path)
-        if same_dates:
-            days = batch.agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
-            stored = stored.where(F.col("dt").between(*map(F.lit, days)))
+    if not path_exists(spark, path):
+        fresh = first_per_id(batch, order)
+    elif same_dates:
+        days = batch.agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
+        stored = read_calls(spark, path).where(F.col("dt").between(*map(F.lit, days)))
         fresh = new_calls(batch, stored, order)
     else:
-        fresh = first_per_id(batch, order)
+        fresh = new_calls(batch, stored_ids(batch, path), order)
     dated = fresh.select(
         *[F.col(c).cast(CALLS[c].dataType) for c in CALL_COLUMNS if c in fresh.columns],
         F.col(order).cast("bigint").alias("ingest_seq"),

@@ -73,27 +73,28 @@ def _compact(spark: SparkSession, path: str, batch_id: int) -> None:
             old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
 
+def fold(batch: DataFrame, batch_id: int, prices: DataFrame | RateCard, path: str, period: str = "day") -> None:
+    """Add the calls of one batch to the log. Doing it again changes nothing."""
+    spark = batch.sparkSession
+    _compact(spark, path, batch_id)
+    before, _ = _state(spark, path, before=batch_id)
+    known = before.toDF(*[f"old_{c}" for c in before.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"old_{c}")) for c in KEYS]
+    changed = totals(batch, prices, period).join(known, same[0] & same[1], "left").select(
+        *KEYS,
+        *[(F.col(c) + F.coalesce(f"old_{c}", F.lit(0))).alias(c) for c in SUMS],
+        F.lit(batch_id).cast("bigint").alias("batch"),
+    )
+    changed.write.mode("overwrite").parquet(f"{path}/batch-{batch_id}")
+
+
 def keep_spend(
     calls: DataFrame, prices: DataFrame | RateCard, path: str, checkpoint: str, period: str = "day", **trigger
 ) -> StreamingQuery:
     """Keep the spend of a stream of calls by ``period`` and provider in the log at ``path``."""
     card = rate_card(prices)
-
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        _compact(spark, path, batch_id)
-        before, _ = _state(spark, path, before=batch_id)
-        known = before.toDF(*[f"old_{c}" for c in before.columns])
-        same = [F.col(c).eqNullSafe(F.col(f"old_{c}")) for c in KEYS]
-        changed = totals(batch, card, period).join(known, same[0] & same[1], "left").select(
-            *KEYS,
-            *[(F.col(c) + F.coalesce(f"old_{c}", F.lit(0))).alias(c) for c in SUMS],
-            F.lit(batch_id).cast("bigint").alias("batch"),
-        )
-        changed.write.mode("overwrite").parquet(f"{path}/batch-{batch_id}")
-
     return (
-        calls.writeStream.foreachBatch(fold)
+        calls.writeStream.foreachBatch(lambda batch, batch_id: fold(batch, batch_id, card, path, period))
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
