@@ -3,30 +3,37 @@
 Lines become ids: the rank of their 128-bit hash among lines that occur more than once (a line
 that occurs once ends every repeated run). Suffixes of documents, as sequences of line ids,
 are ranked by distributed prefix doubling: with ranks by the first ``w`` lines known, the pair of
-ranks at ``i`` and ``i + w`` ranks by the first ``2 w``. Sorted by rank the suffixes are the
-suffix array to that depth; suffixes of equal rank are an interval whose longest common prefix
-is at least the depth. Suffixes alone in their interval leave the table, so it shrinks
-from round to round.
-
-A repeated run of lines has at least ``min_lines``. Doubling stops at that depth: each stretch of
-``min_lines`` of a longer run is itself repeated, and with its first copy earlier, so the
-intervals of that depth already tell every line of every maximal run. The first copy (by
-key, then row, then line) stays; the lines of later copies go. Depths that are no power of two
-combine two overlapping ranks.
+ranks at ``i`` and ``i + s`` (``s`` up to ``w``) ranks by the first ``w + s``. Sorted by rank the
+suffixes are the suffix array to that depth; suffixes of equal rank are an interval whose
+longest common prefix is at least the depth. Suffixes alone in their interval leave the table,
+and doubling goes on until none is left, so each suffix is known with the deepest interval that
+has an earlier suffix than it.
+
+A window of lines that has an earlier copy (by key, then row, then line) goes when it has at least
+``min_lines`` lines, or more than ``min_words`` words, or is a whole document. Depth grows by
+one line up to ``min_lines``, so that windows are told at every length where words decide, and
+doubles from there. What goes is joined to maximal runs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import maybe_among, written
+from spendlens.llm.common import maybe_among, remove, written
 
 MIN_LINES = 3
+MIN_WORDS = 50
+#: Intervals with more than this share of all suffixes are met by broadcast; there are at most so many.
+HOT = 4_096
+#: Ranks are summed in slices of so many (as a power of two), then over the slices.
+SLICE = 16
 
 
 def line_ranks(lines: DataFrame) -> DataFrame:
-    """``uid``, ``i``, ``key`` and ``r`` of lines that occur more than once.
+    """The lines that occur more than once, with ``r`` for their hash.
 
     ``r`` orders lines by hash. Lines are counted before they are ranked, and ranked in
     two steps: sums over slices of the hashes, then within a slice.
@@ -49,33 +56,74 @@ def line_ranks(lines: DataFrame) -> DataFrame:
     ranks = classes.withColumn("own", upto(within)).join(slices, "slice").select("h1", "h2", (F.col("base") + F.col("own")).alias("r"))
     ranks, _ = written(ranks, "line-ranks")
     likely = maybe_among(lines, F.col("h1"), ranks, F.col("h1"), out="likely").where("likely")
-    return likely.join(ranks, ["h1", "h2"]).select("uid", "i", "key", "r")
+    return likely.join(ranks, ["h1", "h2"]).select("uid", "i", "key", "n_lines", "own", F.col("own").alias("words"), "r")
 
 
 def deeper(ranked: DataFrame, step: int) -> DataFrame:
-    """Ranks by ``step`` more lines than before, of suffixes that still share theirs."""
+    """Ranks by ``step`` more lines than before, of suffixes that still share theirs.
+
+    A rank counts the suffixes before its interval; below one old rank they are summed in slices of the
+    second rank, then over the slices, so a line that many others follow is not one task.
+    """
     at = Window.partitionBy("uid").orderBy("i").rangeBetween(step, step)
-    pairs = ranked.withColumn("r2", F.first("r").over(at)).where("r2 is not null")
-    classes = pairs.groupBy("r", "r2").agg(F.count("*").alias("n")).where("n > 1")
-    smaller = Window.partitionBy("r").orderBy("r2").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = classes.select("r", "r2", (F.col("r") + F.coalesce(F.sum("n").over(smaller), F.lit(0))).alias("to"))
-    return pairs.join(ranks, ["r", "r2"]).select("uid", "i", "key", F.col("to").alias("r"))
-
-
-def later_copies(lines: DataFrame, min_lines: int) -> DataFrame:
-    """``uid`` and ``i``: where a stretch of ``min_lines`` starts that has an earlier copy."""
-    ranked, _ = written(line_ranks(lines), "ranks")
-    depth = 1
-    while depth < min_lines:
-        step = min(depth, min_lines - depth)
-        ranked, _ = written(deeper(ranked, step), "ranks")
-        depth += step
+    pairs = ranked.withColumn("r2", F.first("r").over(at)).withColumn("words", F.col("own") + F.first("words").over(at))
+    pairs = pairs.where("r2 is not null")
+    classes = pairs.groupBy("r", "r2").agg(F.count("*").alias("n")).where("n > 1").withColumn("slice", F.shiftright("r2", SLICE))
+    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    summed = lambda window: F.coalesce(F.sum("n").over(window), F.lit(0))
+    slices = classes.groupBy("r", "slice").agg(F.sum("n").alias("n"))
+    bases = slices.select("r", "slice", summed(before("r", "slice")).alias("base"))
+    ranks = classes.withColumn("own_base", summed(before("r", "slice", "r2"))).join(bases, ["r", "slice"])
+    ranks = ranks.select("r", "r2", (F.col("r") + F.col("base") + F.col("own_base")).alias("to"))
+    return pairs.join(ranks, ["r", "r2"]).select("uid", "i", "key", "n_lines", "own", "words", F.col("to").alias("r"))
+
+
+def _later(ranked: DataFrame, rows: int, goes: Column) -> DataFrame:
+    """``uid`` and ``i`` of the suffixes that are not the first of their interval, where ``goes`` holds."""
     place = F.struct("key", "uid", "i")
-    first = ranked.groupBy("r").agg(F.min(place).alias("first"))
-    return ranked.join(first, "r").where(place != F.col("first")).select("uid", "i")
+    share = rows // HOT
+    firsts = ranked.groupBy("r").agg(F.min(place).alias("first"), F.count("*").alias("n")).withColumnRenamed("r", "interval")
+    some = ranked.where(goes)
+    hot = F.broadcast(firsts.where(F.col("n") > share).select("interval", "first"))  # at most HOT rows
+    marked = some.join(hot, F.col("r") == F.col("interval"), "left").drop("interval")
+    usual = marked.where("first is null").drop("first").join(
+        firsts.where(F.col("n") <= share).select("interval", "first"), F.col("r") == F.col("interval")
+    )
+    columns = ["uid", "i", "key", "first"]
+    both = marked.where("first is not null").select(*columns).unionByName(usual.select(*columns))
+    return both.where(place != F.col("first")).select("uid", "i")
+
+
+def later_copies(lines: DataFrame, min_lines: int, min_words: int) -> tuple[DataFrame, list[str]]:
+    """``uid``, ``i`` and ``length``: windows with an earlier copy that go; and the tables they are read from."""
+    ranked, path = written(line_ranks(lines), "ranks")
+    depth, found, paths = 1, [], [path]
+    while rows := ranked.count():
+        goes = F.lit(True) if depth >= min_lines else (F.col("words") > min_words) | (F.col("n_lines") == depth)
+        found.append(_later(ranked, rows, goes).withColumn("length", F.lit(depth)))
+        step = 1 if depth < min_lines else depth
+        ranked, path = written(deeper(ranked, step), "ranks")
+        paths.append(path)
+        depth += step
+    none = ranked.select("uid", "i", F.lit(depth).alias("length"))
+    return reduce(DataFrame.unionByName, found, none), paths
 
 
-def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
+def _runs(windows: DataFrame) -> DataFrame:
+    """``u`` and ``runs``: the windows of each document, joined where they touch."""
+    order = Window.partitionBy("uid").orderBy("i")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    longest = windows.groupBy("uid", "i").agg((F.col("i") + F.max("length")).alias("end"))
+    opened = longest.withColumn("reach", F.max("end").over(before)).withColumn(
+        "run", F.sum(F.when(F.col("reach") >= F.col("i"), 0).otherwise(1)).over(order)
+    )
+    runs = opened.groupBy("uid", "run").agg(F.min("i").alias("from"), F.max("end").alias("to"))
+    return runs.groupBy(F.col("uid").alias("u")).agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("runs"))
+
+
+def remove_repeats(
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, min_words: int = MIN_WORDS
+) -> DataFrame:
     """Every row as struct ``doc`` with ``n_lines``, ``n_removed``, ``runs`` and ``kept``.
 
     Lines are what stands between line feeds; a null text has none, an empty one has one
@@ -86,25 +134,17 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """
     store, _ = written(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("doc")), "lines")
     body = F.split(F.col(f"doc.{text}"), "\n", -1)
-    exploded = store.select("uid", F.col(f"doc.{key}").alias("key"), F.posexplode(body).alias("i", "line"))
-    hashed = exploded.select(
-        "uid", "i", "key", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")
-    )
-    starts = later_copies(hashed, min_lines).groupBy("uid").agg(F.array_sort(F.collect_set("i")).alias("starts"))
-    starts, _ = written(starts.withColumnRenamed("uid", "u"), "copies")
-    # Starts that lie within reach of the one before belong to its run.
-    opens = F.filter(
-        F.transform("starts", lambda s, n: F.when((n == 0) | (F.col("starts")[F.greatest(n - 1, F.lit(0))] < s - min_lines), n)),
-        lambda n: n.isNotNull(),
+    exploded = store.select(
+        "uid", F.col(f"doc.{key}").alias("key"), F.size(body).alias("n_lines"), F.posexplode(body).alias("i", "line")
     )
-    runs = F.transform(
-        "opens",
-        lambda n, j: F.struct(
-            F.col("starts")[n].alias("from"),
-            (F.col("starts")[F.coalesce(F.try_element_at("opens", j + 2) - 1, F.size("starts") - 1)] + min_lines).alias("to"),
-        ),
+    hashed = exploded.select(
+        "uid", "i", "key", "n_lines",
+        F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+")).alias("own"),
+        F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"),
     )
-    spans = starts.withColumn("opens", opens).select("u", runs.alias("runs"))
+    copies, paths = later_copies(hashed, min_lines, min_words)
+    spans, _ = written(_runs(copies), "runs")
+    remove(docs.sparkSession, *paths)
     marked = maybe_among(store, F.col("uid"), spans, F.col("u"), out="marked")
     # The runs grow with the input: never broadcast, however few they look.
     some = marked.where("marked").join(spans.hint("merge"), F.col("uid") == F.col("u"), "left").select("doc", "runs")

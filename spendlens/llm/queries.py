@@ -123,15 +123,23 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-OP5_SQL = f"""
-WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
-w AS (SELECT doc_id, unnest(range(1, len(ls) - {line_dedup.MIN_LINES - 2})) AS i, ls FROM d WHERE len(ls) >= {line_dedup.MIN_LINES}),
-h AS (SELECT doc_id, i, array_to_string(ls[i:i + {line_dedup.MIN_LINES - 1}], chr(10)) AS win FROM w),
-f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS nth FROM h),
-c AS (SELECT DISTINCT doc_id, i + j AS p FROM f, (SELECT unnest(range(0, {line_dedup.MIN_LINES})) AS j) WHERE nth > 1),
-p AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS p, ls FROM d),
-k AS (SELECT p.doc_id, string_agg(p.ls[p.p], chr(10) ORDER BY p.p) AS kept, count(*) AS n
-      FROM p ANTI JOIN c ON p.doc_id = c.doc_id AND p.p = c.p GROUP BY 1)
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, ls FROM d),
+l AS (SELECT doc_id, i, ls, len(list_filter(string_split_regex(ls[i], '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words FROM p),
+h AS (
+  SELECT doc_id, i, 1 AS size, ls[i] AS win, words FROM l
+  UNION ALL SELECT doc_id, i, 2, ls[i] || chr(10) || ls[i + 1], words + lead(words) OVER (PARTITION BY doc_id ORDER BY i)
+    FROM l QUALIFY i < len(ls)
+  UNION ALL SELECT doc_id, i, 3, ls[i] || chr(10) || ls[i + 1] || chr(10) || ls[i + 2], 0 FROM l WHERE i < len(ls) - 1),
+f AS (SELECT *, row_number() OVER (PARTITION BY size, win ORDER BY doc_id, i) AS nth FROM h),
+e AS (SELECT doc_id, ls FROM d WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1),
+s AS (SELECT f.doc_id, f.i, f.size FROM f JOIN d USING (doc_id)
+  WHERE nth > 1 AND (size = 3 OR words > 50 OR win = text)),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + size)) AS i FROM s
+  UNION SELECT doc_id, unnest(range(1, len(ls) + 1)) FROM e),
+k AS (SELECT p.doc_id, string_agg(p.ls[p.i], chr(10) ORDER BY p.i) AS kept, count(*) AS n
+      FROM p ANTI JOIN c ON p.doc_id = c.doc_id AND p.i = c.i GROUP BY 1)
 SELECT d.doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, (coalesce(len(ls), 0) - coalesce(k.n, 0))::BIGINT AS n_removed,
        sha256(coalesce(k.kept, '')) AS kept_sha256
 FROM d LEFT JOIN k ON d.doc_id = k.doc_id

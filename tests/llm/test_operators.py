@@ -170,31 +170,48 @@ def test_events_fold_and_read_back(spark):
     assert chat_format.format_chats(events.limit(0)).count() == 0
 
 
-def brute_lines(texts, least):
-    seen, gone = set(), [set() for _ in texts]
-    for d, text in enumerate(texts):
-        lines = [] if text is None else text.split("\n")
-        for i in range(len(lines) - least + 1):
-            window = tuple(lines[i : i + least])
-            if window in seen:
-                gone[d] |= set(range(i, i + least))
-            seen.add(window)
+def brute_lines(texts, least, most_words, order=None):
+    """By hand: every window of lines with an earlier copy that is long, wordy or a whole document goes."""
+    seen, gone = {}, [set() for _ in texts]
+    for d in order or range(len(texts)):
+        lines = [] if texts[d] is None else texts[d].split("\n")
+        for i in range(len(lines)):
+            for n in range(1, len(lines) - i + 1):
+                window = tuple(lines[i : i + n])
+                words = sum(len(x.encode().split()) for x in window)
+                if seen.setdefault(window, (d, i)) != (d, i) and (n >= least or words > most_words or n == len(lines)):
+                    gone[d] |= set(range(i, i + n))
     return [
         None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in enumerate(texts)
     ]
 
 
-@pytest.mark.parametrize("least", [1, 2, 3, 5])
-def test_repeated_lines(spark, least):
-    rng = random.Random(least)
-    texts = ["\n".join(rng.choice("abcd") for _ in range(rng.randint(0, 14))) for _ in range(40)] + [None, "", "a\na\na\na\na\na\na"]
-    got = line_dedup.remove_repeats(docs_of(spark, texts), min_lines=least).orderBy("doc.doc_id").collect()
-    want = brute_lines(texts, least)
+@pytest.mark.parametrize("least, most_words", [(1, 50), (2, 3), (3, 4), (5, 7), (3, 50)])
+def test_repeated_lines(spark, least, most_words):
+    rng = random.Random(least * 100 + most_words)
+    lines = ["a", "b", "c", "d", "", "e f g h i", "one two  three"]
+    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randint(0, 14))) for _ in range(40)] + [None, "", "a\na\na\na\na\na\na"]
+    texts += ["only", "only", "two\nlines", "two\nlines", "x1\n" + "w " * 51 + "\nx2", "x3\n" + "w " * 51, "x4\ntwo\nlines", ""]
+    long = "\n".join(f"line {i}" for i in range(70))
+    texts += [long, "before\n" + long, long + "\nafter"]
+    got = line_dedup.remove_repeats(docs_of(spark, texts), min_lines=least, min_words=most_words).orderBy("doc.doc_id").collect()
+    want = brute_lines(texts, least, most_words)
     assert [r["kept"] for r, w in zip(got, want) if w is None or w] == [w for w in want if w is None or w]
     assert all(r["n_removed"] == sum(x["to"] - x["from"] for x in r["runs"]) for r in got)
+    assert all(a["to"] < b["from"] for r in got for a, b in zip(r["runs"], r["runs"][1:]))
     assert line_dedup.remove_repeats(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_repeated_lines_of_null_and_repeated_keys(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT", 2)
+    monkeypatch.setattr(line_dedup, "SLICE", 1)
+    texts = ["a\nb\nc"] * 3 + ["a\nb\nd\na\nb\nc\na"] * 2 + ["a\na\na\nb"] * 2
+    frame = spark.createDataFrame(list(zip([7, None, None, 7, 3, 3, None], texts)), "doc_id long, text string").coalesce(1)
+    got = line_dedup.remove_repeats(frame).collect()
+    order = sorted(range(7), key=lambda d: ([7, None, None, 7, 3, 3, None][d] or 0, d))
+    assert sorted(r["kept"] for r in got) == sorted(brute_lines(texts, 3, 50, order))
+
+
 def brute_windows(texts, size):
     words = [(t or "").encode().split() for t in texts]
     count = Counter(tuple(w[i : i + size]) for w in words for i in range(len(w) - size + 1))
