@@ -164,6 +164,18 @@ class Lattices:
         self._parts = {"to": np.int32, "piece": np.int32, "log_q": np.float64, "upto": np.float32}
         for name, kind in self._parts.items():
             setattr(self, name, np.zeros(0, kind))
+        self._room: dict[str, np.ndarray] = {}
+
+    def _extend(self, name: str, more: np.ndarray, keep: int) -> None:
+        """Puts ``more`` behind the first ``keep`` values; room doubles, so that little is copied."""
+        own = getattr(self, name)
+        room, need = self._room.get(name, own), keep + len(more)
+        if need > len(room):
+            room = np.empty(max(need, 2 * len(room)), own.dtype)
+            room[:keep] = own[:keep]
+            self._room[name] = room
+        room[keep:need] = more
+        setattr(self, name, room[:need])
 
     def span(self, edge: int) -> tuple[int, int]:
         """The edges that leave the node of ``edge``."""
@@ -238,10 +250,10 @@ class Lattices:
         run = np.cumsum(p)
         more = {"to": node + end, "piece": piece, "log_q": log_q, "upto": run - np.r_[0.0, run][first[start]]}
         self.units.update(zip(new, (node + stop - sizes).tolist()))
-        self.first = np.concatenate([self.first[:-1], edge + first])
-        self.to_end = np.concatenate([self.to_end, to_end.astype(np.int32)])
-        for name, kind in self._parts.items():
-            setattr(self, name, np.concatenate([getattr(self, name), more[name].astype(kind)]))
+        self._extend("first", edge + first, node)
+        self._extend("to_end", to_end, node)
+        for name in self._parts:
+            self._extend(name, more[name], edge)
 
     def log_p(self, piece: np.ndarray) -> np.ndarray:
         n = len(self.pieces.texts)
@@ -377,14 +389,15 @@ class Sampler:
     def _descend(self, unit: np.ndarray, node: np.ndarray, place: np.ndarray, rank: int) -> Paths:
         """Paths from a node of each unit to the unit's end, drawn by conditional probability."""
         lat, lane = self.lattices, np.arange(len(unit))
+        seed = self.seeds[self.row[unit]]
         steps = []
         while len(lane):
             lo, hi = lat.first[node], lat.first[node + 1]
             on = hi > lo
-            lane, node, place, lo, hi = lane[on], node[on], place[on], lo[on], hi[on]
+            lane, node, place, lo, hi, seed = lane[on], node[on], place[on], lo[on], hi[on], seed[on]
             if not len(lane):
                 break
-            u = _draw(self.seeds[self.row[unit[lane]]], 4 * rank + 1, place)
+            u = _draw(seed, 4 * rank + 1, place)
             edge, look = lo.copy(), np.arange(len(lo))
             while len(look):
                 look = look[(lat.upto[edge[look]] <= u[look]) & (edge[look] + 1 < hi[look])]
