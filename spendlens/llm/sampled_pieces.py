@@ -201,7 +201,8 @@ class Lattices:
 
     def _add(self, new: list[str]) -> None:
         sizes = np.array([len(u) + 2 for u in new])  # a space before, a last node after
-        chars = np.frombuffer("".join(f" {u}\0" for u in new).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        text = f" {'\0 '.join(new)}\0"
+        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         stop = np.cumsum(sizes)
         last = np.zeros(len(chars), bool)
         last[stop - 1] = True
@@ -231,6 +232,7 @@ class Lattices:
         deep = to_end[start].astype(np.uint16 if sizes.max() < 1 << 16 else np.int64)
         order = np.argsort(deep, kind="stable")
         start, end, piece, deep = start[order], end[order], piece[order], deep[order]
+        by_start: dict[str, np.ndarray] = {}
         log_p = self.log_p(piece)
         beta = np.zeros(len(chars))
         through = np.zeros(len(start))
@@ -243,8 +245,11 @@ class Lattices:
             total = top + np.log(np.add.reduceat(np.exp(w - np.repeat(top, many)), head))
             beta[start[a:b][head]] = total
             through[a:b] = w - np.repeat(total, many)
-        order = np.argsort(start, kind="stable")
-        start, end, piece, log_q = start[order], end[order], piece[order], through[order]
+        # Back into the order by start.
+        for name, own in (("start", start), ("end", end), ("piece", piece), ("through", through)):
+            by_start[name] = np.empty_like(own)
+            by_start[name][order] = own
+        start, end, piece, log_q = by_start.values()
         node, edge, p = len(self.first) - 1, len(self.to), np.exp(log_q)
         first = np.searchsorted(start, np.arange(len(chars) + 1))
         run = np.cumsum(p)
@@ -272,6 +277,16 @@ def _draw(seed: np.ndarray, salt: int, place: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
+def _draw_one(seed: int, salt: int, place: int) -> float:
+    """The same for one value, without arrays."""
+    whole = 0xFFFFFFFFFFFFFFFF
+    x = (seed + salt * 0xD1342543DE82EF95 + (place + 1) * 0x9E3779B97F4A7C15) & whole
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & whole
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & whole
+    x ^= x >> 31
+    return ((x >> 11) + 0.5) / 2.0**53
+
+
 @dataclass
 class Paths:
     """One path for each of some texts, flat and in text order."""
@@ -368,7 +383,7 @@ class Sampler:
         left = float(self._masses(group).sum())
         if left > 0:
             again = len(group.gone) * 64 + rank
-            wait = np.log(-np.log(float(_draw(self.seeds[r : r + 1], 4 * again, np.zeros(1))[0])))
+            wait = np.log(-np.log(_draw_one(int(self.seeds[r]), 4 * again, 0)))
             agenda.append((float(np.logaddexp(t, wait - np.log(left))), rank))
 
     def _masses(self, group: Siblings) -> np.ndarray:
@@ -377,7 +392,7 @@ class Sampler:
         if group.mass is None:
             p = np.exp(lat.log_q[group.edge])
             reach = np.cumprod(p)
-            before = np.r_[1.0, reach[:-1]]
+            before = np.concatenate(([1.0], reach[:-1]))
             group.before = before
             group.mass = np.where(p < 1, before - reach, 0.0)
             group.mass[: group.floor] = 0.0
@@ -420,8 +435,8 @@ class Sampler:
         heads, unit, node, place = [], [], [], []
         for r, t, parent in popped:
             group = paths[r, parent]
-            draw = _draw(self.seeds[[r, r]], 4 * rank + 2, np.arange(2))
-            run = np.cumsum(self._masses(group))
+            draw = [_draw_one(int(self.seeds[r]), 4 * rank + 2, place) for place in (0, 1)]
+            run = self._masses(group).cumsum()
             step = int(np.searchsorted(run, draw[0] * run[-1], side="right"))
             gone = group.gone.setdefault(step, set())
             lo, hi = lat.span(group.edge[step])
@@ -430,7 +445,9 @@ class Sampler:
             edge = int(others[min(int(np.searchsorted(upto, draw[1] * upto[-1], side="right")), len(others) - 1)])
             gone.add(edge)
             self._push(agenda[r], r, parent, group, t)
-            heads.append((np.r_[group.edge[:step], edge], group.place[: step + 1], group.unit[: step + 1]))
+            kept = group.edge[: step + 1].copy()
+            kept[step] = edge
+            heads.append((kept, group.place[: step + 1], group.unit[: step + 1]))
             floor[r] = step + 1
             here, to, last = lat.owner(edge), int(lat.to[edge]), int(group.unit[step])
             stop = int(self.from_unit[r + 1])
