@@ -59,11 +59,11 @@ def brute_phrases(text: str, known: str) -> int:
 
 
 def test_cross_parsing_counts_phrases_and_names_the_language(spark, odd):
-    parser = language_id.build({"aa": ["abcabcabd xyz"], "bb": ["zyxzyx zyy"]}, 1000, 60)
+    parser = language_id.build({"aa": ["abcabcabd xyz"], "bb": ["zyxzyx zyy"]}, 1000)
     letters, ends = language_id.letters_of(["Abd, XYZ abc", "zyy qq", "42!"])
     got = parser.phrases(parser.codes(letters), ends)
     assert got[0].tolist() == [brute_phrases("abd xyz abc", "abcabcabd xyz"), brute_phrases("abd xyz abc", "zyxzyx zyy")]
-    named, score, _ = parser.predict(["abcab", "zyxz", "42!", ""])
+    named, score, _, _ = parser.predict(["abcab", "zyxz", "42!", ""])
     assert named == ["aa", "bb", "und", "und"] and score[2] == 0 and 0.5 < score[0] <= 1
     block = "abcabd " * 1000  # several blocks
     assert parser.predict([block])[0] == ["aa"]
@@ -74,6 +74,42 @@ def test_cross_parsing_counts_phrases_and_names_the_language(spark, odd):
     assert language_id.fit(odd.where("false")).langs == []
 
 
+def _script(rng, first, letters, words):
+    """Invented prose: words of a language's own syllables."""
+    syllables = ["".join(chr(first + rng.randrange(letters)) for _ in range(rng.randint(1, 3))) for _ in range(60 + letters // 8)]
+    return lambda n: " ".join("".join(rng.choices(syllables, k=rng.randint(1, 3))) for _ in range(n)) + words
+
+
+def test_many_scripts_and_languages(spark):
+    rng = random.Random(21)
+    scripts = {"latin": (0x61, 26), "cyrillic": (0x430, 32), "greek": (0x3B1, 24), "han": (0x4E00, 1500), "hangul": (0xAC00, 900)}
+    say = {f"{name}{i}": _script(rng, first, n, "") for name, (first, n) in scripts.items() for i in range(8)}
+    parser = language_id.build({lang: [s(60) for _ in range(30)] for lang, s in say.items()}, 8_000)
+    assert len(parser.langs) == 40 and parser.table.nbytes < 64 << 20
+    texts = [(lang, s(40)) for lang, s in say.items() for _ in range(5)]
+    named, _, _, fits = parser.predict([t for _, t in texts])
+    assert sum(a == b for a, (b, _) in zip(named, texts)) > 0.97 * len(texts) and fits.mean() > 0.97
+    noise = ["".join(chr(0x1E000 + rng.randrange(200)) for _ in range(80)), "".join(chr(0x10A0 + rng.randrange(40)) for _ in range(200))]
+    assert not parser.predict(noise)[3].any()
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_packed_automata_match_brute_force(seed):
+    rng = random.Random(seed)
+    alphabet = [chr(0x61 + i) for i in range(3)] if seed % 2 else [chr(0x4E00 + i) for i in range(300)]
+    known = {lang: "".join(rng.choices(alphabet, k=rng.randint(1, 400))) for lang in ("a", "b", "c")}
+    parser = language_id.build({k: [v] for k, v in known.items()}, 10_000)
+    texts = ["".join(rng.choices([*alphabet, "ж"], k=rng.randint(1, 120))) for _ in range(20)]
+    letters, ends = language_id.letters_of(texts)
+    assert parser.phrases(parser.codes(letters), ends).tolist() == [[brute_phrases(t, known[k]) for k in "abc"] for t in texts]
+
+
+def test_more_languages_than_wanted(spark):
+    rows = [(i, "abc def", lang) for i, lang in enumerate(["x", "x", "y", "z", None])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language_id.fit(frame, max_langs=2).langs == ["x", "y"]
+
+
 def test_language_on_held_out_rows(spark):
     got = queries.op1_language_id(spark, "/root/testdata/sf0.01")
     truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
