@@ -68,45 +68,49 @@ def deeper(ranked: DataFrame, step: int) -> DataFrame:
     at = Window.partitionBy("uid").orderBy("i").rangeBetween(step, step)
     pairs = ranked.withColumn("r2", F.first("r").over(at)).withColumn("words", F.col("own") + F.first("words").over(at))
     pairs = pairs.where("r2 is not null")
-    classes = pairs.groupBy("r", "r2").agg(F.count("*").alias("n")).where("n > 1").withColumn("slice", F.shiftright("r2", SLICE))
+    place = F.struct("key", "uid", "i")
+    classes = pairs.groupBy("r", "r2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
+    classes = classes.withColumn("slice", F.shiftright("r2", SLICE))
     before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
     summed = lambda window: F.coalesce(F.sum("n").over(window), F.lit(0))
     slices = classes.groupBy("r", "slice").agg(F.sum("n").alias("n"))
     bases = slices.select("r", "slice", summed(before("r", "slice")).alias("base"))
     ranks = classes.withColumn("own_base", summed(before("r", "slice", "r2"))).join(bases, ["r", "slice"])
-    ranks = ranks.select("r", "r2", (F.col("r") + F.col("base") + F.col("own_base")).alias("to"))
-    return pairs.join(ranks, ["r", "r2"]).select("uid", "i", "key", "n_lines", "own", "words", F.col("to").alias("r"))
+    ranks = ranks.select("r", "r2", "first", (F.col("r") + F.col("base") + F.col("own_base")).alias("to"))
+    later = (place != F.col("first")).alias("later")
+    return pairs.join(ranks, ["r", "r2"]).select("uid", "i", "key", "n_lines", "own", "words", later, F.col("to").alias("r"))
 
 
-def _later(ranked: DataFrame, rows: int, goes: Column) -> DataFrame:
-    """``uid`` and ``i`` of the suffixes that are not the first of their interval, where ``goes`` holds."""
+def with_later(ranked: DataFrame) -> DataFrame:
+    """Adds ``later``: whether a suffix is not the first of its interval."""
     place = F.struct("key", "uid", "i")
-    share = rows // HOT
+    share = ranked.count() // HOT
     firsts = ranked.groupBy("r").agg(F.min(place).alias("first"), F.count("*").alias("n")).withColumnRenamed("r", "interval")
-    some = ranked.where(goes)
     hot = F.broadcast(firsts.where(F.col("n") > share).select("interval", "first"))  # at most HOT rows
-    marked = some.join(hot, F.col("r") == F.col("interval"), "left").drop("interval")
+    marked = ranked.join(hot, F.col("r") == F.col("interval"), "left").drop("interval")
     usual = marked.where("first is null").drop("first").join(
         firsts.where(F.col("n") <= share).select("interval", "first"), F.col("r") == F.col("interval")
     )
-    columns = ["uid", "i", "key", "first"]
-    both = marked.where("first is not null").select(*columns).unionByName(usual.select(*columns))
-    return both.where(place != F.col("first")).select("uid", "i")
+    both = marked.where("first is not null").unionByName(usual.drop("interval"))
+    return both.withColumn("later", place != F.col("first")).drop("first")
 
 
 def later_copies(lines: DataFrame, min_lines: int, min_words: int) -> tuple[DataFrame, list[str]]:
     """``uid``, ``i`` and ``length``: windows with an earlier copy that go; and the tables they are read from."""
-    ranked, path = written(line_ranks(lines), "ranks")
+    spark = lines.sparkSession
+    plain, plain_path = written(line_ranks(lines), "ranks")
+    ranked, path = written(with_later(plain), "ranks")
+    remove(spark, plain_path)
     depth, found, paths = 1, [], [path]
-    while rows := ranked.count():
+    while True:
         goes = F.lit(True) if depth >= min_lines else (F.col("words") > min_words) | (F.col("n_lines") == depth)
-        found.append(_later(ranked, rows, goes).withColumn("length", F.lit(depth)))
+        found.append(ranked.where(F.col("later") & goes).select("uid", "i", F.lit(depth).alias("length")))
+        if ranked.isEmpty():
+            return reduce(DataFrame.unionByName, found), paths
         step = 1 if depth < min_lines else depth
         ranked, path = written(deeper(ranked, step), "ranks")
         paths.append(path)
         depth += step
-    none = ranked.select("uid", "i", F.lit(depth).alias("length"))
-    return reduce(DataFrame.unionByName, found, none), paths
 
 
 def _runs(windows: DataFrame) -> DataFrame:
