@@ -39,3 +39,32 @@ def _sound(types: dict[str, str]):
     for column, name in types.items():
         sound = sound & (F.col(column).isNull() | F.col(column).try_cast(name).isNotNull())
     return sound
+
+
+def bad_cells(raw: DataFrame, key: str = "id") -> DataFrame:
+    """The error channel of decoding: a row per cell that does not decode, by ``key``, with its text."""
+    types = _typed(raw)
+    cells = [
+        F.when(F.col(c).isNotNull() & F.col(c).try_cast(t).isNull(), F.struct(F.lit(c).alias("column"), F.col(c).alias("cell")))
+        for c, t in types.items()
+    ]
+    return raw.select(F.col(key), F.inline(F.array_compact(F.array(*cells))))
+
+
+def quarantined(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The decoded rows, and apart from them the rows left out, as they came with their bad ``cells``."""
+    types = _typed(raw)
+    names = [F.when(F.col(c).isNotNull() & F.col(c).try_cast(t).isNull(), F.lit(c)) for c, t in types.items()]
+    return decode_lenient(raw), bad_rows(raw).withColumn("cells", F.array_compact(F.array(*names)))
+
+
+def strict_verdict(raw: DataFrame) -> DataFrame:
+    """One row: rows, rows and cells that do not decode, and whether strict decoding would accept all."""
+    types = _typed(raw)
+    bad = [f"CAST({c} IS NOT NULL AND try_cast({c} AS {t}) IS NULL AS INT)" for c, t in types.items()]
+    return raw.selectExpr(f"{' + '.join(bad)} AS bad").selectExpr(
+        "count(*) AS calls",
+        "count_if(bad > 0) AS bad_calls",
+        "coalesce(sum(bad), 0) AS bad_cells",
+        "count_if(bad > 0) = 0 AS accepted",
+    )

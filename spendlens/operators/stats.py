@@ -126,6 +126,20 @@ def top_unpriced_models(calls: DataFrame, prices: DataFrame | RateCard, n: int =
     return unpriced_models(calls, prices).limit(n)
 
 
+def unpriced_summary(calls: DataFrame, prices: DataFrame | RateCard, age_days: int | None = None) -> DataFrame:
+    """One row: all calls with tokens but no price, their most frequent models, and the age of the table.
+
+    No row when every call has a price. ``age_days`` is None where there is no price table.
+    """
+    unpriced = unpriced_models(calls, prices)
+    total = unpriced.agg(F.sum("calls").alias("total")).selectExpr("total", "CAST(NULL AS STRUCT<n: BIGINT, model: STRING>) AS top")
+    few = unpriced.limit(3).selectExpr("CAST(NULL AS BIGINT) AS total", "named_struct('n', -calls, 'model', model) AS top")
+    both = total.unionByName(few).agg(F.max("total").alias("unpriced_calls"), F.array_sort(F.collect_list("top")).alias("tops"))
+    names = "array_join(transform(tops, m -> m.model || ' (' || -m.n || ')'), ', ') AS top"
+    age = "no price table found" if age_days is None else "price table pulled today" if age_days == 0 else f"price table is {age_days} days old"
+    return both.where("unpriced_calls > 0").select("unpriced_calls", F.expr(names), F.lit(age).alias("age"))
+
+
 def with_formats(report: DataFrame) -> DataFrame:
     """Add the texts a table of statistics shows: whole percent or ``-``, cost to 4 decimals."""
     return report.selectExpr(

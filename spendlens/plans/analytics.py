@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlens.functions import text
-from spendlens.operators import budget, gaps, pricing, quality, review, stats, tail
+from spendlens.operators import budget, gaps, pricing, quality, review, sketches, stats, tail
 from spendlens.plans import fixtures
 from spendlens.plans.registry import query
 from spendlens.schemas import PRICES
-from spendlens.timebounds import bound_literal, from_bound, since, window_bound
+from spendlens.streaming.workdir import work_dir
+from spendlens.timebounds import bound_literal, from_bound, is_bound, since, window_bound
 
 NOW = datetime(2024, 1, 31, 12, tzinfo=timezone.utc)
 IN_DATA = datetime(2024, 1, 24, 20, 30, tzinfo=timezone.utc)
@@ -120,6 +121,24 @@ for _key, _spec, _now, _tz, _bound in [
     query(_key, _by_provider_sql(_bound))(_since_query(_spec, _now, _tz))
 
 
+# Each customer as a time bound: relative ones, dates, instants, and texts that are none.
+_SPEC_SQL = """CASE c_custkey % 8 WHEN 0 THEN CAST(c_custkey AS VARCHAR) || 'd'
+    WHEN 1 THEN CAST(c_custkey AS VARCHAR) || 'w' WHEN 2 THEN 'yesterday'
+    WHEN 3 THEN '2024-01-' || lpad(CAST(c_custkey % 28 + 1 AS VARCHAR), 2, '0')
+    WHEN 4 THEN '2024-01-05T10:00:00' WHEN 5 THEN '2024-01-05T10:00:00Z'
+    WHEN 6 THEN '-' || CAST(c_custkey AS VARCHAR) || 'h' ELSE CAST(c_custkey AS VARCHAR) || 'm' END"""
+
+
+@query(
+    "t6_accepted_bounds",
+    f"""SELECT c_custkey, {_SPEC_SQL} AS spec, c_custkey % 8 IN (0, 3, 5, 7) AS accepted FROM customer""",
+)
+def accepted_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = fixtures.table(spark, sf_dir, "customer")
+    spec = F.expr(_SPEC_SQL.replace("VARCHAR", "STRING")).alias("spec")
+    return customers.select("c_custkey", spec).withColumn("accepted", is_bound(F.col("spec")))
+
+
 @query(
     "t7_calendar_windows",
     f"""WITH calls AS ({fixtures.CALLS_SQL}),
@@ -390,12 +409,18 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("provider", "p50_ms", "p95_ms")
 
 
-@query("a10_latency_percentiles_approximate")
+@query(
+    "a10_latency_percentiles_approximate",
+    f"""WITH calls AS ({fixtures.CALLS_SQL}) SELECT provider, count(latency_ms) AS timed, TRUE AS p50_ms_ok,
+      TRUE AS p95_ms_ok FROM calls GROUP BY provider""",
+)
 def latency_percentiles_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = stats.grouped_stats(
-        fixtures.calls(spark, sf_dir), card(spark), "provider", exact=False
-    )
-    return report.select("provider", "p50_ms", "p95_ms")
+    """Percentiles off sketches stored by day and merged, held against the true ranks of their values."""
+    calls = fixtures.calls(spark, sf_dir)
+    folder = work_dir(spark, "sketches")
+    sketches.latency_sketches(calls).write.partitionBy("day").parquet(folder)
+    read = sketches.percentiles(spark.read.parquet(folder))
+    return sketches.within_error(read, calls).select("provider", "timed", "p50_ms_ok", "p95_ms_ok")
 
 
 _UNPRICED_SQL = """SELECT coalesce(model, 'unknown') AS model, count(*) AS calls
@@ -407,6 +432,20 @@ def unpriced_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.unpriced_models(fixtures.calls(spark, sf_dir), card(spark))
 
 
+@query(
+    "a11_unpriced_summary",
+    with_priced(
+        """SELECT CAST(sum(calls) AS BIGINT) AS unpriced_calls,
+          string_agg(model || ' (' || calls || ')', ', ' ORDER BY calls DESC, model) FILTER (nth <= 3) AS top,
+          'price table is 3 days old' AS age
+        FROM (SELECT *, row_number() OVER (ORDER BY calls DESC, model) AS nth FROM unpriced)""",
+        f"unpriced AS ({_UNPRICED_SQL})",
+    ),
+)
+def unpriced_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.unpriced_summary(fixtures.calls(spark, sf_dir), card(spark), age_days=3)
+
+
 @query("k2_top_unpriced_models", with_priced(_UNPRICED_SQL + " ORDER BY calls DESC, model LIMIT 3"))
 def top_unpriced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.top_unpriced_models(fixtures.calls(spark, sf_dir), card(spark))
@@ -691,7 +730,7 @@ def avoidable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.avoidable_misses(fixtures.calls(spark, sf_dir), card(spark))
 
 
-# Sample candidates (price key, candidate model, class of work).
+# Sample candidates (price key, candidate model, class of work).
 CANDIDATES = [
     ("claude-sonnet-4", "claude-haiku-4", "coding"),
     ("claude-sonnet-4", "deepseek-v4-pro", "coding"),
@@ -858,6 +897,26 @@ def lenient_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "r2_bad_cells",
+    f"""WITH raw AS ({fixtures.columns_sql(_RAW_CELLS, 'events')}) SELECT id, 'input_tokens' AS "column",
+      input_tokens AS cell FROM raw WHERE input_tokens IS NOT NULL AND TRY_CAST(input_tokens AS BIGINT) IS NULL""",
+)
+def bad_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.bad_cells(fixtures.derive(fixtures.table(spark, sf_dir, "events"), _RAW_CELLS))
+
+
+@query(
+    "r2_strict_decode",
+    f"""WITH raw AS ({fixtures.columns_sql(_RAW_CELLS, 'events')}) SELECT count(*) AS calls,
+      count(*) FILTER (bad) AS bad_calls, count(*) FILTER (bad) AS bad_cells,
+      count(*) FILTER (bad) = 0 AS accepted
+    FROM (SELECT input_tokens IS NOT NULL AND TRY_CAST(input_tokens AS BIGINT) IS NULL AS bad FROM raw)""",
+)
+def strict_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.strict_verdict(fixtures.derive(fixtures.table(spark, sf_dir, "events"), _RAW_CELLS))
+
+
 @query(
     "r2_bad_rows",
     f"""WITH raw AS ({fixtures.columns_sql(_RAW_CELLS, 'events')}) SELECT id, input_tokens

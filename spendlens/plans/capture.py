@@ -228,7 +228,7 @@ _EXPECTED_SQL = f"""expected AS (SELECT call_id, provider, turn, chars,
   {_NULL_COUNT} AS cache_creation_input_tokens,
   CAST(CASE provider WHEN 'openai' THEN 3 WHEN 'gemini' THEN 4 WHEN 'xai' THEN 11 END AS BIGINT)
     AS reasoning_output_tokens,
-  CASE provider WHEN 'xai' THEN 2764000e0 / 10000000000e0 END AS cost,
+  CASE provider WHEN 'xai' THEN 3150000e0 / 10000000000e0 END AS cost,
   CASE provider WHEN 'anthropic' THEN 'claude-sonnet-4-5' WHEN 'groq' THEN 'llama-3'
     WHEN 'gemini' THEN 'gemini-2.0-flash' WHEN 'xai' THEN 'grok-4.5' END AS model,
   CASE provider
@@ -244,7 +244,7 @@ _EXPECTED_SQL = f"""expected AS (SELECT call_id, provider, turn, chars,
       || ',"candidatesTokenCount":' || CAST(turn + 3 AS VARCHAR) || ',"thoughtsTokenCount":4}}]'
     ELSE '{{"prompt_tokens":' || CAST(chars AS VARCHAR)
       || ',"completion_tokens":1,"total_tokens":' || CAST(chars + 12 AS VARCHAR)
-      || ',"completion_tokens_details":{{"reasoning_tokens":11}},"cost_in_usd_ticks":2764000}}' END
+      || ',"completion_tokens_details":{{"reasoning_tokens":11}},"cost_in_usd_ticks":3150000}}' END
     AS raw_usage,
   CASE WHEN turn % 3 = 1 THEN 40 + turn * 2 ELSE 20 + turn END AS ttft_ms, elapsed_ms, path, ts,
   CASE WHEN turn % 4 = 3 THEN 'client_disconnect' END AS error_kind
@@ -311,12 +311,11 @@ _KIND_SQL = """CASE
     WHEN regexp_matches(m, 'client disconnect|connection reset|broken pipe') THEN 'client_disconnect'
     WHEN regexp_matches(m, 'connect|refused|unreachable|no route|dns') THEN 'upstream_connect'
     ELSE 'other' END"""
-_CLIENT_SQL = """left(nullif(trim(CASE WHEN client_header IS NOT NULL THEN client_header
-    ELSE user_agent END), ''), 128)"""
+_CLIENT_SQL = """nullif(trim(CASE WHEN client_header IS NOT NULL THEN client_header
+    ELSE user_agent END), '')"""
 _PATH_MODEL_SQL = """CASE WHEN provider = 'gemini'
     THEN nullif(regexp_extract(path, '/models/([^:/?]*)', 1), '') END"""
-_REQUEST_MODEL_SQL = """CASE WHEN content_length IN ('512', '262144') AND event_body = 0
-    THEN request_body ->> '$.model' END"""
+_REQUEST_MODEL_SQL = "CASE WHEN event_body = 0 THEN request_body ->> '$.model' END"
 
 RECORDS_SQL = f"""WITH {CAPTURES},
   source AS (SELECT * REPLACE (CASE WHEN outcome = 'send_failure' OR observation_dropped
@@ -324,8 +323,7 @@ RECORDS_SQL = f"""WITH {CAPTURES},
       CASE WHEN starts_with(request_body, '{{"model":"') THEN 0 ELSE 1 END AS event_body
     FROM captures WHERE {_INFERENCE_SQL}), {_READ_SQL},
   records AS (SELECT call_id AS id, ts, provider,
-    coalesce({_PATH_MODEL_SQL}, {_REQUEST_MODEL_SQL},
-      CASE WHEN octet_length(encode(root_model)) < 255 THEN root_model END, version_model) AS model,
+    coalesce({_PATH_MODEL_SQL}, {_REQUEST_MODEL_SQL}, root_model, version_model) AS model,
     CASE WHEN outcome <> 'send_failure' THEN status END AS status,
     elapsed_ms AS latency_ms, {_NULL_COUNT} AS ttft_ms, FALSE AS stream,
     {', '.join(TOKEN_COLUMNS)}, cost,
@@ -350,7 +348,7 @@ def _record_query(key: str, columns: list[str]) -> None:
 
     @query(key, f"{RECORDS_SQL} SELECT {names} FROM records")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        records = norm.normalize(fixtures.captures(spark, sf_dir), limits=norm.LIVE_LIMITS)
+        records = norm.normalize(fixtures.captures(spark, sf_dir))
         return records.select("id", *columns)
 
 
@@ -409,7 +407,7 @@ def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("n21_client", f"WITH {CAPTURES} SELECT call_id, {_CLIENT_SQL} AS client FROM captures")
+@query("n21_client", f"WITH {CAPTURES} SELECT call_id, left({_CLIENT_SQL}, 128) AS client FROM captures")
 def clients(spark: SparkSession, sf_dir: str) -> DataFrame:
     client = text.client_of(F.col("headers"), norm.CLIENT_HEADER, norm.LIVE_LIMITS.client_chars).alias("client")
     return fixtures.captures(spark, sf_dir).select("call_id", client)
@@ -495,6 +493,9 @@ _STORED_COLUMNS = ", ".join(
 )
 
 
+STORED_AS_TYPED = "call_id AS id, " + _STORED_COLUMNS.replace(" AS raw_", " AS ").replace("cost AS cost", "cost")
+
+
 @query("s10_backfill_streams", expected_streams(f"call_id AS id, {_STORED_COLUMNS}"))
 def backfill_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     filled = norm.backfill(norm.normalize(fixtures.streams(spark, sf_dir)))
@@ -503,7 +504,7 @@ def backfill_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("s10_backfill_bodies", f"{RECORDS_SQL} SELECT id, {_RAW_COLUMNS} FROM records")
 def backfill_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = norm.normalize(fixtures.captures(spark, sf_dir), limits=norm.LIVE_LIMITS)
+    records = norm.normalize(fixtures.captures(spark, sf_dir))
     filled = norm.backfill(records)
     return filled.select("id", *[f"raw_{c}" for c in USAGE_COLUMNS])
 

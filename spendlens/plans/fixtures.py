@@ -66,22 +66,22 @@ CALLS = {
         ELSE '/usr/bin/tool' || CAST(user_id % 5 AS STRING) END""",
 }
 
-# The sample price table, USD per million tokens
+# An invented price table, USD per million tokens
 # (model key, input, output, cache read, cache creation, cache reads are part of input).
 PRICE_ROWS = [
-    ("claude-opus-4", "15.0", "75.0", "1.5", "18.75", False),
-    ("claude-sonnet-4", "3.0", "15.0", "0.3", "3.75", False),
-    ("claude-haiku-4", "0.8", "4.0", "0.08", "1.0", False),
-    ("gpt-4o-mini", "0.15", "0.6", "0.075", "0.0", True),
-    ("gpt-4o", "2.5", "10.0", "1.25", "0.0", True),
-    ("deepseek-v", "0.27", "1.10", "0.07", "0.0", True),
-    ("grok-4.3", "1.25", "2.5", "0.2", "0.0", True),
-    ("gemini-2.0-flash", "0.1", "0.4", "0.025", "0.0", True),
+    ("claude-opus-4", "14.0", "66.0", "1.2", "17.5", False),
+    ("claude-sonnet-4", "2.8", "13.6", "0.32", "3.4", False),
+    ("claude-haiku-4", "0.9", "4.2", "0.07", "1.1", False),
+    ("gpt-4o-mini", "0.18", "0.7", "0.06", "0.0", True),
+    ("gpt-4o", "2.4", "9.5", "1.1", "0.0", True),
+    ("deepseek-v", "0.31", "1.2", "0.09", "0.0", True),
+    ("grok-4.3", "1.4", "2.9", "0.24", "0.0", True),
+    ("gemini-2.0-flash", "0.12", "0.45", "0.03", "0.0", True),
 ]
-# Context tiers (model key, above tokens, then the four rates).
+# Invented context tiers (model key, above tokens, then the four rates).
 TIER_ROWS = [
-    ("grok-4.3", 200000, "2.5", "5.0", "0.4", "0.0"),
-    ("claude-sonnet-4", 200000, "6.0", "22.5", "0.6", "7.5"),
+    ("grok-4.3", 180000, "2.6", "5.4", "0.44", "0.0"),
+    ("claude-sonnet-4", 180000, "5.2", "21.0", "0.55", "7.0"),
 ]
 
 EXCHANGES = {
@@ -108,7 +108,7 @@ EXCHANGES = {
         WHEN event_id % 3 = 1 AND event_id % 5 = 1 THEN
           '{"model":"grok-4.3","usage":{"prompt_tokens":' || CAST(event_id % 9000 AS STRING)
           || ',"completion_tokens":1,"total_tokens":' || CAST(event_id % 9000 + 12 AS STRING)
-          || ',"completion_tokens_details":{"reasoning_tokens":11},"cost_in_usd_ticks":2764000}}'
+          || ',"completion_tokens_details":{"reasoning_tokens":11},"cost_in_usd_ticks":3150000}}'
         WHEN event_id % 3 = 1 AND event_id % 5 = 2 THEN
           '{"model":"gpt-4o","usage":{"prompt_tokens":"12","completion_tokens":5.0,"cost":0.25}}'
         WHEN event_id % 3 = 1 THEN
@@ -196,7 +196,7 @@ CAPTURES = {
           || ',"completion_tokens":1,"total_tokens":'
           || CAST(event_id % 9000 + 12 - event_id % 2 * (user_id % 2) AS STRING)
           || ',"prompt_tokens_details":{{"cached_tokens":128}},'
-          || '"completion_tokens_details":{{"reasoning_tokens":11}},"cost_in_usd_ticks":2764000}},'
+          || '"completion_tokens_details":{{"reasoning_tokens":11}},"cost_in_usd_ticks":3150000}},'
           || '"model":"grok-4.5"}}'
         WHEN event_id % 4 = 2 THEN
           '{{"model":5,"modelVersion":"v-2","usage":{{"input_tokens":' || CAST(event_id AS STRING)
@@ -256,7 +256,7 @@ STREAMS = {
       ELSE 'data: {"choices":[],"usage":null}' || chr(10) || chr(10) || 'data: not json "usage"' || chr(10) || chr(10)
         || 'data: {"model":"grok-4.5","usage":{"prompt_tokens":' || CAST(length(text) AS STRING)
         || ',"completion_tokens":1,"total_tokens":' || CAST(length(text) + 12 AS STRING)
-        || ',"completion_tokens_details":{"reasoning_tokens":11},"cost_in_usd_ticks":2764000}}'
+        || ',"completion_tokens_details":{"reasoning_tokens":11},"cost_in_usd_ticks":3150000}}'
         || chr(10) || chr(10) END""",
     "outcome": "CASE WHEN turn % 4 = 3 THEN 'client_disconnect' ELSE 'finish' END",
 }

@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from spendlens.operators import stats, tail
 from spendlens.operators.budget import budget_check, parse_budget, period_hours
-from spendlens.operators.normalize import LIVE_LIMITS
+from spendlens.operators.normalize import normalize
 from spendlens.operators.pricing import attach_rates
 from spendlens.plans import analytics, capture, fixtures
 from spendlens.plans.registry import query
-from spendlens.schemas import ADDED_COLUMNS, CALL_COLUMNS
+from spendlens.schemas import ADDED_COLUMNS, CALL_COLUMNS, USAGE_COLUMNS
 from spendlens.sources import prices as price_source
-from spendlens.sources.calls import append_calls, new_calls, read_calls, union_calls
+from spendlens.sources.calls import append_calls, new_calls, read_calls, union_calls, write_back
 from spendlens.sources.output import TIME_FORMATS, json_lines
 from spendlens.streaming import assembly, jobs, spend_log
 from spendlens.streaming.workdir import work_dir
@@ -134,6 +134,36 @@ def schema_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return union_calls(old, new).select("id", "provider", *ADDED_COLUMNS)
 
 
+@query(
+    "s3_mixed_files",
+    f"""WITH calls AS ({fixtures.CALLS_SQL}) SELECT id, provider, latency_ms, input_tokens, {_EVOLVED}
+    FROM calls""",
+)
+def mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One folder of old files, which lack columns and have narrower ones, and of new files, in one scan."""
+    folder = work_dir(spark, "mixed")
+    calls = fixtures.calls(spark, sf_dir)
+    old = calls.where(f"ts < TIMESTAMP_NTZ '{_MID}'").drop(*ADDED_COLUMNS)
+    narrow = {c: F.col(c).cast("int") for c in ("latency_ms", "input_tokens", "output_tokens")}
+    old.withColumns(narrow).write.parquet(folder)
+    calls.where(f"ts >= TIMESTAMP_NTZ '{_MID}'").write.mode("append").parquet(folder)
+    return read_calls(spark, folder).select("id", "provider", "latency_ms", "input_tokens", *ADDED_COLUMNS)
+
+
+@query("s10_write_back", capture.expected_streams(capture.STORED_AS_TYPED))
+def written_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored table whose typed counts were lost on one of three days, filled in again, twice."""
+    folder = work_dir(spark, "write-back")
+    records = normalize(fixtures.streams(spark, sf_dir))
+    day = F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(3))
+    dated = records.withColumn("ts", F.timestamp_add("DAY", day.cast("int"), F.col("ts").cast("timestamp")))
+    lost = dated.withColumn("input_tokens", F.when(day == 1, None).otherwise(F.col("input_tokens")))
+    append_calls(lost.withColumn("ingest_seq", F.crc32(F.col("id").cast("binary"))), folder)
+    write_back(spark, folder)
+    write_back(spark, folder)
+    return read_calls(spark, folder).select("id", *USAGE_COLUMNS)
+
+
 # --- price files -----------------------------------------------------------------------------
 
 # One price text per part: an upper-case key, and fields that some rows leave out. Texts of sizes 3
@@ -256,6 +286,15 @@ def rate_lookup_by_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("p_partkey", "model_key")
 
 
+@query(
+    "s4_malformed_prices",
+    f"""WITH files AS ({_PRICE_FILES_SQL}) SELECT source, 'ignoring malformed ' || source AS warning
+    FROM files WHERE p_size IN {_MALFORMED}""",
+)
+def malformed_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return price_source.malformed_prices(_price_files(spark, sf_dir))
+
+
 @query(
     "s6_price_summary",
     f"""WITH files AS ({_PRICE_FILES_SQL}) SELECT source,
@@ -316,7 +355,7 @@ def budget_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_dir(spark, "normalize")
     exchanges = staged(fixtures.captures(spark, sf_dir), f"{folder}/in")
-    return drained(jobs.normalize_stream(exchanges, limits=LIVE_LIMITS), folder)
+    return drained(jobs.normalize_stream(exchanges), folder)
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spendlens.operators.normalize import backfill
 from spendlens.operators.quality import decode_lenient, decode_strict
-from spendlens.schemas import CALL_COLUMNS, CALLS, STORED
+from spendlens.schemas import CALL_COLUMNS, CALLS, STORED, USAGE_COLUMNS
 from spendlens.sources.id_index import stored_ids
 
 
@@ -65,6 +67,31 @@ def new_calls(batch: DataFrame, stored: DataFrame, order: str = "ingest_seq") ->
     )
 
 
+def write_back(spark: SparkSession, path: str) -> list[date]:
+    """Derive the usage columns of the stored calls anew from their raw usage, and store what changed.
+
+    Only dates on which a value differs are written (and returned); other dates keep their
+    files, and a second run finds nothing. A call without raw usage stays as it is.
+    """
+    filled = backfill(read_calls(spark, path))
+    derived = {c: F.when(F.col("raw_usage").isNotNull(), F.col(f"raw_{c}")).otherwise(F.col(c)) for c in USAGE_COLUMNS}
+    differs = F.lit(False)
+    for c, value in derived.items():
+        differs = differs | ~F.col(c).eqNullSafe(value)
+    dates = sorted(r.dt for r in filled.where(differs).select("dt").distinct().collect())
+    if dates:
+        kept = [c for c in filled.columns if c in CALL_COLUMNS or c in ("ingest_seq", "dt")]
+        changed = filled.where(F.col("dt").isin(dates)).select(*[derived.get(c, F.col(c)).alias(c) for c in kept])
+        (
+            changed.hint("rebalance", F.col("dt"))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("dt")
+            .parquet(path)
+        )
+    return dates
+
+
 def append_calls(
     batch: DataFrame, path: str, order: str = "ingest_seq", same_dates: bool = False
 ) -> None:

@@ -80,6 +80,16 @@ def read_prices(spark: SparkSession, path: str, per_line: bool = False) -> DataF
     return parse_price_documents(spark.read.text(path, wholetext=not per_line))
 
 
+def malformed_prices(documents: DataFrame) -> DataFrame:
+    """The sources of price texts that are ignored as malformed, with a warning each.
+
+    ``documents`` has ``source`` and the text ``value``.
+    """
+    models = F.from_json("value", f"map<string, struct<{_RATES_JSON}>>", _STRICT)
+    rows = documents.select("source", models.alias("models")).where(f"NOT {_COMPLETE}")
+    return rows.select("source", F.concat(F.lit("ignoring malformed "), "source").alias("warning"))
+
+
 def price_documents(prices: DataFrame) -> DataFrame:
     """Price rows as JSON texts (column ``value``), one object with one model key each."""
     rates = [F.col(c).cast("double").alias(c) for c in RATE_COLUMNS]
@@ -181,7 +191,9 @@ def price_summary(documents: DataFrame, now: datetime) -> DataFrame:
 
 
 def show_prices(spark: SparkSession, path: str, now: datetime) -> DataFrame:
-    """``price_summary`` of the files at ``path``."""
+    """``price_summary`` of the files at ``path``; no rows when there are none."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], "source string, models bigint, age_days bigint")
     files = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("source"),
         F.col("_metadata.file_modification_time").alias("modified"),

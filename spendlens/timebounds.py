@@ -7,6 +7,7 @@ from bisect import bisect_left
 from datetime import date, datetime, time, timedelta, timezone, tzinfo
 from zoneinfo import ZoneInfo
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,6 +65,24 @@ def since_bound(spec: str, now: datetime, tz: str | tzinfo = "UTC") -> datetime:
     )
 
 
+def is_bound(spec: Column) -> Column:
+    """Whether each text is one that ``since_bound`` accepts; the texts do not depend on ``now``."""
+
+    @F.pandas_udf("boolean")
+    def accepted(specs: pd.Series) -> pd.Series:
+        now = datetime(2024, 1, 1, tzinfo=UTC)
+
+        def good(text: str | None) -> bool:
+            try:
+                return text is not None and since_bound(text, now) is not None
+            except ValueError:
+                return False
+
+        return specs.map({s: good(s) for s in specs.unique()})
+
+    return accepted(spec)
+
+
 def window_bound(period: str, now: datetime, tz: str | tzinfo = "UTC") -> datetime:
     """Start of the local ``day``, ``week`` (Monday) or ``month``; else as ``since_bound``."""
     zone = _zone(tz)

@@ -93,7 +93,7 @@ def test_spend_log(spark, tmp_path, monkeypatch):
         for hour, provider, cost in rows:
             key = (hour // 24, provider)
             calls, spent = expected.get(key, (0, 0.0))
-            expected[key] = (calls + 1, spent + (2.5 if cost is None else cost))
+            expected[key] = (calls + 1, spent + (2.4 if cost is None else cost))
         state = spend_log.read_spend(spark, path)
         got = {(r.period.day - 20, r.provider): (r.calls, r.spent) for r in state.collect()}
         assert got == expected
