@@ -5,7 +5,7 @@ a row's signs are its hash string, and the tree is the sorted array of these str
 al., 2005). A query descends each tree to its longest matching prefix, a range of the array, and
 ascends all trees together, a shorter prefix at a time, until the ranges hold ``share`` of
 the shard (a row counts in each tree that has it) and one of them more than ``k`` rows. Those candidates are scored exactly on the
-original vectors; the best of each shard meet by query.
+original vectors, and no others; the best of each shard meet by query.
 
 For inner products of vectors of different lengths, rows get one more coordinate that makes
 them equally long, queries a zero (Neyshabur and Srebro, 2015). Shards and blocks of queries
@@ -26,7 +26,7 @@ TREES = 64
 LENGTH = 32
 #: Candidates to gather, as a share of the rows, repeats over trees included.
 SHARE = 0.75
-#: Queries scored together in a task.
+#: Queries that descend together in a task.
 CHUNK = 64
 
 
@@ -75,6 +75,20 @@ class Forest:
         return found
 
 
+def nearest_of(rows: np.ndarray, vectors: np.ndarray, point: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best of ``rows`` by inner product with ``point``, equal ones by row, and their products.
+
+    Each product is summed over its own row alone, so equal vectors have equal products.
+    """
+    score = np.einsum("nd,d->n", vectors[rows], point)
+    if len(rows) > k:
+        # All that tie with the last one to stay are sorted, none is cut by chance.
+        able = score >= np.partition(score, len(rows) - k)[len(rows) - k]
+        rows, score = rows[able], score[able]
+    order = np.lexsort((rows, -score))[:k]
+    return rows[order], score[order]
+
+
 def _usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
@@ -110,22 +124,18 @@ def search(
         empty = pd.DataFrame({"query_id": [], "id": [], "score": []})
         if own.empty or posed.empty:
             return empty
+        # Rows stand by id, so ties by row are ties by id.
         own = own.sort_values("id", kind="stable")
         ids, vectors = own["id"].to_numpy(), np.stack(own["v"].to_numpy())
         forest = Forest(vectors, longest, trees, length, seed)
         names, points = posed["id"].to_numpy(), np.stack(posed["v"].to_numpy())
-        out = []
+        best = []
         for at in range(0, len(names), CHUNK):
             part = slice(at, at + CHUNK)
             found = forest.candidates(points[part], share * len(ids), k + 1) & (ids[None, :] != names[part, None])
-            score = np.where(found, points[part] @ vectors.T, -np.inf)
-            # Rows stand by id: among equal scores a stable sort puts smaller ids first.
-            best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-            q, r = np.nonzero(np.take_along_axis(found, best, 1))
-            chosen = best[q, r]
-            exact = np.einsum("nd,nd->n", points[part][q], vectors[chosen])
-            out.append(pd.DataFrame({"query_id": names[part][q], "id": ids[chosen], "score": exact}))
-        return pd.concat(out, ignore_index=True) if out else empty
+            best += [nearest_of(np.flatnonzero(row), vectors, point, k) for point, row in zip(points[part], found)]
+        chosen, score = (np.concatenate(x) for x in zip(*best))
+        return pd.DataFrame({"query_id": np.repeat(names, [len(rows) for rows, _ in best]), "id": ids[chosen], "score": score})
 
     by = ["dim", "shard", "block"]
     id_type = rows.schema["id"].dataType.simpleString()

@@ -386,6 +386,26 @@ def test_forest_recall_and_odd_vectors(spark):
     assert ann_forest.search(odd.limit(0), odd.limit(0)).count() == 0
 
 
+def test_forest_ties_over_shards(spark, monkeypatch):
+    """Equal vectors, repeated rows too, stand in many shards; the smallest ids win."""
+    monkeypatch.setattr(ann_forest, "SHARD_ROWS", 40)
+    monkeypatch.setattr(ann_forest, "BLOCK_QUERIES", 3)
+    rng = np.random.default_rng(4)
+    same = rng.normal(size=24).tolist()
+    rows = [(int(i), same) for i in rng.permutation(300)] + [(7, same), (7, same)]
+    rows += [(1_000 + i, (0.5 * np.array(same)).tolist()) for i in range(5)]
+    items = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = ann_forest.search(items, items.where("vec_id = 9"), k=20).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == sorted([x for x in range(300) if x != 9] + [7, 7])[:20]
+    assert len({r["score"] for r in got}) == 1
+    vectors = rng.normal(size=(500, 33))
+    vectors[100:200] = vectors[0]
+    for point in vectors[[0, 5, 150]]:
+        chosen, score = ann_forest.nearest_of(np.arange(500), vectors, point, 20)
+        brute = sorted(((-float(np.einsum("d,d->", v, point)), i) for i, v in enumerate(vectors)))[:20]
+        assert [int(i) for i in chosen] == [i for _, i in brute]
+
+
 def test_pipeline_keeps_each_promise(spark):
     import corpus_pipeline
 
