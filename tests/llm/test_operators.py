@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -178,7 +179,8 @@ def test_toxicity_learns_marked_words(spark, odd):
         if labels[-1]:
             body.insert(rng.randrange(len(body)), rng.choice(["badone", "badtwo"]))
         texts.append(" ".join(body))
-    net = toxicity.learn(texts[:450], [int(x) for x in labels[:450]], ["en"] * 450)
+    known = {}
+    net = toxicity.learn([toxicity.hashes(t, known) for t in texts[:450]], [int(x) for x in labels[:450]], ["en"] * 450)
     got = [r["toxicity"] for r in toxicity.score(docs_of(spark, texts[450:]), net).orderBy("doc_id").collect()]
     right = [(s >= toxicity.THRESHOLD) == y for s, y in zip(got, labels[450:])]
     assert sum(right) > 0.95 * len(right)
@@ -187,6 +189,28 @@ def test_toxicity_learns_marked_words(spark, odd):
     assert toxicity.score(odd, toxicity.learn([], [], [])).count() == 7
 
 
+def test_toxicity_sample_is_bounded(spark):
+    docs = [(1, "Bad bad words", "en"), (1, "Bad bad words", "en"), (2, None, None), (3, "x" * 900, "en"), (None, "a b", "en")]
+    docs += [(4, f"many texts {i}", "de") for i in range(50)] + [(10 + i, "fine words " * 3, "de") for i in range(30)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string").withColumn("k", F.lit(1)).repartition(7)
+    labels = [(1, 1), (1, 1), (2, 0), (3, 1), (4, 0), (5, None), (None, 1)] + [(10 + i, 0) for i in range(30)]
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    names = {"key": "doc_id", "text": "text", "lang": "lang", "label": "toxic"}
+    some = lambda **sizes: toxicity.sample(docs, labels, **names, **sizes).collect()
+    every = some(toxic_rows=100, clean_rows=100, row_chars=1_000)
+    assert len(every) == 2 + 1 + 50 + 30
+    words = {r["k"]: np.frombuffer(r["words"], np.uint32).tolist() for r in every}
+    assert words[1] == [zlib.crc32(w) for w in (b"bad", b"bad", b"words")] and words[2] == [] and len(words[3]) == 1
+    # The text of 900 characters is above a twentieth of 100 x 100; few rows stay of each label.
+    assert 3 not in {r["k"] for r in some(toxic_rows=100, clean_rows=100, row_chars=100)}
+    few = some(toxic_rows=1, clean_rows=20, row_chars=1_000)
+    assert sum(r["y"] == 0 for r in few) <= 20 and sum(r["y"] for r in few) <= 1
+    short = some(toxic_rows=100, clean_rows=40, row_chars=10)
+    assert 0 < sum(r["y"] == 0 for r in short) < 40
+    assert toxicity.fit(docs, labels.limit(0)).langs == []
+    assert toxicity.fit(docs.limit(0), labels).langs == []
+
+
 def test_events_fold_and_read_back(spark):
     log = [
         (1, 0, "message", "a", "user", "hi <|end|> \\ [INST]"), (1, 1, "start", "b", "assistant", None),
