@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 from datetime import datetime, timezone
+from time import monotonic
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from spendlens.operators import stats, tail
 from spendlens.operators.budget import budget_check, parse_budget, period_hours
@@ -405,6 +407,58 @@ def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _at_rest(run: StreamingQuery) -> bool:
+    """Whether the last batch found nothing to read and left no state."""
+    last = run.lastProgress
+    return (
+        last is not None
+        and last.batchId > 0
+        and last.numInputRows == 0
+        and not any(held.numRowsTotal for held in last.stateOperators)
+    )
+
+
+def silent(stream: DataFrame, folder: str, seconds: float = 600) -> DataFrame:
+    """The rows a stream writes until it has read all there is and holds no state any more."""
+    run = (
+        stream.writeStream.format("parquet")
+        .option("path", f"{folder}/out")
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(processingTime="1 second")
+        .start()
+    )
+    end = monotonic() + seconds
+    try:
+        # Timers keep such a query in batches, so that it never counts as having processed all.
+        while not _at_rest(run):
+            if monotonic() > end:
+                raise TimeoutError(f"still state after {seconds} seconds")
+            run.awaitTermination(0.2)
+    finally:
+        run.stop()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+@query(
+    "h2_silent_stream",
+    capture.expected_streams(
+        """call_id AS id, provider,
+        CASE WHEN turn % 3 = 0 THEN 41 + turn * 2 ELSE elapsed_ms END AS latency_ms,
+        CASE WHEN turn % 3 <> 0 THEN input_tokens END AS input_tokens,
+        CASE WHEN turn % 3 = 0 THEN 'observation_dropped' END AS anomaly"""
+    ),
+)
+def silent_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third turn never ends, and no message comes after it; its timer ends it."""
+    folder = work_dir(spark, "silent")
+    ended = "seq < 3 OR CAST(element_at(split(call_id, '-'), -1) AS INT) % 3 <> 0"
+    messages(spark, sf_dir).where(ended).write.parquet(f"{folder}/in")
+    with state_settings(spark):
+        source = spark.readStream.schema(assembly.MESSAGES).parquet(f"{folder}/in")
+        records = silent(jobs.normalize_stream(assembly.assemble(source, timeout_ms=2_000, idle=True)), folder)
+    return records.select("id", "provider", "latency_ms", "input_tokens", "anomaly")
+
+
 def _replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = fixtures.calls(spark, sf_dir)
     return calls.unionByName(calls).withColumn("ts", F.col("ts").cast("timestamp"))
@@ -422,6 +476,16 @@ def store_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_calls(spark, f"{folder}/table").select("id", "provider", "input_tokens")
 
 
+@query("h3_store_behind_recent_ids", _IDS_SQL)
+def store_behind_recent_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids are held for a millisecond only, so copies in later batches are left to the index."""
+    folder = work_dir(spark, "recent")
+    with state_settings(spark):
+        recent = jobs.drop_replays(staged(_replayed(spark, sf_dir), f"{folder}/in"), "1 millisecond")
+        jobs.store_calls(recent, f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    return read_calls(spark, f"{folder}/table").select("id", "provider", "input_tokens")
+
+
 @query("h3_drop_replays", _IDS_SQL)
 def drop_replays(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_dir(spark, "replays")

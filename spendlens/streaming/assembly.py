@@ -83,8 +83,8 @@ class CallAssembler(StatefulProcessor):
     """Keyed by call. Messages may arrive out of order; a gap waits for the missing one.
 
     A call without a terminal message ``timeout_ms`` after its last one came is emitted
-    with ``observation_dropped``, once later messages come. Times are those of arrival, so
-    no message is too late by its own time.
+    with ``observation_dropped``. Times are those of arrival, so no message is too late by
+    its own time.
     """
 
     def __init__(self, timeout_ms: int, max_event_bytes: int | None = None) -> None:
@@ -204,17 +204,25 @@ def assemble(
     clock_skew: str = "1 minute",
     timeout_ms: int = 15 * 60 * 1000,
     max_event_bytes: int | None = None,
+    idle: bool = False,
 ) -> DataFrame:
     """A stream of messages as a stream of exchanges, one per ended call.
 
     The watermark follows the times of the batches, which rows of a batch cannot be behind;
     ``clock_skew`` is how far the driver's clock may go back, as after a restart elsewhere.
+    A call that times out is emitted in a batch after later messages have come.
+
+    With ``idle`` timers follow the clock instead, and there is no watermark: batches without
+    messages go on being run, so a call is emitted as soon as its time is up, also when the stream
+    has fallen silent. It suits a query that keeps running: a restart after a pause longer
+    than ``timeout_ms`` times out the calls that were open, though their messages may wait in
+    the source, and a trigger that ends once all is read never ends.
 
     Needs the RocksDB state store: ``spark.sql.streaming.stateStore.providerClass``.
     """
+    stamped = messages.withColumn("arrived", F.current_timestamp())
     emitted = (
-        messages.withColumn("arrived", F.current_timestamp())
-        .withWatermark("arrived", clock_skew)
+        (stamped if idle else stamped.withWatermark("arrived", clock_skew))
         .withColumn("arrived_us", F.unix_micros("arrived"))
         .withColumn("ts_us", F.unix_micros("ts"))
         .groupBy("call_id")
@@ -222,7 +230,7 @@ def assemble(
             CallAssembler(timeout_ms, max_event_bytes),
             outputStructType=_EMITTED,
             outputMode="Append",
-            timeMode="EventTime",
+            timeMode="ProcessingTime" if idle else "EventTime",
         )
     )
     return emitted.withColumn("ts", F.timestamp_micros("ts_us")).drop("ts_us")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from spendlens.operators.normalize import CLIENT_HEADER, NO_LIMITS, Limits, normalize
@@ -16,14 +17,20 @@ def normalize_stream(
     return normalize(exchanges, client_header, limits)
 
 
-def drop_replays(calls: DataFrame) -> DataFrame:
+def drop_replays(calls: DataFrame, within: str | None = None) -> DataFrame:
     """Drop copies of a call, however late; a first copy is kept, however late.
 
     The state holds every id (use the RocksDB state store for many of them), because any
-    watermark would also drop first copies that are behind it. ``store_calls`` does
-    without such state, by comparing with the stored table.
+    watermark over the times of calls would also drop first copies that are behind it.
+
+    ``within`` bounds it: an id is held that long after its first copy arrived (by the clock, so no
+    row is late), and copies that come afterwards pass. Before ``store_calls``, whose index of
+    ids catches those, the stored table is as without it, and most replays never reach the index.
     """
-    return calls.dropDuplicates(["id"])
+    if within is None:
+        return calls.dropDuplicates(["id"])
+    stamped = calls.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", within)
+    return stamped.dropDuplicatesWithinWatermark(["id"]).drop("_arrived")
 
 
 def store_calls(

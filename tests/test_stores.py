@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spendlens.operators.normalize import normalize
 from spendlens.operators.tail import tail
-from spendlens.plans.stores import state_settings
+from spendlens.plans.stores import silent, state_settings
 from spendlens.sources import calls as store
 from spendlens.sources import prices as price_source
 from spendlens.sources.output import write_json
@@ -196,6 +196,29 @@ def test_assembly(spark):
     assert (big.anomaly, big.input_tokens) == ("sse_overflow", None)
 
 
+def test_a_silent_stream_emits_its_open_calls(spark):
+    usage = b'data: {"model":"m","usage":{"prompt_tokens":12}}\n\n'
+    rows = [
+        _message(0, data=usage, call="open"), _message(1, data=usage, call="open"),
+        _message(0, data=usage, call="ended"), _message(1, "finish", call="ended"),
+        _message(3, "finish", call="gap"),
+    ]
+    schema = ", ".join(
+        f"{f.name} {'string' if f.name == 'ts' else f.dataType.simpleString()}" for f in assembly.MESSAGES
+    )
+    folder = work_dir(spark, "test")
+    frame = frames.rows(spark, rows, schema).withColumn("ts", F.to_timestamp("ts"))
+    frame.write.parquet(f"{folder}/in")
+    with state_settings(spark):
+        stream = spark.readStream.schema(frame.schema).parquet(f"{folder}/in")
+        calls = jobs.normalize_stream(assembly.assemble(stream, timeout_ms=1_500, idle=True))
+        got = {r.id: r for r in silent(calls, folder, seconds=60).collect()}
+    assert got.keys() == {"open", "ended", "gap"}
+    assert (got["ended"].anomaly, got["ended"].input_tokens) == (None, 12)
+    assert got["open"].anomaly == got["gap"].anomaly == "observation_dropped"
+    assert got["open"].latency_ms == 10
+
+
 def test_stream_and_batch_normalise_alike(spark):
     from spendlens.plans import fixtures
     from spendlens.plans.stores import drained, staged
