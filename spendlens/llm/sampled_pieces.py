@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import repeat
 
 import numpy as np
@@ -37,8 +38,10 @@ from spendlens.llm.common import runs_of
 
 MARK = "▁"
 RUN_CHARS = 250_000
-#: Edges of remembered units in a task; beyond, all are forgotten.
-MOST_EDGES = 2_000_000
+#: Rows of a batch whose texts are Python strings at a time.
+SLICE_ROWS = 1_000
+#: Edges of remembered units in a worker process (20 bytes each); beyond, all are forgotten.
+MOST_EDGES = 6_000_000
 POINTS = 0x110000
 
 
@@ -74,6 +77,14 @@ class Pieces:
         with np.errstate(divide="ignore"):
             return cls(texts, np.log(weight / weight.sum()), bytes_)
 
+    @cached_property
+    def sampler(self) -> Sampler:
+        """One for all tasks of a worker process: later tasks find the trie and the lattices of known units."""
+        return Sampler(self)
+
+    def __getstate__(self) -> dict:
+        return {name: own for name, own in self.__dict__.items() if name != "sampler"}
+
     def spelling(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All pieces' bytes on end, and by id where its bytes begin and how many there are."""
         parts = [(t or "").encode() for t in self.texts]
@@ -207,58 +218,57 @@ class Lattices:
         last = np.zeros(len(chars), bool)
         last[stop - 1] = True
         to_end = np.repeat(stop, sizes) - 1 - np.arange(len(chars))
+        # Nodes by their distance from the unit's end: what a node leads to stands before it.
+        kind = np.uint16 if sizes.max() < 1 << 16 else np.int64
+        order = np.argsort(to_end.astype(kind), kind="stable")
+        rank = np.empty(len(chars), np.int32)
+        rank[order] = np.arange(len(chars), dtype=np.int32)
         at, state, size = np.flatnonzero(~last), np.zeros(int((~last).sum()), np.int64), 0
         starts, ends, found = [], [], []
+        many = np.zeros(len(chars), np.int32)
         while len(at):
             state = self.trie.step(state, chars[at + size])
             size += 1
-            on = (state >= 0) & (to_end[at] >= size)
+            on = state >= 0
             piece = np.where(on, self.trie.piece[state], -1)
-            whole = piece >= 0
             if size == 1:
-                spelt = ~whole
-                starts.append(at[spelt])
-                ends.append(at[spelt] + 1)
-                found.append(len(self.pieces.texts) + chars[at[spelt]])
-            starts.append(at[whole])
-            ends.append(at[whole] + size)
-            found.append(piece[whole])
+                piece = np.where(piece >= 0, piece, len(self.pieces.texts) + chars[at])
+            whole = piece >= 0
+            here = rank[at[whole]]
+            many[here] += 1
+            starts.append(here)
+            ends.append(rank[at[whole] + size])
+            found.append(piece[whole].astype(np.int32))
             on &= to_end[at] > size
             at, state = at[on], state[on]
-        # Longest pieces first, as they are the likeliest; each chunk ascends, so sorting merges.
-        start, end, piece = (np.concatenate(x[::-1]) for x in (starts, ends, found))
-        order = np.argsort(start, kind="stable")
-        start, end, piece = start[order], end[order], piece[order]
-        deep = to_end[start].astype(np.uint16 if sizes.max() < 1 << 16 else np.int64)
-        order = np.argsort(deep, kind="stable")
-        start, end, piece, deep = start[order], end[order], piece[order], deep[order]
-        by_start: dict[str, np.ndarray] = {}
-        log_p = self.log_p(piece)
-        beta = np.zeros(len(chars))
-        through = np.zeros(len(start))
-        bounds = np.searchsorted(deep, np.arange(1, int(sizes.max()) + 1, dtype=deep.dtype))
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            w = log_p[a:b] + beta[end[a:b]]
-            head = np.flatnonzero(np.r_[True, start[a + 1 : b] != start[a : b - 1]])
-            many = np.diff(np.r_[head, b - a])
+        first = np.r_[0, np.cumsum(many, dtype=np.int64)]
+        free, total = first[:-1].copy(), int(first[-1])
+        to, piece = np.empty(total, np.int32), np.empty(total, np.int32)
+        # Longest pieces first, as they are the likeliest.
+        for start, end, own in zip(starts[::-1], ends[::-1], found[::-1]):
+            spot = free[start]
+            to[spot], piece[spot] = end, own
+            free[start] = spot + 1
+        log_q, beta, p = self.log_p(piece), np.zeros(len(chars)), np.empty(total)
+        deep = np.searchsorted(to_end[order], np.arange(1, int(sizes.max()) + 1)).tolist()
+        for n, m in zip(deep[:-1], deep[1:]):
+            a, b = int(first[n]), int(first[m])
+            head, own = first[n:m] - a, many[n:m]
+            w = log_q[a:b] + beta[to[a:b]]
             top = np.maximum.reduceat(w, head)
-            total = top + np.log(np.add.reduceat(np.exp(w - np.repeat(top, many)), head))
-            beta[start[a:b][head]] = total
-            through[a:b] = w - np.repeat(total, many)
-        # Back into the order by start.
-        for name, own in (("start", start), ("end", end), ("piece", piece), ("through", through)):
-            by_start[name] = np.empty_like(own)
-            by_start[name][order] = own
-        start, end, piece, log_q = by_start.values()
-        node, edge, p = len(self.first) - 1, len(self.to), np.exp(log_q)
-        first = np.searchsorted(start, np.arange(len(chars) + 1))
-        run = np.cumsum(p)
-        more = {"to": node + end, "piece": piece, "log_q": log_q, "upto": run - np.r_[0.0, run][first[start]]}
-        self.units.update(zip(new, (node + stop - sizes).tolist()))
+            e = np.exp(w - np.repeat(top, own))
+            mass = np.add.reduceat(e, head)
+            beta[n:m] = top + np.log(mass)
+            log_q[a:b] = w - np.repeat(beta[n:m], own)
+            p[a:b] = e / np.repeat(mass, own)
+        node, edge = len(self.first) - 1, len(self.to)
+        run = np.r_[0.0, np.cumsum(p)]
+        more = {"to": node + to, "piece": piece, "log_q": log_q, "upto": run[1:] - np.repeat(run[first[:-1]], many)}
         self._extend("first", edge + first, node)
-        self._extend("to_end", to_end, node)
+        self._extend("to_end", to_end[order], node)
         for name in self._parts:
             self._extend(name, more[name], edge)
+        self.units.update(zip(new, (node + rank[stop - sizes]).tolist()))
 
     def log_p(self, piece: np.ndarray) -> np.ndarray:
         n = len(self.pieces.texts)
@@ -404,23 +414,23 @@ class Sampler:
     def _descend(self, unit: np.ndarray, node: np.ndarray, place: np.ndarray, rank: int) -> Paths:
         """Paths from a node of each unit to the unit's end, drawn by conditional probability."""
         lat, lane = self.lattices, np.arange(len(unit))
-        seed = self.seeds[self.row[unit]]
+        seed, deep = self.seeds[self.row[unit]], lat.to_end[node]
         steps = []
         while len(lane):
-            lo, hi = lat.first[node], lat.first[node + 1]
-            on = hi > lo
-            lane, node, place, lo, hi, seed = lane[on], node[on], place[on], lo[on], hi[on], seed[on]
+            on = deep > 0
+            lane, node, place, deep, seed = lane[on], node[on], place[on], deep[on], seed[on]
             if not len(lane):
                 break
+            lo, hi = lat.first[node], lat.first[node + 1]
             u = _draw(seed, 4 * rank + 1, place)
             edge, look = lo.copy(), np.arange(len(lo))
             while len(look):
                 look = look[(lat.upto[edge[look]] <= u[look]) & (edge[look] + 1 < hi[look])]
                 edge[look] += 1
             steps.append((lane, edge, place))
-            to = lat.to[edge].astype(np.int64)
-            place = place + to - node
-            node = to
+            node = lat.to[edge]
+            left = lat.to_end[node]
+            place, deep = place + (deep - left), left
         if not steps:
             empty = np.zeros(0, np.int64)
             return Paths(empty, empty, empty, empty)
@@ -449,11 +459,12 @@ class Sampler:
             kept[step] = edge
             heads.append((kept, group.place[: step + 1], group.unit[: step + 1]))
             floor[r] = step + 1
-            here, to, last = lat.owner(edge), int(lat.to[edge]), int(group.unit[step])
+            to, last = int(lat.to[edge]), int(group.unit[step])
+            size = int(lat.to_end[lat.owner(edge)] - lat.to_end[to])
             stop = int(self.from_unit[r + 1])
             unit.append(np.arange(last, stop))
             node.append(np.concatenate(([to], self.node[last + 1 : stop])))
-            place.append(np.concatenate(([group.place[step] + to - here], self.place[last + 1 : stop])))
+            place.append(np.concatenate(([group.place[step] + size], self.place[last + 1 : stop])))
         tail = self._descend(np.concatenate(unit), np.concatenate(node), np.concatenate(place), rank)
         rows = np.array([x[0] for x in popped])
         a, b = np.searchsorted(tail.row, rows).tolist(), np.searchsorted(tail.row, rows, side="right").tolist()
@@ -507,8 +518,8 @@ def encode(
     schema = StructType([rows.schema["doc"], *StructType.fromDDL(result)])
 
     def samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler, spelling = Sampler(shared.value), shared.value.spelling()
-        for batch in batches:
+        sampler, spelling = shared.value.sampler, shared.value.spelling()
+        for batch in (b.slice(i, SLICE_ROWS) for b in batches for i in range(0, b.num_rows, SLICE_ROWS)):
             seeds = batch["seed"].to_numpy()
             for start, part in runs_of(batch["text"].to_pylist(), RUN_CHARS):
                 found = sampler.sample(part, seeds[start : start + len(part)], k)

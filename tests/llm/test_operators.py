@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import pickle
 import random
 import zlib
 from collections import Counter
@@ -158,6 +159,24 @@ def test_sampling_without_replacement_has_the_exact_distribution(pieces):
             assert abs(by_rank[rank][key] / n - want) < 4.5 * math.sqrt(want * (1 - want) / n) + 1e-3
 
 
+def test_samples_do_not_depend_on_remembered_units(pieces, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = ["".join(map(chr, rng.choice([97, 101, 110, 233, 0x4E2D, 0x1F600], rng.integers(0, 9)))) for _ in range(300)]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 40))) for _ in range(60)] + ["", " ", "e" * 400]
+    seeds = np.arange(len(texts))
+    plain = sampled_pieces.Sampler(pieces).sample(texts, seeds, 3)
+    one = pieces.sampler
+    assert one is pieces.sampler and pickle.loads(pickle.dumps(pieces)).__dict__.keys() == {"texts", "log_p", "bytes_"}
+    monkeypatch.setattr(sampled_pieces, "MOST_EDGES", 500)
+    some = [(r + i, *rest) for i in range(len(texts)) for r, *rest in one.sample(texts[i : i + 1], seeds[i : i + 1], 3)]
+    key = lambda x: x[:2]
+    assert len(plain) == len(some)
+    for x, y in zip(sorted(plain, key=key), sorted(some, key=key)):
+        assert x[:2] == y[:2]
+        assert x[2].tolist() == y[2].tolist()
+        assert np.allclose(x[3:], y[3:], rtol=1e-9)
+
+
 def test_encoding_round_trips_and_is_seeded_by_key(spark, odd, pieces):
     hard = docs_of(spark, ["▁ a  b\n\té漢字🦆 ", "\U0010ffff", None, "", "the", "the"], ids=[1, 2, 3, 4, 5, 5])
     rows = sampled_pieces.encode(hard, pieces, k=2, verify=True).collect()
