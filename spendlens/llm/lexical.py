@@ -27,16 +27,19 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import remove, written
+from spendlens.llm.common import remove, runs_of, written
 
 #: Terms are runs of other characters than these; only A-Z are lower-cased.
 _SPLIT = bytes(
     (c | 0x20 if 0x41 <= c <= 0x5A else c) if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256)
 )
+#: Bytes of text whose terms are Python objects at a time.
+COUNT_BYTES = 1_000_000
 PIECE_DOCS = 4_096
 PIECE_POSTINGS = 500_000
 BLOCK_TERMS = 50_000
@@ -58,23 +61,25 @@ def term_counts(docs: DataFrame, *, key: str, text: str) -> DataFrame:
         F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text")
     )
 
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [Counter(terms_of(x)) for x in batch["text"].to_pylist()]
+    return rows.mapInArrow(_counts, "key long, n long, terms array<string>, tfs array<int>")
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at, part in runs_of((x.as_py() for x in batch["text"]), COUNT_BYTES):
+            found = [Counter(terms_of(x)) if x else Counter() for x in part]
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             names = pa.array([t for c in found for t in c], pa.binary()).cast(pa.string())
             tfs = np.fromiter((v for c in found for v in c.values()), np.int32, int(ends[-1]))
             yield pa.RecordBatch.from_pydict(
                 {
-                    "key": batch["key"],
+                    "key": batch["key"].slice(at, len(part)),
                     "n": pa.array([sum(c.values()) for c in found], pa.int64()),
                     "terms": pa.ListArray.from_arrays(ends, names),
                     "tfs": pa.ListArray.from_arrays(ends, pa.array(tfs)),
                 }
             )
 
-    return rows.mapInArrow(counts, "key long, n long, terms array<string>, tfs array<int>")
-
 
 @dataclass(frozen=True)
 class Index:
@@ -101,19 +106,7 @@ def build(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Index:
     dealt = forward.select(m.alias("m"), "key", "terms", "tfs").repartitionByRange("m", "key").sortWithinPartitions("m", "key")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = TaskContext.get().partitionId() << 32
-        held: list[tuple] = []
-        size = count = 0
-        place = None
-        for batch in batches:
-            for m, key, terms, tfs in zip(*(batch[c].to_pylist() for c in ("m", "key", "terms", "tfs"))):
-                if held and (m != place or size + len(tfs) > PIECE_POSTINGS or len(held) >= PIECE_DOCS):
-                    yield _inverted(place, first + count, held)
-                    held, size, count = [], 0, count + 1
-                held.append((key, terms, tfs))
-                size, place = size + len(tfs), m
-        if held:
-            yield _inverted(place, first + count, held)
+        return _pieces(batches, TaskContext.get().partitionId() << 32)
 
     schema = "m long, piece long, term string, df long, top int, tfs array<int>, docs array<int>, keys array<long>"
     postings, _ = written(dealt.mapInArrow(pieces, schema), "strata")
@@ -121,25 +114,43 @@ def build(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Index:
     return Index(postings, total, length)
 
 
-def _inverted(m: int, piece: int, held: list[tuple]) -> pa.RecordBatch:
+def _pieces(batches: Iterator[pa.RecordBatch], first: int) -> Iterator[pa.RecordBatch]:
+    """Cuts sorted documents into pieces, numbered from ``first``; terms stay in Arrow's buffers."""
+    held: list[pa.RecordBatch] = []
+    docs = size = count = 0
+    place = None
+    for batch in batches:
+        start = 0
+        for at, (m, many) in enumerate(zip(batch["m"].to_pylist(), pc.list_value_length(batch["tfs"]).to_pylist())):
+            if docs and (m != place or size + many > PIECE_POSTINGS or docs >= PIECE_DOCS):
+                yield _inverted(place, first + count, [*held, batch.slice(start, at - start)])
+                held, docs, size, count, start = [], 0, 0, count + 1, at
+            docs, size, place = docs + 1, size + many, m
+        held.append(batch.slice(start))
+    if docs:
+        yield _inverted(place, first + count, held)
+
+
+def _inverted(m: int, piece: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
     """The rows of one piece."""
-    names: dict[str, int] = {}
-    term = np.array([names.setdefault(t, len(names)) for _, terms, _ in held for t in terms], np.int64)
-    tf = np.array([x for _, _, tfs in held for x in tfs], np.int32)
-    doc = np.repeat(np.arange(len(held), dtype=np.int32), [len(x) for _, _, x in held])
+    coded = pa.concat_arrays([b["terms"].flatten() for b in held]).dictionary_encode()
+    term = coded.indices.to_numpy().astype(np.int64)
+    tf = pa.concat_arrays([b["tfs"].flatten() for b in held]).to_numpy()
+    sizes = pa.concat_arrays([pc.list_value_length(b["tfs"]) for b in held]).to_numpy()
+    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     order = np.lexsort((doc, -tf, term))
     term, tf, doc = term[order], tf[order], doc[order]
     # The row of the empty term comes first.
     ends = np.r_[0, np.flatnonzero(np.r_[True, term[1:] != term[:-1]]), len(term)].astype(np.int32)
     rows = len(ends) - 1
     keys = pa.ListArray.from_arrays(
-        pa.array([0, *[len(held)] * rows], pa.int32()), pa.array([k for k, _, _ in held], pa.int64())
+        pa.array(np.r_[0, np.full(rows, len(sizes))].astype(np.int32)), pa.concat_arrays([b["key"] for b in held])
     )
     return pa.RecordBatch.from_pydict(
         {
             "m": pa.array(np.full(rows, m, np.int64)),
             "piece": pa.array(np.full(rows, piece, np.int64)),
-            "term": pa.array(["", *names], pa.string()),
+            "term": pa.concat_arrays([pa.array([""]), coded.dictionary.cast(pa.string())]),
             "df": pa.array(np.diff(ends).astype(np.int64)),
             "top": pa.array(np.r_[np.int32(0), tf[ends[1:-1]]].astype(np.int32)),
             "tfs": pa.ListArray.from_arrays(ends, pa.array(tf)),

@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,3 +184,23 @@ def test_bounds_hold_and_long_vectors_are_left_out(spark):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = hard_negatives.mine(frame, F.col("id") % 10 == 0).collect()
     assert [tuple(r) for r in got] == [(10, 1, 1, 2, 131072, 98304)]
+
+
+def test_building_an_index_holds_few_terms_as_objects():
+    rng = random.Random(5)
+    words = [f"word{i}".encode() for i in range(20_000)]
+    texts = [b" ".join(rng.choices(words, k=250)) for _ in range(3_000)]
+    batch = pa.RecordBatch.from_pydict({"key": pa.array(range(3_000), pa.int64()), "text": pa.array(texts, pa.binary())})
+    tracemalloc.start()
+    counted = list(lexical._counts(iter([batch])))
+    counting = tracemalloc.get_traced_memory()[1]
+    assert [r for b in counted for r in b["key"].to_pylist()] == list(range(3_000))
+    placed = [pa.RecordBatch.from_pydict({"m": pa.array([7] * b.num_rows, pa.int64()), **{c: b[c] for c in ("key", "terms", "tfs")}}) for b in counted]
+    tracemalloc.reset_peak()
+    made = list(lexical._pieces(iter(placed), 5))
+    cutting = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # 750,000 terms as objects alone take 60 MB.
+    assert counting < 50e6 and cutting < 60e6
+    assert [b["piece"][0].as_py() for b in made] == [5, 6]
+    assert sum(len(x) for b in made for x in b["docs"].to_pylist()) == sum(len(set(t.split())) for t in texts)
