@@ -29,7 +29,7 @@ from spendlens.llm.common import maybe_among, runs_of, written
 WINDOW = 35
 RUN_CHARS = 4_000_000
 #: Bytes of text whose windows share a bucket.
-BUCKET_BYTES = 24_000_000
+BUCKET_BYTES = 6_000_000
 #: Distinct words remembered in a task.
 MOST_WORDS = 400_000
 _BASES = (0x9E3779B97F4A7C15 | 5, 0xC2B2AE3D27D4EB4F | 5)
@@ -83,29 +83,31 @@ class Windows:
         self.size, self.known = size, {}
 
     def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Word hashes of all texts, and where each text ends."""
-        if len(self.known) > MOST_WORDS:
-            self.known = {}
-        known, flat, ends = self.known, [], []
+        """Word hashes of all texts, and where each text ends; one text's words are objects at a time."""
+        out, ends = [], []
         for text in texts:
-            flat += text.encode("utf-8", "surrogatepass").split()
-            ends.append(len(flat))
-        for word in set(flat).difference(known):
-            known[word] = xxhash.xxh64_intdigest(word, 7)
-        return np.fromiter(map(known.__getitem__, flat), np.uint64, len(flat)), np.array(ends)
+            if len(self.known) > MOST_WORDS:
+                self.known = {}
+            known, words = self.known, text.encode("utf-8", "surrogatepass").split()
+            for word in set(words).difference(known):
+                known[word] = xxhash.xxh64_intdigest(word, 7)
+            out.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+            ends.append(len(words))
+        return np.concatenate(out), np.cumsum(ends)
 
     def hashes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Start (in the run), hash and bucket hash of each window; first word of each text."""
         words, ends = self.words(texts)
         begins = np.r_[0, ends[:-1]]
-        one, two = (rolling(x, self.size, b) for x, b in zip((words, _mix(words)), _BASES))
-        inside = np.zeros(len(words) + 1, np.int64)
+        inside = np.zeros(len(words) + 1, np.int32)
         long = ends - begins >= self.size
         np.add.at(inside, begins[long], 1)
         np.add.at(inside, ends[long] - self.size + 1, -1)
-        start = np.flatnonzero(np.cumsum(inside)[: len(one)] > 0)
-        two = _mix(two[start])
-        return start, _mix(one[start] + two), _mix(two ^ np.uint64(0xA5A5A5A5)), begins
+        start = np.flatnonzero(np.cumsum(inside, dtype=np.int32)[: max(len(words) - self.size + 1, 0)] > 0)
+        # One array of the run's words after the other.
+        one = rolling(words, self.size, _BASES[0])[start]
+        two = _mix(rolling(_mix(words), self.size, _BASES[1])[start])
+        return start, _mix(one + two), _mix(two ^ np.uint64(0xA5A5A5A5)), begins
 
 
 def _repeats(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +137,7 @@ def repeated_windows(docs: DataFrame, *, buckets: int, size: int = WINDOW) -> Da
         kinds = {"bucket": pa.int32(), "run": pa.int64(), "hashes": pa.binary(), "gaps": pa.binary(), "keys": pa.binary()}
         for batch in batches:
             a, b = batch["a"].to_numpy(), batch["b"].to_numpy()
-            for at, part in runs_of(batch["text"].to_pylist(), RUN_CHARS):
+            for at, part in runs_of((x.as_py() for x in batch["text"]), RUN_CHARS):
                 start, hashes, spread, begins = windows.hashes(part)
                 if not len(start):
                     continue

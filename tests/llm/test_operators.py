@@ -6,6 +6,7 @@ import hashlib
 import math
 import pickle
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -466,3 +467,17 @@ def test_pipeline_keeps_each_promise(spark):
     pieces = sampled_pieces.Pieces.load(corpus_pipeline.PIECE_MODEL)
     texts = {r["doc_id"]: r["text"] for r in kept.collect()}
     assert {r["doc_id"] for r in rows} == set(texts) and all(pieces.decode(r["ids"]) == texts[r["doc_id"]] for r in rows)
+
+
+def test_a_run_of_windows_holds_one_text_as_words():
+    rng = random.Random(4)
+    words = [f"word{i}" for i in range(5_000)]
+    texts = [" ".join(rng.choices(words, k=300)) for _ in range(1_600)]
+    windows = substring_dedup.Windows(substring_dedup.WINDOW)
+    tracemalloc.start()
+    hashes, ends = windows.words(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ends.tolist() == list(range(300, 480_300, 300))
+    assert hashes.tolist() == [xxhash.xxh64_intdigest(w, 7) for t in texts for w in t.split()]
+    assert peak < 30 * 480_000
