@@ -32,8 +32,8 @@ BLOCK = 2048
 SPACE, UNKNOWN = 0, 1
 #: Slots looked at together for a state with several transitions.
 STRETCH = 256
-#: Characters parsed together in a task.
-RUN_CHARS = 4_000_000
+#: Characters parsed together in a task; about 40 bytes of arrays each.
+RUN_CHARS = 1_000_000
 
 
 @lru_cache(1)

@@ -481,3 +481,15 @@ def test_a_run_of_windows_holds_one_text_as_words():
     assert ends.tolist() == list(range(300, 480_300, 300))
     assert hashes.tolist() == [xxhash.xxh64_intdigest(w, 7) for t in texts for w in t.split()]
     assert peak < 30 * 480_000
+
+
+def test_parsing_holds_few_letters_at_a_time():
+    texts = [("a text of some letters " * 90)[:2_000]] * 2_000
+    parser = language_id.build({"en": texts[:3], "de": ["ein Satz mit anderen Buchstaben"]}, 2_000)
+    parser.predict(texts[:1])
+    tracemalloc.start()
+    parts = [parser.predict(part) for _, part in language_id.runs_of(texts, language_id.RUN_CHARS)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [x for part in parts for x in part[0]] == ["en"] * 2_000
+    assert peak < 80e6
