@@ -137,3 +137,25 @@ def test_names_are_read_as_one_pruned_column(spark):
     assert "ReadSchema: struct<event_type:string>" in plan
     rates = pricing.model_rates(calls.select("model").distinct(), pricing.rate_card(frames.prices(spark)))
     assert rates.rows.num_rows == 0
+
+
+def test_a_large_price_table_is_derived_once(spark, monkeypatch):
+    monkeypatch.setattr(pricing, "MOST_MODELS", 5)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(key):
+        seen.add(1)
+        return key
+
+    rate = "CAST(1 AS DECIMAL(18,6))"
+    prices = spark.range(40).select(
+        F.udf(counted).asNondeterministic()(F.concat(F.lit("m-"), F.col("id"))).alias("model_key"),
+        *[F.expr(rate).alias(c) for c in ("input_per_m", "output_per_m", "cache_read_per_m", "cache_creation_per_m")],
+        F.lit(True).alias("cache_in_input"),
+        F.expr("CAST(array() AS array<struct<above_input_tokens:bigint,input_per_m:decimal(18,6),output_per_m:decimal(18,6),"
+               "cache_read_per_m:decimal(18,6),cache_creation_per_m:decimal(18,6)>>) AS tiers"),
+    )
+    calls = frames.calls(spark, [{"model": f"M-{i}x"} for i in range(40)])
+    rated = pricing.attach_rates(calls, prices).select("model", "model_key").collect()
+    assert {r.model: r.model_key for r in rated} == {f"M-{i}x": f"m-{i}" for i in range(40)}
+    assert seen.value == 40
