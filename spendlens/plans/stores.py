@@ -47,12 +47,24 @@ def state_settings(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+#: Rows of a staged file, and files of a batch, at most.
+FILE_ROWS = 200_000
+BATCH_FILES = 32
+
+
 def staged(df: DataFrame, folder: str, files: int = 4, *by: str) -> DataFrame:
-    """A frame written to files and read back as a stream of one file per batch."""
-    df.repartition(files, *by).write.parquet(folder)
+    """A frame written to files and read back as a stream, half of the files a batch.
+
+    A frame of many rows gets a multiple of ``files``, so that neither a file nor a batch grows
+    with it. Columns ``by`` that deal the rows then deal them to several files a value.
+    """
+    times = max(1, -(-df.count() // (files * FILE_ROWS)))
+    salt = [F.floor(F.rand(0) * times)] if by and times > 1 else []
+    files *= times
+    df.repartition(files, *by, *salt).write.parquet(folder)
     return (
         df.sparkSession.readStream.schema(df.schema)
-        .option("maxFilesPerTrigger", max(1, files // 2))
+        .option("maxFilesPerTrigger", min(max(1, files // 2), BATCH_FILES))
         .parquet(folder)
     )
 

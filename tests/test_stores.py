@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spendlens.operators.normalize import normalize
 from spendlens.operators.tail import tail
+from spendlens.plans import stores
 from spendlens.plans.stores import silent, state_settings
 from spendlens.sources import calls as store
 from spendlens.sources import prices as price_source
@@ -228,3 +229,17 @@ def test_stream_and_batch_normalise_alike(spark):
     streamed = drained(jobs.normalize_stream(staged(exchanges, f"{folder}/in")), folder)
     batch = normalize(exchanges)
     assert streamed.exceptAll(batch).isEmpty() and batch.exceptAll(streamed).isEmpty()
+
+
+@pytest.mark.parametrize(("files", "by"), [(4, ()), (2, ()), (4, ("seq",))])
+def test_staged_files_and_batches_do_not_grow_with_the_rows(spark, tmp_path, monkeypatch, files, by):
+    monkeypatch.setattr(stores, "FILE_ROWS", 25)
+    monkeypatch.setattr(stores, "BATCH_FILES", 6)
+    rows = spark.range(2_000).selectExpr("id", "CAST(id % 4 AS INT) AS seq")
+    stream = stores.staged(rows, str(tmp_path / "in"), files, *by)
+    sizes = []
+    run = stream.writeStream.foreachBatch(lambda batch, n: sizes.append(batch.count())).trigger(availableNow=True).start()
+    run.awaitTermination()
+    found = [r["n"] for r in spark.read.parquet(str(tmp_path / "in")).groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == sum(found) == 2_000 and len(sizes) >= 7
+    assert max(found) <= (250 if by else 40)
