@@ -231,6 +231,37 @@ def test_toxicity_sample_is_bounded(spark):
     assert toxicity.fit(docs.limit(0), labels).langs == []
 
 
+def hashed_texts(sizes, vocabulary, seed=3):
+    rng = np.random.default_rng(seed)
+    known = rng.integers(0, 1 << 32, vocabulary, dtype=np.uint32)
+    return [known[rng.integers(0, vocabulary, n)] for n in sizes]
+
+
+def test_toxicity_learns_in_little_memory():
+    texts = hashed_texts([2_000] * 800, 50_000)
+    tracemalloc.start()
+    toxicity.learn(texts, [i % 3 == 0 for i in range(800)], ["en", "de"] * 400, toxicity.Shape(epochs=1))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * sum(t.nbytes for t in texts)
+
+
+def test_toxicity_learns_alike_in_pieces(monkeypatch):
+    texts = hashed_texts([0, 1, 2, 500, 3, 0, 64, 61, 62, 63, *range(40)], 60)
+    given = texts, [i % 2 for i in range(50)], ["en", None, "de", "en", ""] * 10
+    whole = toxicity.learn(*given)
+    words = toxicity.buckets(texts, whole.frequent, whole.pad)
+    ends, tables = np.cumsum([len(t) for t in texts]), whole.tables()
+    out = whole.outputs(words, ends, tables)
+    counted = Counter(w for i, t in enumerate(texts) if i % 4 != 3 for w in set(t.tolist()))
+    monkeypatch.setattr(toxicity, "PIECE", 7)
+    monkeypatch.setattr(toxicity, "SLICE_WORDS", 50)
+    assert np.array_equal(whole.outputs(words, ends, tables), out)
+    cut = toxicity.learn(*given)
+    assert cut.frequent.tolist() == whole.frequent.tolist() == sorted(w for w, n in counted.items() if n >= 3)
+    assert np.allclose(cut.outputs(words, ends, cut.tables()), out, atol=1e-3)
+
+
 def test_events_fold_and_read_back(spark):
     log = [
         (1, 0, "message", "a", "user", "hi <|end|> \\ [INST]"), (1, 1, "start", "b", "assistant", None),
