@@ -55,13 +55,15 @@ BATCH_FILES = 32
 def staged(df: DataFrame, folder: str, files: int = 4, *by: str) -> DataFrame:
     """A frame written to files and read back as a stream, half of the files a batch.
 
-    A frame of many rows gets a multiple of ``files``, so that neither a file nor a batch grows
-    with it. Columns ``by`` that deal the rows then deal them to several files a value.
+    A frame of many rows gets more files, so that neither a file nor a batch grows with it; they are
+    written where the rows are, without a shuffle. Columns ``by`` that deal the rows then deal them to several
+    files a value.
     """
     times = max(1, -(-df.count() // (files * FILE_ROWS)))
     salt = [F.floor(F.rand(0) * times)] if by and times > 1 else []
     files *= times
-    df.repartition(files, *by, *salt).write.parquet(folder)
+    dealt = df.repartition(files, *by, *salt) if by or times == 1 else df
+    dealt.write.option("compression", "zstd").option("maxRecordsPerFile", 0 if by else FILE_ROWS).parquet(folder)
     return (
         df.sparkSession.readStream.schema(df.schema)
         .option("maxFilesPerTrigger", min(max(1, files // 2), BATCH_FILES))
@@ -74,6 +76,7 @@ def drained(stream: DataFrame, folder: str) -> DataFrame:
     run = (
         stream.writeStream.format("parquet")
         .option("path", f"{folder}/out")
+        .option("compression", "zstd")
         .option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(availableNow=True)
         .start()
@@ -367,9 +370,10 @@ def budget_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"{capture.RECORDS_SQL} SELECT id, {', '.join(capture.RECORD_COLUMNS)} FROM records",
 )
 def stream_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows captures are made of are staged; the captures, with their bodies, are only streamed."""
     folder = work_dir(spark, "normalize")
-    exchanges = staged(fixtures.captures(spark, sf_dir), f"{folder}/in")
-    return drained(jobs.normalize_stream(exchanges), folder)
+    events = staged(fixtures.table(spark, sf_dir, "events").select(*fixtures.CAPTURED), f"{folder}/in")
+    return drained(jobs.normalize_stream(fixtures.captures_of(events)), folder)
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:

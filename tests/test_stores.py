@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spendlens.operators.normalize import normalize
 from spendlens.operators.tail import tail
-from spendlens.plans import stores
+from spendlens.plans import fixtures, stores
 from spendlens.plans.stores import silent, state_settings
 from spendlens.sources import calls as store
 from spendlens.sources import prices as price_source
@@ -243,3 +243,27 @@ def test_staged_files_and_batches_do_not_grow_with_the_rows(spark, tmp_path, mon
     found = [r["n"] for r in spark.read.parquet(str(tmp_path / "in")).groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
     assert sum(sizes) == sum(found) == 2_000 and len(sizes) >= 7
     assert max(found) <= (250 if by else 40)
+
+
+def test_staged_rows_of_a_large_frame_are_not_shuffled(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stores, "FILE_ROWS", 25)
+    stores.staged(spark.range(0, 2_000, 1, 4), str(tmp_path / "in"))
+    files = spark.read.parquet(str(tmp_path / "in")).groupBy(F.input_file_name()).agg(F.min("id"), F.max("id"), F.count("*")).collect()
+    assert sum(n for *_, n in files) == 2_000
+    assert all(n <= 25 and last - first == n - 1 for _, first, last, n in files)
+
+
+def test_stream_records_store_no_bodies(spark, tmp_path, monkeypatch):
+    """The bodies grow with the user; what the query stores does not."""
+    events = spark.range(2_000).selectExpr(
+        "id AS event_id", "TIMESTAMP_NTZ '2024-01-05 10:00:00' AS ts", "CASE WHEN id % 7 > 0 THEN 20000 + id END AS user_id",
+        "CASE WHEN id % 11 > 0 THEN 'view' ELSE 'error' END AS event_type", "1.5D AS value", "'{}' AS props",
+    )
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(stores, "work_dir", lambda spark, purpose: str(tmp_path / purpose))
+    got = stores.stream_records(spark, str(tmp_path))
+    want = normalize(fixtures.captures(spark, str(tmp_path)))
+    assert got.count() > 1_500 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert "body" not in spark.read.parquet(str(tmp_path / "normalize" / "in")).columns
+    size = lambda folder: sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+    assert size(tmp_path / "normalize") < 4 * size(tmp_path / "events.parquet")
