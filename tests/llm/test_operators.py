@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import math
 import pickle
@@ -231,6 +232,74 @@ def test_toxicity_sample_is_bounded(spark):
     assert toxicity.fit(docs.limit(0), labels).langs == []
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    rows = [(i, f"word{i}", "en") for i in range(9_100)] + [(9_100, "long " * 340_000, "en"), (9_100, "short", "en"), (9_999, "other", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    labels = spark.createDataFrame([(i, int(i >= 9_000)) for i in range(9_101)] * 2, "doc_id long, toxic int")
+    net = toxicity.fit(docs, labels, shape=toxicity.Shape(epochs=1, least_texts=1))
+    # Every fourth row is held back, and each other one brings its own word.
+    assert len(net.frequent) == 9_102 - 9_102 // 4
+    names = {"key": "doc_id", "text": "text", "lang": "lang", "label": "toxic"}
+    taught = toxicity.sample(docs, labels, **names)
+    assert taught.count() == 9_102 and taught.agg(F.max(F.length("words"))).first()[0] == 4 * 340_000
+
+
+def test_toxicity_learns_in_shards(spark, monkeypatch):
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(900):
+        body = [f"w{rng.randrange(60)}" for _ in range(rng.randint(0, 30))]
+        labels.append((i, int(i % 3 == 0)))
+        if labels[-1][1]:
+            body.insert(rng.randint(0, len(body)), rng.choice(["badone", "badtwo"]))
+        rows.append((i, " ".join(body), rng.choice(["en", "de", None, ""])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = spark.createDataFrame(labels[:600], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 200)
+    rounds = []
+    monkeypatch.setattr(toxicity, "_round", lambda *given, run=toxicity._round: (rounds.append(given[0].count()), run(*given)))
+    net = toxicity.fit(docs.repartition(7), known, shape=toxicity.Shape(epochs=20))
+    assert rounds == [3] * 20 and net.langs == ["de", "en"]
+    got = [r["toxicity"] for r in toxicity.score(docs.where("doc_id >= 600"), net).orderBy("doc_id").collect()]
+    right = [(s >= toxicity.THRESHOLD) == (y == 1) for s, (_, y) in zip(got, labels[600:], strict=True)]
+    assert sum(right) > 0.95 * len(right)
+    # The network does not depend on how the rows lie, nor on repeated ones.
+    some = toxicity.fit(docs.unionByName(docs.limit(50)).repartition(2), known, shape=toxicity.Shape(epochs=2))
+    same = toxicity.fit(docs.repartition(9, "text"), known.repartition(3), shape=toxicity.Shape(epochs=2))
+    assert np.array_equal(some.embed, same.embed) and np.array_equal(some.head, same.head) and np.array_equal(some.shift, same.shift)
+    assert some.frequent.tolist() == same.frequent.tolist() == net.frequent.tolist()
+
+
+def test_toxicity_shards_of_a_crowded_partition(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 8)
+    rows = spark.range(95).selectExpr("1L AS k", "CAST(id % 2 AS INT) AS y", "'en' AS lang", "id AS digest", "X'01000000' AS words")
+    shards = [shard for _, shard in toxicity.shards_of(iter([toxicity._packed(rows, 1, ["en"]).toPandas()]), np.uint32)]
+    assert [len(s.ends) for s in shards] == [10] * 9 + [5]
+    assert sum(s.toxic.sum() for s in shards) == 47 and all(s.words.tolist() == [1] * len(s.ends) for s in shards)
+
+
+def test_toxicity_moves_by_the_mean_of_shards():
+    texts = hashed_texts(range(5, 205), 400)
+    net = toxicity.learn(texts, [i % 2 for i in range(200)], ["en"] * 200, toxicity.Shape(epochs=1))
+    shard = toxicity.Shard.of(texts, [i % 2 for i in range(200)], [0] * 200).bucketed(net.frequent, net.pad)
+    nets = [copy.deepcopy(net) for _ in range(3)]
+    nets[0].one_pass(1, shard)
+    moved = copy.deepcopy(net).moved(1, shard)
+    nets[1].take(moved)
+    nets[2].take(moved + moved)
+    for name in net.NAMES:
+        want = nets[0]._value(name)
+        assert not np.array_equal(want, net._value(name))
+        assert all(np.allclose(n._value(name), want, rtol=1e-6, atol=1e-9) for n in nets[1:])
+    # What only one of two shards moved, it moves whole.
+    alone = copy.deepcopy(net)
+    still = np.zeros_like(moved)
+    still[-1] = 1
+    alone.take(moved + still)
+    assert np.allclose(alone.embed, nets[0].embed, rtol=1e-6, atol=1e-9)
+    assert np.allclose(alone.head, (nets[0].head + net.head) / 2, rtol=1e-5, atol=1e-7)
+
+
 def hashed_texts(sizes, vocabulary, seed=3):
     rng = np.random.default_rng(seed)
     known = rng.integers(0, 1 << 32, vocabulary, dtype=np.uint32)
